@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import layout, metrics, recommender, sizing
 from tessera.operators.split import DEFAULT_SEED, label_split, split_threshold
+from tessera.plans import experiment
 from tessera.plans import ratings as R
 from tessera.schema import ITEM_COL, RATING_COLUMNS, USER_COL
 from tessera.sources.csv import read_ratings_csv
@@ -156,6 +157,40 @@ def q_als_item_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.fitted_model(spark, sf_dir).itemFactors
 
 
+_EXPERIMENT_CONFIG = experiment.ExperimentConfig(2, 8)
+_runs: dict[tuple, tuple[DataFrame, DataFrame]] = {}
+
+
+def _experiments(spark: SparkSession, sf_dir: str, configs) -> tuple[DataFrame, DataFrame]:
+    """Sweep over the staged ratings CSV (explicit schema), run once per
+    (application, source, configurations) and kept as small result tables."""
+    key = (spark.sparkContext.applicationId, R.sf_path(sf_dir), tuple(configs))
+    if key not in _runs:
+        path = R.staged_ratings_csv(spark, sf_dir)
+        results, phases = experiment.sweep(
+            spark, lambda: read_ratings_csv(spark, path, mode="explicit"), configs
+        )
+        _runs[key] = (results.cache(), phases.cache())
+    return _runs[key]
+
+
+def q_experiment_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    results, _ = _experiments(spark, sf_dir, [_EXPERIMENT_CONFIG])
+    return results.select("num_nodes", "partitions", "num_records", "train_records", "test_records")
+
+
+def q_experiment_result(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _experiments(spark, sf_dir, [_EXPERIMENT_CONFIG])[0]
+
+
+def q_experiment_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _experiments(spark, sf_dir, experiment.choose_configs())[0]
+
+
+def q_experiment_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _experiments(spark, sf_dir, experiment.choose_configs())[1]
+
+
 QUERIES: dict[str, Query] = {
     "ratings_view": q_ratings_view,
     "record_count": q_record_count,
@@ -177,6 +212,10 @@ QUERIES: dict[str, Query] = {
     "als_rmse": q_als_rmse,
     "als_user_factors": q_als_user_factors,
     "als_item_factors": q_als_item_factors,
+    "experiment_counts": q_experiment_counts,
+    "experiment_result": q_experiment_result,
+    "experiment_sweep": q_experiment_sweep,
+    "experiment_phases": q_experiment_phases,
 }
 
 
@@ -242,4 +281,11 @@ WHERE split = 'test'
   AND "movieId" IN (SELECT "movieId" FROM split WHERE split = 'train')""",
         _SPLIT_CTE,
     ),
+    "experiment_counts": _sql(
+        """SELECT 2 AS num_nodes, 8 AS partitions, count(*) AS num_records,
+       count(*) FILTER (WHERE split = 'train') AS train_records,
+       count(*) FILTER (WHERE split = 'test') AS test_records
+FROM split""",
+        _SPLIT_CTE,
+    ),
 }
