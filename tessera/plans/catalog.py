@@ -13,12 +13,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import layout, metrics, recommender, sizing
+from tessera.operators import layout, metrics, recommender, runlog, sizing
 from tessera.operators.split import DEFAULT_SEED, label_split, split_threshold
 from tessera.plans import experiment
 from tessera.plans import ratings as R
 from tessera.schema import ITEM_COL, RATING_COLUMNS, USER_COL
 from tessera.sources.csv import read_ratings_csv
+from tessera.sources.eventlog import read_event_log, session_event_log_path
 from tessera.sources.tables import RATINGS_SQL, read_table
 
 DIGITS = 9
@@ -191,6 +192,42 @@ def q_experiment_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _experiments(spark, sf_dir, experiment.choose_configs())[1]
 
 
+def _session_log(spark: SparkSession) -> DataFrame:
+    path = session_event_log_path(spark)
+    if path is None:
+        raise RuntimeError("event logging is off for this session (spark.eventLog.enabled)")
+    return read_event_log(spark, path)
+
+
+def q_eventlog_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs of this session's own log, after running the experiment on sf_dir."""
+    _experiments(spark, sf_dir, [_EXPERIMENT_CONFIG])
+    return runlog.eventlog_jobs(_session_log(spark))
+
+
+def q_eventlog_phase_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _experiments(spark, sf_dir, [_EXPERIMENT_CONFIG])
+    return runlog.jobs_by_group(runlog.eventlog_jobs(_session_log(spark)))
+
+
+def q_eventlog_storage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _experiments(spark, sf_dir, [_EXPERIMENT_CONFIG])
+    return runlog.eventlog_storage(_session_log(spark))
+
+
+def q_eventlog_spill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _experiments(spark, sf_dir, [_EXPERIMENT_CONFIG])
+    return runlog.eventlog_spill(_session_log(spark))
+
+
+EVENTLOG_QUERIES: dict[str, Query] = {
+    "eventlog_jobs": q_eventlog_jobs,
+    "eventlog_phase_jobs": q_eventlog_phase_jobs,
+    "eventlog_storage": q_eventlog_storage,
+    "eventlog_spill": q_eventlog_spill,
+}
+
+
 QUERIES: dict[str, Query] = {
     "ratings_view": q_ratings_view,
     "record_count": q_record_count,
@@ -289,3 +326,13 @@ FROM split""",
         _SPLIT_CTE,
     ),
 }
+
+
+def all_queries(spark: SparkSession | None = None) -> dict[str, Query]:
+    """Every query usable on ``spark``: the event-log reports need the
+    session to write an event log (their input), so they are listed only
+    when it does."""
+    out = dict(QUERIES)
+    if spark is not None and session_event_log_path(spark) is not None:
+        out.update(EVENTLOG_QUERIES)
+    return out

@@ -1,0 +1,80 @@
+"""Live job status while runs are going on.
+
+The reference polls the running driver for its jobs.  Here the same answer
+comes from a streaming query over the event-log folder: new log lines are
+read as they are written, job starts and ends are folded into one state
+row per (application, job), and every trigger emits the jobs that changed.
+State is bounded by a watermark on the job's last event time, so finished
+jobs leave the state store once they are older than ``retention``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.operators.runlog import _JOB_END, _JOB_START, JOB_SUCCEEDED
+from tessera.sources.eventlog import ROLLING_FILE, SINGLE_FILE, STATUS_FILE_PREFIX
+
+
+def job_status_stream(
+    spark: SparkSession, log_dir: str, retention: str = "1 hour", max_files_per_trigger: int = 100
+) -> DataFrame:
+    """Streaming DataFrame of ``app_id, job_id, status, stage_ids, job_group,
+    submission_time, completion_time`` in update mode."""
+    raw = (
+        spark.readStream.option("recursiveFileLookup", True)
+        .option("maxFilesPerTrigger", max_files_per_trigger)
+        .text(log_dir)
+    )
+    name = F.col("_metadata.file_name")
+    rolling = name.rlike(ROLLING_FILE)
+    lines = raw.where(~name.startswith(STATUS_FILE_PREFIX)).select(
+        F.when(rolling, F.regexp_extract(name, ROLLING_FILE, 2))
+        .otherwise(F.regexp_extract(name, SINGLE_FILE, 1))
+        .alias("app_id"),
+        F.col("value").alias("line"),
+    )
+    event = F.get_json_object("line", "$.Event")
+    start = F.from_json("line", _JOB_START)
+    end = F.from_json("line", _JOB_END)
+    is_start = event == F.lit("SparkListenerJobStart")
+    is_end = event == F.lit("SparkListenerJobEnd")
+    facts = lines.where(is_start | is_end).select(
+        "app_id",
+        F.when(is_start, start["Job ID"]).otherwise(end["Job ID"]).alias("job_id"),
+        F.when(is_start, start["Stage IDs"]).alias("stage_ids"),
+        F.when(is_start, start["Properties"].getItem("spark.jobGroup.id")).alias("job_group"),
+        F.when(is_start, start["Submission Time"]).alias("submission_time"),
+        F.when(is_end, end["Completion Time"]).alias("completion_time"),
+        F.when(is_end, end["Job Result"]["Result"]).alias("result"),
+        F.timestamp_millis(
+            F.when(is_start, start["Submission Time"]).otherwise(end["Completion Time"])
+        ).alias("event_time"),
+    )
+    state = (
+        facts.withWatermark("event_time", retention)
+        .groupBy("app_id", "job_id")
+        .agg(
+            F.max("stage_ids").alias("stage_ids"),
+            F.max("job_group").alias("job_group"),
+            F.max("submission_time").alias("submission_time"),
+            F.max("completion_time").alias("completion_time"),
+            F.max("result").alias("result"),
+            F.max("event_time").alias("last_event_time"),
+        )
+    )
+    status = (
+        F.when(F.col("result").isNull(), F.lit("RUNNING"))
+        .when(F.col("result") == F.lit(JOB_SUCCEEDED), F.lit("SUCCEEDED"))
+        .otherwise(F.lit("FAILED"))
+    )
+    return state.select(
+        "app_id",
+        "job_id",
+        status.alias("status"),
+        "stage_ids",
+        "job_group",
+        "submission_time",
+        "completion_time",
+    )
