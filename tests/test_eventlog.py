@@ -1,0 +1,209 @@
+"""Event-log reports: hand-made lines for the edge cases, and the real log
+of the test session checked against the same question asked in DuckDB."""
+
+import glob
+import json
+import os
+
+import pytest
+
+from tessera.operators import runlog
+from tessera.sources.eventlog import read_event_log, session_event_log_path
+from tests.util import bag, spark_bag
+
+APP = "app-fixture-0001"
+
+
+def _block(block, executor, mem, disk):
+    return {
+        "Event": "SparkListenerBlockUpdated",
+        "Block Updated Info": {
+            "Block Manager ID": {"Executor ID": executor, "Host": "h", "Port": 1},
+            "Block ID": block,
+            "Storage Level": {"Use Disk": disk > 0, "Use Memory": mem > 0, "Deserialized": False, "Replication": 1},
+            "Memory Size": mem,
+            "Disk Size": disk,
+        },
+    }
+
+
+FIXTURE = [
+    {"Event": "SparkListenerJobStart", "Job ID": 0, "Submission Time": 1000, "Stage IDs": [0, 1],
+     "Properties": {"spark.jobGroup.id": "load"}},
+    {"Event": "SparkListenerStageSubmitted", "Stage Info": {"Stage ID": 0, "RDD Info": [{"RDD ID": 3, "Name": "ratings"}]}},
+    _block("rdd_3_0", "1", 100, 0),
+    _block("rdd_3_1", "1", 200, 0),
+    _block("rdd_3_1", "1", 0, 300),  # moved to disk
+    _block("rdd_3_0", "2", 100, 0),  # replica on another executor
+    _block("broadcast_0_piece0", "driver", 999, 0),  # not an RDD block
+    _block("rdd_5_0", "1", 50, 0),
+    {"Event": "SparkListenerTaskEnd", "Stage ID": 0, "Stage Attempt ID": 0,
+     "Task Metrics": {"Memory Bytes Spilled": 10, "Disk Bytes Spilled": 4}},
+    {"Event": "SparkListenerTaskEnd", "Stage ID": 0, "Stage Attempt ID": 0,
+     "Task Metrics": {"Memory Bytes Spilled": 5, "Disk Bytes Spilled": 1}},
+    {"Event": "SparkListenerTaskEnd", "Stage ID": 1, "Stage Attempt ID": 0, "Task Info": {"Failed": True}},
+    {"Event": "SparkListenerJobEnd", "Job ID": 0, "Completion Time": 1500, "Job Result": {"Result": "JobSucceeded"}},
+    {"Event": "SparkListenerUnpersistRDD", "RDD ID": 5},
+    {"Event": "SparkListenerJobStart", "Job ID": 1, "Submission Time": 2000, "Stage IDs": [2], "Properties": {}},
+    {"Event": "SparkListenerJobEnd", "Job ID": 1, "Completion Time": 2100,
+     "Job Result": {"Result": "JobFailed", "Exception": {"Message": "boom"}}},
+    {"Event": "SparkListenerJobStart", "Job ID": 2, "Submission Time": 3000, "Stage IDs": [3], "Properties": {}},
+]
+
+
+@pytest.fixture(scope="module")
+def fixture_log(spark, scratch):
+    d = os.path.join(scratch, "fixture-log")
+    os.makedirs(d, exist_ok=True)
+    with open(os.path.join(d, APP), "w") as f:
+        for e in FIXTURE:
+            f.write(json.dumps(e) + "\n")
+    return read_event_log(spark, d)
+
+
+def test_jobs(fixture_log):
+    rows = {r["job_id"]: r for r in runlog.eventlog_jobs(fixture_log).collect()}
+    assert rows[0]["status"] == "SUCCEEDED" and rows[0]["stage_ids"] == [0, 1]
+    assert rows[0]["job_group"] == "load" and rows[0]["duration_ms"] == 500
+    assert rows[1]["status"] == "FAILED" and rows[1]["error"] == "boom"
+    assert rows[2]["status"] == "RUNNING" and rows[2]["completion_time"] is None
+    assert {r["app_id"] for r in rows.values()} == {APP}
+
+
+def test_first_jobs(fixture_log):
+    top = runlog.first_jobs(runlog.eventlog_jobs(fixture_log), 2).collect()
+    assert sorted(r["job_id"] for r in top) == [0, 1]
+
+
+def test_storage(fixture_log):
+    rows = runlog.eventlog_storage(fixture_log).collect()
+    assert len(rows) == 1  # rdd 5 unpersisted, broadcast ignored
+    r = rows[0]
+    assert r["rdd_id"] == 3 and r["name"] == "ratings" and r["num_partitions"] == 2
+    assert r["memory_used_mb"] == 200 / 1048576 and r["disk_used_mb"] == 300 / 1048576
+
+
+def test_spill(fixture_log):
+    rows = {r["stage_id"]: r for r in runlog.eventlog_spill(fixture_log).collect()}
+    assert (rows[0]["tasks"], rows[0]["memory_bytes_spilled"], rows[0]["disk_bytes_spilled"]) == (2, 15, 5)
+    assert (rows[1]["tasks"], rows[1]["memory_bytes_spilled"]) == (1, 0)
+
+
+# --- the session's own log, against DuckDB -----------------------------------
+
+JOBS_SQL = """
+WITH l AS (SELECT json AS j FROM read_ndjson_objects('{path}')),
+s AS (SELECT CAST(j->>'$."Job ID"' AS INTEGER) AS job_id,
+             CAST(j->'$."Stage IDs"' AS INTEGER[]) AS stage_ids,
+             j->>'$.Properties."spark.jobGroup.id"' AS job_group,
+             CAST(j->>'$."Submission Time"' AS BIGINT) AS submission_time
+      FROM l WHERE j->>'$.Event' = 'SparkListenerJobStart'),
+e AS (SELECT CAST(j->>'$."Job ID"' AS INTEGER) AS job_id,
+             CAST(j->>'$."Completion Time"' AS BIGINT) AS completion_time,
+             j->>'$."Job Result".Result' AS result,
+             j->>'$."Job Result".Exception.Message' AS error
+      FROM l WHERE j->>'$.Event' = 'SparkListenerJobEnd')
+SELECT s.job_id,
+       CASE WHEN result IS NULL THEN 'RUNNING' WHEN result = 'JobSucceeded' THEN 'SUCCEEDED' ELSE 'FAILED' END AS status,
+       stage_ids, job_group, submission_time, completion_time,
+       completion_time - submission_time AS duration_ms, error
+FROM s LEFT JOIN e USING (job_id)
+"""
+
+SPILL_SQL = """
+WITH l AS (SELECT json AS j FROM read_ndjson_objects('{path}'))
+SELECT CAST(j->>'$."Stage ID"' AS INTEGER) AS stage_id,
+       CAST(j->>'$."Stage Attempt ID"' AS INTEGER) AS stage_attempt,
+       count(*) AS tasks,
+       CAST(coalesce(sum(CAST(j->>'$."Task Metrics"."Memory Bytes Spilled"' AS BIGINT)), 0) AS BIGINT) AS memory_bytes_spilled,
+       CAST(coalesce(sum(CAST(j->>'$."Task Metrics"."Disk Bytes Spilled"' AS BIGINT)), 0) AS BIGINT) AS disk_bytes_spilled
+FROM l WHERE j->>'$.Event' = 'SparkListenerTaskEnd' GROUP BY ALL
+"""
+
+STORAGE_SQL = """
+WITH l AS (SELECT json AS j, row_number() OVER () AS pos FROM read_ndjson_objects('{path}')),
+u AS (SELECT pos, j->>'$."Block Updated Info"."Block ID"' AS block_id,
+             j->>'$."Block Updated Info"."Block Manager ID"."Executor ID"' AS executor_id,
+             CAST(j->>'$."Block Updated Info"."Memory Size"' AS BIGINT) AS mem,
+             CAST(j->>'$."Block Updated Info"."Disk Size"' AS BIGINT) AS disk
+      FROM l WHERE j->>'$.Event' = 'SparkListenerBlockUpdated'),
+latest AS (SELECT block_id, executor_id, arg_max(mem, pos) AS mem, arg_max(disk, pos) AS disk, max(pos) AS pos
+           FROM u WHERE regexp_matches(block_id, '^rdd_[0-9]+_[0-9]+$') GROUP BY ALL),
+gone AS (SELECT CAST(j->>'$."RDD ID"' AS INTEGER) AS rdd_id, max(pos) AS upos
+         FROM l WHERE j->>'$.Event' = 'SparkListenerUnpersistRDD' GROUP BY ALL),
+b AS (SELECT CAST(split_part(block_id, '_', 2) AS INTEGER) AS rdd_id,
+             CAST(split_part(block_id, '_', 3) AS INTEGER) AS part, pos, mem, disk FROM latest)
+SELECT b.rdd_id, count(DISTINCT part) AS num_partitions,
+       sum(mem) / 1048576.0 AS memory_used_mb, sum(disk) / 1048576.0 AS disk_used_mb
+FROM b LEFT JOIN gone g ON g.rdd_id = b.rdd_id
+WHERE (g.upos IS NULL OR b.pos > g.upos) AND (mem > 0 OR disk > 0)
+GROUP BY b.rdd_id
+"""
+
+
+@pytest.fixture(scope="module")
+def own_log(spark):
+    """Run a workload that caches, unpersists and fails, then read our log."""
+    from pyspark.sql import functions as F
+    from tests.conftest import SF_SMALL
+
+    sc = spark.sparkContext
+    sc.setLocalProperty("spark.jobGroup.id", "eventlog-test")
+    a = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet").repartition(4).cache()
+    a.count()
+    b = spark.range(5000).repartition(3).cache()
+    b.count()
+    b.unpersist(blocking=True)
+    with pytest.raises(Exception):
+        spark.range(3).select(F.raise_error(F.lit("boom"))).collect()
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    files = [f for f in glob.glob(session_event_log_path(spark) + "/events_*")] or glob.glob(
+        session_event_log_path(spark)
+    )
+    log = read_event_log(spark, session_event_log_path(spark))
+    yield log, files
+    a.unpersist()
+
+
+def _snapshot(spark, files, scratch):
+    """Copy of the live log: lines complete at this moment, in order."""
+    out = os.path.join(scratch, "snapshot-log", "snap-app")
+    os.makedirs(os.path.dirname(out), exist_ok=True)
+    with open(out, "w") as w:
+        for f in sorted(files):
+            with open(f) as r:
+                for line in r:
+                    if line.endswith("\n"):
+                        w.write(line)
+    return out
+
+
+@pytest.mark.parametrize(
+    "report,sql,digits",
+    [("jobs", JOBS_SQL, 9), ("spill", SPILL_SQL, 9), ("storage", STORAGE_SQL, 9)],
+)
+def test_real_log_matches_duckdb(spark, duck, own_log, scratch, report, sql, digits):
+    _, files = own_log
+    snap = _snapshot(spark, files, scratch)
+    log = read_event_log(spark, snap)
+    df = getattr(runlog, f"eventlog_{report}")(log).drop("app_id")
+    if report == "storage":
+        df = df.drop("name")
+    con = duck("/root/testdata/sf0.001")
+    cur = con.execute(sql.format(path=snap))
+    cols = [d[0] for d in cur.description]
+    expected = bag(cols, cur.fetchall(), digits)
+    assert len(expected) > 0
+    assert spark_bag(df, digits) == expected
+
+
+def test_real_log_sees_the_workload(spark, own_log, scratch):
+    _, files = own_log
+    log = read_event_log(spark, _snapshot(spark, files, scratch))
+    jobs = runlog.eventlog_jobs(log)
+    grp = jobs.where("job_group = 'eventlog-test'").collect()
+    assert any(r["status"] == "FAILED" for r in grp)
+    storage = runlog.eventlog_storage(log).collect()
+    names = [s["name"] or "" for s in storage]
+    assert any("lineitem" in n and s["num_partitions"] == 4 for n, s in zip(names, storage))
+    assert not any("Range (0, 5000" in n for n in names)  # unpersisted, so gone

@@ -1,0 +1,111 @@
+"""ALS checks that do not trust MLlib's own numbers."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tessera.operators import metrics, recommender
+from tessera.operators.split import hash_split
+from tessera.plans import ratings as R
+from tessera.sources.tables import planted_ratings
+from tests.conftest import SF_SMALL
+
+PARAMS = recommender.AlsParams(seed=7)
+
+
+@pytest.fixture(scope="module")
+def fitted(spark):
+    train, test = hash_split(R.ratings(spark, SF_SMALL))
+    model, _ = recommender.fit(train, PARAMS)
+    return model, train, test
+
+
+def test_user_vectors_solve_their_normal_equations(fitted):
+    """Users are solved last: (V'V + lambda*n_u*I) u = V'r for each user."""
+    model, train, _ = fitted
+    items = {r["id"]: np.array(r["features"], dtype=np.float64) for r in model.itemFactors.collect()}
+    users = {r["id"]: np.array(r["features"], dtype=np.float64) for r in model.userFactors.collect()}
+    by_user = {}
+    for r in train.select("userId", "movieId", "rating").collect():
+        by_user.setdefault(r["userId"], []).append((r["movieId"], r["rating"]))
+    worst = 0.0
+    for u, rows in by_user.items():
+        V = np.stack([items[i] for i, _ in rows])
+        y = np.array([x for _, x in rows], dtype=np.float64)
+        A = V.T @ V + PARAMS.reg_param * len(rows) * np.eye(PARAMS.rank)
+        worst = max(worst, float(np.max(np.abs(A @ users[u] - V.T @ y))))
+    assert worst < 1e-3
+
+
+def test_quality_on_planted_ratings(spark):
+    planted = planted_ratings(R.ratings(spark, SF_SMALL))
+    train, test = hash_split(planted)
+    model, _ = recommender.fit(train, PARAMS)
+    als = metrics.rmse(recommender.predict(model, test)).first()["rmse"]
+    base = metrics.mean_baseline_rmse(train, test).first()["rmse"]
+    assert als < 0.3 and als < base / 2
+
+
+def test_join_scoring_equals_transform(fitted):
+    model, _, test = fitted
+    ours = recommender.score_vectors(test, model.userFactors, model.itemFactors)
+    mllib = recommender.predict(model, test)
+    keys = ["userId", "movieId", "timestamp", "rating"]
+    j = ours.withColumnRenamed("prediction", "p1").join(
+        mllib.withColumnRenamed("prediction", "p2"), keys
+    )
+    assert j.count() == ours.count() == mllib.count()
+    assert j.agg(F.max(F.abs(F.col("p1") - F.col("p2")))).first()[0] < 1e-4
+
+
+def test_cold_start_drop_is_the_semi_join(spark):
+    r = R.ratings(spark, SF_SMALL)
+    train, test = hash_split(r)
+    # hold out some users and items so the drop has work to do
+    train = train.where((F.col("userId") % 10 != 0) & (F.col("movieId") % 17 != 0))
+    model, _ = recommender.fit(train, PARAMS)
+    kept = recommender.predict(model, test).select(*test.columns)
+    semi = recommender.cold_start_kept(train, test)
+    assert kept.count() == semi.count() == 968
+    assert kept.exceptAll(semi).count() == 0
+
+
+def test_null_rows_are_dropped_before_fit(spark):
+    df = spark.createDataFrame(
+        [(1, 1, 4.0, 0), (1, 2, 3.0, 0), (2, 1, 5.0, 0), (None, 1, 1.0, 0), (2, 2, None, 0)],
+        "userId int, movieId int, rating float, timestamp long",
+    )
+    model, _ = recommender.fit(df, recommender.AlsParams(rank=2, max_iter=2))
+    assert model.userFactors.count() == 2
+
+
+def test_all_cold_test_gives_null_rmse(spark, fitted):
+    model, _, _ = fitted
+    cold = spark.createDataFrame([(10**6, 10**6, 3.0, 0)], "userId int, movieId int, rating float, timestamp long")
+    row = metrics.rmse(recommender.predict(model, cold)).first()
+    assert row["rmse"] is None and row["scored"] == 0
+
+
+def test_rmse_matches_evaluator(fitted):
+    from pyspark.ml.evaluation import RegressionEvaluator
+
+    model, _, test = fitted
+    pred = recommender.predict(model, test)
+    ours = metrics.rmse(pred).first()["rmse"]
+    theirs = RegressionEvaluator(metricName="rmse", labelCol="rating", predictionCol="prediction").evaluate(pred)
+    assert abs(ours - theirs) < 1e-9
+
+
+def test_seeded_fit_is_repeatable_across_partitionings(spark):
+    r = R.ratings(spark, SF_SMALL)
+    out = []
+    for n in (3, 11):
+        train, test = hash_split(r.repartition(n))
+        model, _ = recommender.fit(train, PARAMS)
+        out.append(metrics.rmse(recommender.predict(model, test)).first()["rmse"])
+    assert abs(out[0] - out[1]) < 1e-6
+
+
+def test_block_count_follows_cluster(spark):
+    assert recommender.block_count(spark, recommender.AlsParams()) == max(10, spark.sparkContext.defaultParallelism)
+    assert recommender.block_count(spark, recommender.AlsParams(num_blocks=3)) == 3

@@ -1,0 +1,40 @@
+import json
+import os
+import tempfile
+
+from tessera.operators import runlog
+from tessera.sources.eventlog import read_event_log
+from tessera.streaming import job_status_stream
+from tests.test_eventlog import FIXTURE
+
+
+def test_stream_equals_batch_report(spark, scratch):
+    d = os.path.join(scratch, "stream-log")
+    os.makedirs(d, exist_ok=True)
+    half = len(FIXTURE) // 2
+    with open(os.path.join(d, "events_1_app-stream"), "w") as f:
+        f.writelines(json.dumps(e) + "\n" for e in FIXTURE[:half])
+    ckpt = tempfile.mkdtemp(prefix="stream-ckpt-", dir=scratch)
+    q = (
+        job_status_stream(spark, d)
+        .writeStream.outputMode("update")
+        .format("memory")
+        .queryName("job_status")
+        .option("checkpointLocation", ckpt)
+        .start()
+    )
+    try:
+        q.processAllAvailable()
+        first = {r["job_id"]: r["status"] for r in spark.table("job_status").collect()}
+        assert first == {0: "RUNNING"}  # started, its end not yet written
+        with open(os.path.join(d, "events_2_app-stream"), "w") as f:
+            f.writelines(json.dumps(e) + "\n" for e in FIXTURE[half:])
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    live = spark.table("job_status")
+    latest = {}
+    for r in live.collect():  # update mode: the last row per job is its state
+        latest[r["job_id"]] = r["status"]
+    batch = {r["job_id"]: r["status"] for r in runlog.eventlog_jobs(read_event_log(spark, d)).collect()}
+    assert latest == batch == {0: "SUCCEEDED", 1: "FAILED", 2: "RUNNING"}
