@@ -61,7 +61,7 @@ def q_ratings_view(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_record_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.ratings(spark, sf_dir).agg(F.count(F.lit(1)).alias("records"))
+    return R.staged(spark, sf_dir).agg(F.count(F.lit(1)).alias("records"))
 
 
 def q_hash_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,39 +70,39 @@ def q_hash_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q_split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
-        label_split(R.ratings(spark, sf_dir))
+        label_split(R.staged(spark, sf_dir))
         .groupBy("split")
         .agg(F.count(F.lit(1)).alias("records"))
     )
 
 
 def q_rmse_mean_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train, test = R.split(spark, sf_dir)
-    return metrics.mean_baseline_rmse(train, test).select(_r("rmse"), "test_records")
+    labelled = label_split(R.staged(spark, sf_dir))
+    return metrics.mean_baseline_rmse(labelled).select(_r("rmse"), "test_records")
 
 
 def q_size_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sizing.size_estimate(R.ratings(spark, sf_dir))
+    return sizing.size_estimate(R.staged(spark, sf_dir))
 
 
 def q_memory_pressure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = sizing.size_estimate(R.ratings(spark, sf_dir))
+    sizes = sizing.size_estimate(R.staged(spark, sf_dir))
     return sizing.memory_pressure(sizes, MEMORY_SETTINGS)
 
 
 def q_skew_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = R.ratings(spark, sf_dir)
+    r = R.staged(spark, sf_dir)
     users = layout.skew_summary(r, USER_COL).select(F.lit(USER_COL).alias("key_col"), "*")
     items = layout.skew_summary(r, ITEM_COL).select(F.lit(ITEM_COL).alias("key_col"), "*")
     return users.unionByName(items)
 
 
 def q_partition_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.partition_records(layout.repartition(R.ratings(spark, sf_dir), 8))
+    return layout.partition_records(layout.repartition(R.staged(spark, sf_dir), 8))
 
 
 def q_partition_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.partition_totals(layout.repartition(R.ratings(spark, sf_dir), 8))
+    return layout.partition_totals(layout.repartition(R.staged(spark, sf_dir), 8))
 
 
 def q_csv_scan_explicit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,7 +127,7 @@ def q_score_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     emb = read_table(spark, R.sf_path(sf_dir), "embeddings").select(
         F.col("vec_id").alias("id"), F.col("embedding").alias("features")
     )
-    scored = recommender.score_vectors(R.ratings(spark, sf_dir), emb, emb)
+    scored = recommender.score_vectors(R.staged(spark, sf_dir), emb, emb)
     return scored.select(*RATING_COLUMNS, _r("prediction"))
 
 

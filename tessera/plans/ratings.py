@@ -67,8 +67,14 @@ def staged_wide_csv(spark: SparkSession, sf_dir: str) -> str:
     return stage(spark, "ratings_wide_csv", tag, build, write=write_ratings_csv)
 
 
+def staged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The staged Parquet ratings: later queries read this columnar copy
+    instead of repeating the lineitem x orders join."""
+    return spark.read.parquet(staged_ratings_parquet(spark, sf_dir))
+
+
 def split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return hash_split(ratings(spark, sf_dir).select(*RATING_COLUMNS))
+    return hash_split(staged(spark, sf_dir).select(*RATING_COLUMNS))
 
 
 def fitted_model(
@@ -83,8 +89,7 @@ def fitted_model(
     with _lock:
         model = _models.get(key)
     if model is None:
-        staged = spark.read.parquet(staged_ratings_parquet(spark, sf_dir))
-        train, _ = hash_split(staged)
+        train, _ = split(spark, sf_dir)
         model, _ = recommender.fit(train, params)
         with _lock:
             _models[key] = model

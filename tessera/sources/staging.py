@@ -8,6 +8,7 @@ stage counts as present only when its write committed (``_SUCCESS``).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,14 +36,30 @@ def stage(
     fmt: str = "parquet",
     write: Callable[[DataFrame, str], object] | None = None,
 ) -> str:
-    """Path of ``name/tag`` in the shared folder, written by ``build`` if absent."""
+    """Path of ``name/tag`` in the shared folder, written by ``build`` if absent.
+
+    The copy is written to a private attempt folder and then renamed into
+    place, so readers never see a half-written stage and two writers of the
+    same stage do not mix files; whichever rename lands first is kept.
+    """
     path = shared_path(spark, name, tag)
+    if path_complete(spark, path):
+        return path
+    attempt = f"{path}.attempt-{uuid.uuid4().hex}"
+    df = build()
+    if write is not None:
+        write(df, attempt)
+    else:
+        df.write.mode("overwrite").format(fmt).save(attempt)
+    jvm = spark.sparkContext._jvm
+    src, dst = jvm.org.apache.hadoop.fs.Path(attempt), jvm.org.apache.hadoop.fs.Path(path)
+    fs = dst.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not path_complete(spark, path):
-        df = build()
-        if write is not None:
-            write(df, path)
-        else:
-            df.write.mode("overwrite").format(fmt).save(path)
+        if fs.exists(dst):  # a failed earlier write left files without _SUCCESS
+            fs.delete(dst, True)
+        fs.rename(src, dst)
+    if fs.exists(src):  # another writer won the race
+        fs.delete(src, True)
     return path
 
 

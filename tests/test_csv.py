@@ -84,3 +84,24 @@ def test_staging_is_written_once(spark):
     mtime = os.path.getmtime(os.path.join(p1, "_SUCCESS"))
     assert R.staged_ratings_parquet(spark, SF_SMALL) == p1
     assert os.path.getmtime(os.path.join(p1, "_SUCCESS")) == mtime
+
+
+def test_stage_publishes_by_rename(spark):
+    import uuid
+
+    from tessera.session import shared_path
+    from tessera.sources.staging import stage
+
+    tag = uuid.uuid4().hex
+    calls = []
+
+    def build():
+        calls.append(1)
+        return spark.range(10)
+
+    p = stage(spark, "unit_stage", tag, build)
+    assert p == shared_path(spark, "unit_stage", tag)
+    assert spark.read.parquet(p).count() == 10
+    assert stage(spark, "unit_stage", tag, build) == p and len(calls) == 1
+    parent = os.path.dirname(p.replace("file:", ""))
+    assert not [n for n in os.listdir(parent) if ".attempt-" in n]
