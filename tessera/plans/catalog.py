@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import layout, metrics, recommender, runlog, sizing
-from tessera.operators.split import DEFAULT_SEED, label_split, split_threshold
+from tessera.operators.split import DEFAULT_SEED, label_split, random_split, split_threshold
 from tessera.plans import experiment
 from tessera.plans import ratings as R
 from tessera.schema import ITEM_COL, RATING_COLUMNS, USER_COL
@@ -76,6 +76,14 @@ def q_split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def q_random_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spark's native ``randomSplit`` (depends on the input partitioning)."""
+    train, test = random_split(R.staged(spark, sf_dir))
+    return train.withColumn("split", F.lit("train")).unionByName(
+        test.withColumn("split", F.lit("test"))
+    )
+
+
 def q_rmse_mean_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = label_split(R.staged(spark, sf_dir))
     return metrics.mean_baseline_rmse(labelled).select(_r("rmse"), "test_records")
@@ -188,6 +196,10 @@ def q_experiment_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _experiments(spark, sf_dir, experiment.choose_configs())[0]
 
 
+def q_experiment_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return experiment.summary(_experiments(spark, sf_dir, experiment.choose_configs())[0])
+
+
 def q_experiment_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _experiments(spark, sf_dir, experiment.choose_configs())[1]
 
@@ -210,6 +222,12 @@ def q_eventlog_phase_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runlog.jobs_by_group(runlog.eventlog_jobs(_session_log(spark)))
 
 
+def q_eventlog_first_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The short listing: first five jobs of this application."""
+    _experiments(spark, sf_dir, [_EXPERIMENT_CONFIG])
+    return runlog.first_jobs(runlog.eventlog_jobs(_session_log(spark)), 5)
+
+
 def q_eventlog_storage(spark: SparkSession, sf_dir: str) -> DataFrame:
     _experiments(spark, sf_dir, [_EXPERIMENT_CONFIG])
     return runlog.eventlog_storage(_session_log(spark))
@@ -223,6 +241,7 @@ def q_eventlog_spill(spark: SparkSession, sf_dir: str) -> DataFrame:
 EVENTLOG_QUERIES: dict[str, Query] = {
     "eventlog_jobs": q_eventlog_jobs,
     "eventlog_phase_jobs": q_eventlog_phase_jobs,
+    "eventlog_first_jobs": q_eventlog_first_jobs,
     "eventlog_storage": q_eventlog_storage,
     "eventlog_spill": q_eventlog_spill,
 }
@@ -253,6 +272,8 @@ QUERIES: dict[str, Query] = {
     "experiment_result": q_experiment_result,
     "experiment_sweep": q_experiment_sweep,
     "experiment_phases": q_experiment_phases,
+    "experiment_summary": q_experiment_summary,
+    "random_split": q_random_split,
 }
 
 

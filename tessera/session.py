@@ -53,3 +53,48 @@ def path_complete(spark: SparkSession, path: str) -> bool:
 
 def default_parallelism(spark: SparkSession) -> int:
     return int(spark.sparkContext.defaultParallelism)
+
+
+# The reference's session settings for an experiment run.
+REFERENCE_SETTINGS = {
+    "spark.executor.cores": "1",
+    "spark.driver.memory": "2g",
+    "spark.sql.shuffle.partitions": "20",
+    "spark.memory.fraction": "0.8",
+    "spark.memory.storageFraction": "0.3",
+    "spark.rpc.message.maxSize": "256",
+    "spark.kryoserializer.buffer.max": "512m",
+}
+
+# Runtime SQL options this library relies on; safe to set on a given session.
+RUNTIME_SETTINGS = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+}
+
+
+def build_session(
+    app_name: str,
+    master: str | None = None,
+    executor_memory: str = "4g",
+    extra: dict[str, str] | None = None,
+) -> SparkSession:
+    """A session we own (command line, benchmarks): the reference's
+    settings plus our runtime options.  Static settings only take effect
+    when this call starts the JVM; a session handed to the library is never
+    rebuilt or stopped by it."""
+    builder = SparkSession.builder.appName(app_name)
+    if master:
+        builder = builder.master(master)
+    settings = {**REFERENCE_SETTINGS, **RUNTIME_SETTINGS, "spark.executor.memory": executor_memory}
+    settings.update(extra or {})
+    for k, v in settings.items():
+        builder = builder.config(k, v)
+    return builder.getOrCreate()
+
+
+def apply_runtime_settings(spark: SparkSession) -> None:
+    """Set only runtime SQL options on a session we were given."""
+    for k, v in RUNTIME_SETTINGS.items():
+        spark.conf.set(k, v)
