@@ -32,7 +32,8 @@ def partition_records(df: DataFrame, spark: SparkSession | None = None) -> DataF
         F.count(F.lit(1)).alias("records")
     )
     ids = spark.range(n).select(F.col("id").cast("int").alias("partition_id"))
-    return ids.join(counts, "partition_id", "left").select(
+    # full outer: if the run ends with more partitions than planned, none is lost
+    return ids.join(counts, "partition_id", "full").select(
         "partition_id", F.coalesce(F.col("records"), F.lit(0).cast("long")).alias("records")
     )
 
