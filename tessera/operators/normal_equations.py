@@ -1,0 +1,235 @@
+"""ALS by distributed normal equations: an exact solver for skewed ratings.
+
+MLlib's ALS solves every user (and item) inside one block, so a user with
+a third of all ratings makes one task do a third of each half-step.  This
+solver reaches the same fixed point of the same objective with Spark jobs
+that split such keys:
+
+* each rating meets the current vector of its other side (a broadcast
+  join when that factor table is provably small, a shuffle join otherwise);
+* the normal-equation terms ``sum v v^T``, ``sum r v`` and the count are
+  summed by (id, salt): ids holding more than their share of rows get
+  several salt buckets (a hash of the other id), everything else salt 0;
+  the buckets are then summed by id -- partial aggregation on both levels;
+* every id's small ``(A + lambda n I) x = b`` system is solved in an
+  Arrow-batched pandas UDF (numpy, batched over many ids per call);
+* factor tables are written as Parquet into the shared folder after every
+  half-step (one computation, then read back), so lineage stays short and
+  a lost executor costs at most one step.
+
+Explicit feedback only.  Initial user vectors are a hash-seeded Gaussian,
+normalised to unit length, so they do not depend on partitioning.
+"""
+
+from __future__ import annotations
+
+import math
+import time
+
+import numpy as np
+import pandas as pd
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tessera.operators.recommender import AlsParams, drop_unusable
+import uuid
+
+from tessera.session import shared_path
+
+# Broadcast a factor table only below this many bytes (rows x rank x 4 + overhead).
+MAX_BROADCAST_BYTES = 256 * 1024 * 1024
+_ROW_OVERHEAD = 48
+
+
+def _pairs(rank: int) -> list[tuple[int, int]]:
+    return [(j, k) for j in range(rank) for k in range(j, rank)]
+
+
+def _solver(rank: int, reg: float):
+    pairs = _pairs(rank)
+    iu = (np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs]))
+
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def solve(ata: pd.Series, atb: pd.Series, n: pd.Series) -> pd.Series:
+        m = len(ata)
+        if m == 0:
+            return pd.Series([], dtype=object)
+        upper = np.stack(ata.to_numpy())
+        A = np.zeros((m, rank, rank))
+        A[:, iu[0], iu[1]] = upper
+        A[:, iu[1], iu[0]] = upper
+        A += reg * n.to_numpy(dtype=np.float64)[:, None, None] * np.eye(rank)
+        b = np.stack(atb.to_numpy())
+        x = np.linalg.solve(A, b[:, :, None])[:, :, 0]
+        return pd.Series(list(x.astype(np.float32)))
+
+    return solve
+
+
+def _init_factors(ids: DataFrame, id_col: str, rank: int, seed: int) -> DataFrame:
+    """Unit-length vectors from a hash-seeded Gaussian (Box-Muller)."""
+    two52 = float(2**52)
+
+    def uniform(k: int, j: int):
+        h = F.xxhash64(F.col(id_col), F.lit(seed), F.lit(k), F.lit(j))
+        return (F.pmod(h, F.lit(2**52)).cast("double") + F.lit(0.5)) / F.lit(two52)
+
+    comps = [
+        F.sqrt(F.lit(-2.0) * F.log(uniform(k, 0))) * F.cos(F.lit(2 * math.pi) * uniform(k, 1))
+        for k in range(rank)
+    ]
+    raw = F.array(*comps)
+    norm = F.sqrt(F.aggregate(raw, F.lit(0.0), lambda acc, x: acc + x * x))
+    return ids.select(
+        F.col(id_col).alias("id"),
+        F.transform(raw, lambda x: (x / norm).cast("float")).alias("features"),
+    )
+
+
+def hot_keys(ratings: DataFrame, key: str, partitions: int) -> DataFrame:
+    """Keys with more than ``total / partitions`` rows and their salt count.
+
+    At most ``partitions`` keys can exceed that share, so the table is
+    bounded by the partition count and safe to broadcast.
+    """
+    counts = ratings.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    total = ratings.agg(F.count(F.lit(1))).scalar()
+    share = total / F.lit(partitions)
+    return counts.where(F.col("n") > share).select(
+        F.col(key).alias("_hot"), F.ceil(F.col("n") / share).cast("int").alias("_salts")
+    )
+
+
+class NormalEquationsModel:
+    """User and item factor tables with an ALSModel-like ``transform``."""
+
+    def __init__(self, rank: int, user_factors: DataFrame, item_factors: DataFrame, params: AlsParams):
+        self.rank = rank
+        self.userFactors = user_factors
+        self.itemFactors = item_factors
+        self.params = params
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        p = self.params
+        how = "inner" if p.cold_start_strategy == "drop" else "left"
+        u = self.userFactors.select(F.col("id").alias(p.user_col), F.col("features").alias("_u"))
+        i = self.itemFactors.select(F.col("id").alias(p.item_col), F.col("features").alias("_i"))
+        prods = F.zip_with(F.col("_u"), F.col("_i"), lambda x, y: x * y)
+        pred = F.aggregate(prods, F.lit(0.0).cast("float"), lambda acc, v: acc + v)
+        return (
+            df.join(u, p.user_col, how)
+            .join(i, p.item_col, how)
+            .withColumn("prediction", F.coalesce(pred, F.lit(float("nan")).cast("float")))
+            .drop("_u", "_i")
+        )
+
+
+def _maybe_broadcast(factors: DataFrame, rows: int, rank: int) -> DataFrame:
+    if rows * (rank * 4 + _ROW_OVERHEAD) <= MAX_BROADCAST_BYTES:
+        return F.broadcast(factors)
+    return factors
+
+
+def _term_sql(rank: int, rating_col: str) -> tuple[list[str], list[str]]:
+    """SQL for the per-rating normal-equation terms and their names.
+
+    Written as expression text so a half-step plan is built with a few
+    calls to the JVM instead of several per term.
+    """
+    v = [f"CAST(_v[{k}] AS DOUBLE)" for k in range(rank)]
+    names = [f"a{a}_{b}" for a, b in _pairs(rank)] + [f"b{a}" for a in range(rank)]
+    exprs = [f"{v[a]} * {v[b]} AS a{a}_{b}" for a, b in _pairs(rank)]
+    exprs += [f"CAST(`{rating_col}` AS DOUBLE) * {v[a]} AS b{a}" for a in range(rank)]
+    return exprs, names
+
+
+def _half_step(
+    ratings: DataFrame,
+    src_col: str,
+    dst_col: str,
+    src_factors: DataFrame,
+    src_rows: int,
+    hot: DataFrame,
+    params: AlsParams,
+    solve,
+) -> DataFrame:
+    rank = params.rank
+    vec = src_factors.selectExpr(f"id AS `{src_col}`", "features AS _v")
+    j = ratings.join(_maybe_broadcast(vec, src_rows, rank), src_col)
+    j = j.join(F.broadcast(hot), j[dst_col] == hot["_hot"], "left")
+    exprs, names = _term_sql(rank, params.rating_col)
+    salt = (
+        f"CASE WHEN _salts IS NULL THEN 0 "
+        f"ELSE pmod(xxhash64(`{src_col}`), CAST(_salts AS BIGINT)) END AS _salt"
+    )
+    wide = j.selectExpr(f"`{dst_col}`", salt, "1L AS n", *exprs)
+    sums = [F.expr(f"sum({c}) AS {c}") for c in ["n", *names]]
+    part = wide.groupBy(dst_col, "_salt").agg(*sums)
+    total = part.groupBy(dst_col).agg(*sums)
+    ata = "array(" + ", ".join(f"a{a}_{b}" for a, b in _pairs(rank)) + ") AS ata"
+    atb = "array(" + ", ".join(f"b{a}" for a in range(rank)) + ") AS atb"
+    packed = total.selectExpr(f"CAST(`{dst_col}` AS INT) AS id", ata, atb, "n")
+    return packed.select("id", solve("ata", "atb", "n").alias("features"))
+
+
+class _FactorStore:
+    """Factor tables written to the shared folder; older ones removed once
+    a newer table for the same side has committed."""
+
+    def __init__(self, spark):
+        self.spark = spark
+        self.root = shared_path(spark, "als_normal_equations", uuid.uuid4().hex)
+        self.latest: dict[str, str] = {}
+        self.step = 0
+
+    def put(self, side: str, df: DataFrame) -> DataFrame:
+        self.step += 1
+        path = f"{self.root}/{side}_{self.step:04d}"
+        df.write.mode("overwrite").parquet(path)
+        back = self.spark.read.parquet(path)
+        old = self.latest.get(side)
+        self.latest[side] = path
+        if old:
+            self._delete(old)
+        return back
+
+    def _delete(self, path: str) -> None:
+        jvm = self.spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def fit(train: DataFrame, params: AlsParams = AlsParams()) -> tuple[NormalEquationsModel, float]:
+    """Fit; factor tables of the result live in the shared folder."""
+    spark = train.sparkSession
+    start = time.perf_counter()
+    u, i = params.user_col, params.item_col
+    store = _FactorStore(spark)
+    ratings = drop_unusable(train.select(u, i, params.rating_col), params).persist(
+        StorageLevel.MEMORY_AND_DISK
+    )
+    try:
+        parts = max(1, int(spark.sparkContext.defaultParallelism))
+        hot_users = store.put("hot_users", hot_keys(ratings, u, parts))
+        hot_items = store.put("hot_items", hot_keys(ratings, i, parts))
+        solve = _solver(params.rank, params.reg_param)
+        users = ratings.select(u).distinct()
+        user_f = store.put("users", _init_factors(users, u, params.rank, params.seed))
+        # the id sets do not change between iterations: size them once
+        n_users = user_f.count()
+        n_items = ratings.select(i).distinct().count()
+        item_f = None
+        for _ in range(params.max_iter):
+            item_f = store.put(
+                "items", _half_step(ratings, u, i, user_f, n_users, hot_items, params, solve)
+            )
+            user_f = store.put(
+                "users", _half_step(ratings, i, u, item_f, n_items, hot_users, params, solve)
+            )
+    finally:
+        ratings.unpersist()
+    if item_f is None:
+        raise ValueError("max_iter must be at least 1")
+    return NormalEquationsModel(params.rank, user_f, item_f, params), time.perf_counter() - start

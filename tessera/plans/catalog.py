@@ -158,6 +158,16 @@ def q_als_rmse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.rmse(recommender.predict(model, test))
 
 
+_NE_PARAMS = recommender.AlsParams(solver="normal_equations")
+
+
+def q_als_normal_equations_rmse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same fit and score with the skew-safe normal-equations solver."""
+    model = R.fitted_model(spark, sf_dir, _NE_PARAMS)
+    _, test = R.split(spark, sf_dir)
+    return metrics.rmse(recommender.predict(model, test))
+
+
 def q_als_user_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.fitted_model(spark, sf_dir).userFactors
 
@@ -266,6 +276,7 @@ QUERIES: dict[str, Query] = {
     "cold_start_kept": q_cold_start_kept,
     "als_predict": q_als_predict,
     "als_rmse": q_als_rmse,
+    "als_normal_equations_rmse": q_als_normal_equations_rmse,
     "als_user_factors": q_als_user_factors,
     "als_item_factors": q_als_item_factors,
     "experiment_counts": q_experiment_counts,

@@ -1,0 +1,103 @@
+"""The normal-equations ALS solver: exact on skewed keys."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tessera.operators import metrics, normal_equations, recommender
+from tessera.operators.split import hash_split, label_split
+from tessera.plans import ratings as R
+from tessera.sources.tables import planted_ratings
+from tests.conftest import SF_SMALL
+
+PARAMS = recommender.AlsParams(solver="normal_equations", max_iter=5, seed=3)
+
+
+def _residual(model, train, params):
+    items = {r["id"]: np.array(r["features"], dtype=np.float64) for r in model.itemFactors.collect()}
+    users = {r["id"]: np.array(r["features"], dtype=np.float64) for r in model.userFactors.collect()}
+    by_user = {}
+    for r in train.select("userId", "movieId", "rating").collect():
+        by_user.setdefault(r["userId"], []).append((r["movieId"], r["rating"]))
+    worst = 0.0
+    for u, rows in by_user.items():
+        V = np.stack([items[i] for i, _ in rows])
+        y = np.array([x for _, x in rows], dtype=np.float64)
+        A = V.T @ V + params.reg_param * len(rows) * np.eye(params.rank)
+        worst = max(worst, float(np.max(np.abs(A @ users[u] - V.T @ y))))
+    return worst
+
+
+@pytest.fixture(scope="module")
+def skewed(spark):
+    """Planted ratings where user 0 holds a third of all rows."""
+    base = planted_ratings(R.ratings(spark, SF_SMALL))
+    hot = base.limit(3000).select(
+        F.lit(0).alias("userId"), "movieId", F.lit(4.0).cast("float").alias("rating"), "timestamp"
+    )
+    return base.unionByName(hot).cache()
+
+
+def test_users_solve_their_normal_equations(spark):
+    train, _ = hash_split(R.ratings(spark, SF_SMALL))
+    model, _ = recommender.fit(train, PARAMS)
+    assert isinstance(model, normal_equations.NormalEquationsModel)
+    assert _residual(model, train, PARAMS) < 1e-3
+
+
+def test_quality_on_planted_ratings(spark):
+    planted = planted_ratings(R.ratings(spark, SF_SMALL))
+    train, test = hash_split(planted)
+    model, _ = recommender.fit(train, PARAMS)
+    als = metrics.rmse(recommender.predict(model, test)).first()["rmse"]
+    base = metrics.mean_baseline_rmse(label_split(planted)).first()["rmse"]
+    assert als < 0.3 and als < base / 2
+
+
+def test_auto_picks_it_for_a_hot_user(spark, skewed):
+    share = recommender.heaviest_share(skewed).first()
+    assert share["top_user"] * 3 >= share["total"]
+    assert recommender.choose_solver(skewed, recommender.AlsParams()) == "normal_equations"
+    plain = R.ratings(spark, SF_SMALL)
+    assert recommender.choose_solver(plain, recommender.AlsParams()) == "mllib"
+
+
+def test_hot_user_is_salted_and_exact(spark, skewed):
+    hot = normal_equations.hot_keys(skewed, "userId", 8).collect()
+    assert [(r["_hot"], r["_salts"] > 1) for r in hot] == [(0, True)]
+    model, _ = recommender.fit(skewed, PARAMS)
+    assert model.userFactors.count() == skewed.select("userId").distinct().count()
+    assert _residual(model, skewed, PARAMS) < 1e-3
+
+
+def test_salting_does_not_change_the_sums(spark, skewed):
+    """Same half-step with and without salt buckets gives the same vectors."""
+    users = skewed.select("userId").distinct()
+    uf = normal_equations._init_factors(users, "userId", PARAMS.rank, 1).cache()
+    n = uf.count()
+    solve = normal_equations._solver(PARAMS.rank, PARAMS.reg_param)
+    hot = normal_equations.hot_keys(skewed, "movieId", 1000)  # no hot items at this share
+    many = spark.createDataFrame([(i, 4) for i in range(200)], "_hot int, _salts int")
+    a = normal_equations._half_step(skewed, "userId", "movieId", uf, n, hot, PARAMS, solve)
+    b = normal_equations._half_step(skewed, "userId", "movieId", uf, n, many, PARAMS, solve)
+    va = {r["id"]: np.array(r["features"]) for r in a.collect()}
+    vb = {r["id"]: np.array(r["features"]) for r in b.collect()}
+    assert va.keys() == vb.keys()
+    assert max(float(np.max(np.abs(va[k] - vb[k]))) for k in va) < 1e-4
+
+
+def test_init_is_unit_length_and_layout_free(spark):
+    ids = spark.range(50).select(F.col("id").cast("int").alias("u"))
+    a = {r["id"]: r["features"] for r in normal_equations._init_factors(ids, "u", 6, 9).collect()}
+    b = {r["id"]: r["features"] for r in normal_equations._init_factors(ids.repartition(7), "u", 6, 9).collect()}
+    assert a == b
+    assert all(abs(np.linalg.norm(v) - 1) < 1e-5 for v in a.values())
+
+
+def test_cold_start_nan_mode(spark):
+    train, _ = hash_split(R.ratings(spark, SF_SMALL))
+    params = recommender.AlsParams(solver="normal_equations", max_iter=1, cold_start_strategy="nan")
+    model, _ = recommender.fit(train, params)
+    cold = spark.createDataFrame([(10**6, 10**6, 3.0, 0)], "userId int, movieId int, rating float, timestamp long")
+    row = model.transform(cold).first()
+    assert row["prediction"] != row["prediction"]  # NaN

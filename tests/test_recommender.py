@@ -107,5 +107,5 @@ def test_seeded_fit_is_repeatable_across_partitionings(spark):
 
 
 def test_block_count_follows_cluster(spark):
-    assert recommender.block_count(spark, recommender.AlsParams()) == max(10, spark.sparkContext.defaultParallelism)
+    assert recommender.block_count(spark, recommender.AlsParams()) == spark.sparkContext.defaultParallelism
     assert recommender.block_count(spark, recommender.AlsParams(num_blocks=3)) == 3
