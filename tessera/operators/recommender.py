@@ -89,16 +89,19 @@ def drop_unusable(df: DataFrame, params: AlsParams = AlsParams()) -> DataFrame:
 
 def heaviest_share(train: DataFrame, params: AlsParams = AlsParams()) -> DataFrame:
     """One row: total rows and the largest row count of a single user and
-    of a single item (partial counts per key, then a max)."""
-    total = train.agg(F.count(F.lit(1))).scalar()
-    top_user = (
-        train.groupBy(params.user_col).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).scalar()
+    of a single item.  One pass: counts per user and per item come from a
+    single grouping-sets aggregate (partial counts before the shuffle),
+    then a max over those counts."""
+    u, i = params.user_col, params.item_col
+    per_key = train.groupingSets([[u], [i]], u, i).agg(
+        F.count(F.lit(1)).alias("n"), F.grouping_id().alias("g")
     )
-    top_item = (
-        train.groupBy(params.item_col).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).scalar()
-    )
-    return train.sparkSession.range(1).select(
-        total.alias("total"), top_user.alias("top_user"), top_item.alias("top_item")
+    by_user = F.col("g") == F.lit(1)  # item aggregated away
+    by_item = F.col("g") == F.lit(2)  # user aggregated away
+    return per_key.agg(
+        F.coalesce(F.sum(F.when(by_user, F.col("n"))), F.lit(0)).alias("total"),
+        F.max(F.when(by_user, F.col("n"))).alias("top_user"),
+        F.max(F.when(by_item, F.col("n"))).alias("top_item"),
     )
 
 
