@@ -109,11 +109,11 @@ def choose_solver(train: DataFrame, params: AlsParams = AlsParams()) -> str:
     """The solver for ``train``: MLlib solves each id inside one block, so
     an id with more rows than an average block would serialise a half-step
     behind one task; then the normal-equations solver is used instead."""
-    if params.solver != "auto":
-        return params.solver
     row = heaviest_share(train, params).first()
     if not row["total"]:
-        return "mllib"
+        raise ValueError("no training rows (after dropping NULL ids and ratings)")
+    if params.solver != "auto":
+        return params.solver
     per_block = row["total"] / block_count(train.sparkSession, params)
     heaviest = max(row["top_user"] or 0, row["top_item"] or 0)
     return "normal_equations" if heaviest > per_block else "mllib"
