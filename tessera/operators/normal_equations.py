@@ -6,11 +6,12 @@ solver reaches the same fixed point of the same objective with Spark jobs
 that split such keys:
 
 * each rating meets the current vector of its other side (a broadcast
-  join when that factor table is provably small, a shuffle join otherwise);
+  join when that factor table is provably small, a shuffle join otherwise,
+  where AQE splits a hot join key);
 * the normal-equation terms ``sum v v^T``, ``sum r v`` and the count are
-  summed by (id, salt): ids holding more than their share of rows get
-  several salt buckets (a hash of the other id), everything else salt 0;
-  the buckets are then summed by id -- partial aggregation on both levels;
+  summed per id.  The sums are pre-aggregated in every map task before the
+  shuffle, so a hot id's work is spread over all tasks that hold its rows
+  and its reducer receives one partial row per map task, not its ratings;
 * every id's small ``(A + lambda n I) x = b`` system is solved in an
   Arrow-batched pandas UDF (numpy, batched over many ids per call);
 * factor tables are written as Parquet into the shared folder after every
@@ -88,20 +89,6 @@ def _init_factors(ids: DataFrame, id_col: str, rank: int, seed: int) -> DataFram
     )
 
 
-def hot_keys(ratings: DataFrame, key: str, partitions: int) -> DataFrame:
-    """Keys with more than ``total / partitions`` rows and their salt count.
-
-    At most ``partitions`` keys can exceed that share, so the table is
-    bounded by the partition count and safe to broadcast.
-    """
-    counts = ratings.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    total = ratings.agg(F.count(F.lit(1))).scalar()
-    share = total / F.lit(partitions)
-    return counts.where(F.col("n") > share).select(
-        F.col(key).alias("_hot"), F.ceil(F.col("n") / share).cast("int").alias("_salts")
-    )
-
-
 class NormalEquationsModel:
     """User and item factor tables with an ALSModel-like ``transform``."""
 
@@ -151,23 +138,15 @@ def _half_step(
     dst_col: str,
     src_factors: DataFrame,
     src_rows: int,
-    hot: DataFrame,
     params: AlsParams,
     solve,
 ) -> DataFrame:
     rank = params.rank
     vec = src_factors.selectExpr(f"id AS `{src_col}`", "features AS _v")
     j = ratings.join(_maybe_broadcast(vec, src_rows, rank), src_col)
-    j = j.join(F.broadcast(hot), j[dst_col] == hot["_hot"], "left")
     exprs, names = _term_sql(rank, params.rating_col)
-    salt = (
-        f"CASE WHEN _salts IS NULL THEN 0 "
-        f"ELSE pmod(xxhash64(`{src_col}`), CAST(_salts AS BIGINT)) END AS _salt"
-    )
-    wide = j.selectExpr(f"`{dst_col}`", salt, "1L AS n", *exprs)
-    sums = [F.expr(f"sum({c}) AS {c}") for c in ["n", *names]]
-    part = wide.groupBy(dst_col, "_salt").agg(*sums)
-    total = part.groupBy(dst_col).agg(*sums)
+    wide = j.selectExpr(f"`{dst_col}`", "1L AS n", *exprs)
+    total = wide.groupBy(dst_col).agg(*[F.expr(f"sum({c}) AS {c}") for c in ["n", *names]])
     ata = "array(" + ", ".join(f"a{a}_{b}" for a, b in _pairs(rank)) + ") AS ata"
     atb = "array(" + ", ".join(f"b{a}" for a in range(rank)) + ") AS atb"
     packed = total.selectExpr(f"CAST(`{dst_col}` AS INT) AS id", ata, atb, "n")
@@ -211,9 +190,6 @@ def fit(train: DataFrame, params: AlsParams = AlsParams()) -> tuple[NormalEquati
         StorageLevel.MEMORY_AND_DISK
     )
     try:
-        parts = max(1, int(spark.sparkContext.defaultParallelism))
-        hot_users = store.put("hot_users", hot_keys(ratings, u, parts))
-        hot_items = store.put("hot_items", hot_keys(ratings, i, parts))
         solve = _solver(params.rank, params.reg_param)
         users = ratings.select(u).distinct()
         user_f = store.put("users", _init_factors(users, u, params.rank, params.seed))
@@ -223,10 +199,10 @@ def fit(train: DataFrame, params: AlsParams = AlsParams()) -> tuple[NormalEquati
         item_f = None
         for _ in range(params.max_iter):
             item_f = store.put(
-                "items", _half_step(ratings, u, i, user_f, n_users, hot_items, params, solve)
+                "items", _half_step(ratings, u, i, user_f, n_users, params, solve)
             )
             user_f = store.put(
-                "users", _half_step(ratings, i, u, item_f, n_items, hot_users, params, solve)
+                "users", _half_step(ratings, i, u, item_f, n_items, params, solve)
             )
     finally:
         ratings.unpersist()

@@ -62,28 +62,30 @@ def test_auto_picks_it_for_a_hot_user(spark, skewed):
     assert recommender.choose_solver(plain, recommender.AlsParams()) == "mllib"
 
 
-def test_hot_user_is_salted_and_exact(spark, skewed):
-    hot = normal_equations.hot_keys(skewed, "userId", 8).collect()
-    assert [(r["_hot"], r["_salts"] > 1) for r in hot] == [(0, True)]
+def test_hot_user_is_exact(spark, skewed):
     model, _ = recommender.fit(skewed, PARAMS)
     assert model.userFactors.count() == skewed.select("userId").distinct().count()
     assert _residual(model, skewed, PARAMS) < 1e-3
 
 
-def test_salting_does_not_change_the_sums(spark, skewed):
-    """Same half-step with and without salt buckets gives the same vectors."""
+def test_sums_are_combined_before_the_shuffle(spark, skewed):
+    """The per-id sums are partial aggregates in the map tasks, so a hot id
+    sends one partial row per task, not its ratings, to its reducer."""
+    import contextlib
+    import io
+
     users = skewed.select("userId").distinct()
-    uf = normal_equations._init_factors(users, "userId", PARAMS.rank, 1).cache()
-    n = uf.count()
+    uf = normal_equations._init_factors(users, "userId", PARAMS.rank, 1)
     solve = normal_equations._solver(PARAMS.rank, PARAMS.reg_param)
-    hot = normal_equations.hot_keys(skewed, "movieId", 1000)  # no hot items at this share
-    many = spark.createDataFrame([(i, 4) for i in range(200)], "_hot int, _salts int")
-    a = normal_equations._half_step(skewed, "userId", "movieId", uf, n, hot, PARAMS, solve)
-    b = normal_equations._half_step(skewed, "userId", "movieId", uf, n, many, PARAMS, solve)
-    va = {r["id"]: np.array(r["features"]) for r in a.collect()}
-    vb = {r["id"]: np.array(r["features"]) for r in b.collect()}
-    assert va.keys() == vb.keys()
-    assert max(float(np.max(np.abs(va[k] - vb[k]))) for k in va) < 1e-4
+    step = normal_equations._half_step(skewed, "userId", "movieId", uf, 200, PARAMS, solve)
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        step.explain()
+    plan = buf.getvalue()
+    partial = plan.index("partial_sum")
+    exchange = plan.index("Exchange hashpartitioning(movieId")
+    assert exchange < partial  # printed top-down: the exchange sits above the partial sums
+    assert "BroadcastHashJoin" in plan  # 151 x rank floats: under the checked size
 
 
 def test_init_is_unit_length_and_layout_free(spark):
