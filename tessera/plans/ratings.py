@@ -21,6 +21,8 @@ _lock = threading.Lock()
 _models: dict[tuple, ALSModel] = {}
 
 RATING_TABLES = ["lineitem", "orders"]
+# Bumped whenever what a stage holds changes, so old copies are not reused.
+STAGE_VERSION = 2
 
 
 def sf_path(sf_dir: str) -> str:
@@ -34,14 +36,14 @@ def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def staged_ratings_parquet(spark: SparkSession, sf_dir: str) -> str:
     """Ratings written once as Parquet in the shared folder."""
     sf = sf_path(sf_dir)
-    tag = table_fingerprint(spark, sf, RATING_TABLES)
+    tag = table_fingerprint(spark, sf, RATING_TABLES, STAGE_VERSION)
     return stage(spark, "ratings_parquet", tag, lambda: ratings_from_tables(spark, sf))
 
 
 def staged_ratings_csv(spark: SparkSession, sf_dir: str) -> str:
     """Ratings as header CSV text (the reference's input format)."""
     sf = sf_path(sf_dir)
-    tag = table_fingerprint(spark, sf, RATING_TABLES)
+    tag = table_fingerprint(spark, sf, RATING_TABLES, STAGE_VERSION)
     return stage(
         spark, "ratings_csv", tag, lambda: ratings_from_tables(spark, sf), write=write_ratings_csv
     )
@@ -51,7 +53,7 @@ def staged_wide_csv(spark: SparkSession, sf_dir: str) -> str:
     """Ratings CSV with columns in another order plus extra columns, for
     the by-name projection route."""
     sf = sf_path(sf_dir)
-    tag = table_fingerprint(spark, sf, RATING_TABLES)
+    tag = table_fingerprint(spark, sf, RATING_TABLES, STAGE_VERSION)
 
     def build() -> DataFrame:
         r = ratings_from_tables(spark, sf)
@@ -61,7 +63,7 @@ def staged_wide_csv(spark: SparkSession, sf_dir: str) -> str:
             "timestamp",
             "userId",
             F.col("rating").cast("double").alias("rating"),
-            (F.col("userId") + F.col("movieId")).alias("extra"),
+            (F.col("userId").cast("bigint") + F.col("movieId")).alias("extra"),
         )
 
     return stage(spark, "ratings_wide_csv", tag, build, write=write_ratings_csv)

@@ -16,11 +16,14 @@ from pyspark.sql import DataFrame, SparkSession
 from tessera.session import path_complete, shared_path, source_tag
 
 
-def table_fingerprint(spark: SparkSession, sf_dir: str, names: list[str]) -> str:
-    """Tag that changes when any input table file changes (path, size, mtime)."""
+def table_fingerprint(
+    spark: SparkSession, sf_dir: str, names: list[str], version: object = 0
+) -> str:
+    """Tag that changes when any input table file changes (path, size,
+    mtime) or the staged format ``version`` does."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    parts: list[object] = [sf_dir.rstrip("/")]
+    parts: list[object] = [sf_dir.rstrip("/"), version]
     for name in names:
         p = jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{name}.parquet")
         st = p.getFileSystem(conf).getFileStatus(p)
