@@ -19,6 +19,7 @@ from tessera.plans import experiment
 from tessera.plans import ratings as R
 from tessera.schema import ITEM_COL, RATING_COLUMNS, USER_COL
 from tessera.sources.csv import read_ratings_csv
+from tessera.session import shared_path
 from tessera.sources.eventlog import read_event_log, session_event_log_path
 from tessera.sources.tables import RATINGS_SQL, read_table
 
@@ -248,12 +249,27 @@ def q_eventlog_spill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runlog.eventlog_spill(_session_log(spark))
 
 
+def q_eventlog_jobs_live(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The streaming job monitor over this session's log folder."""
+    import uuid
+
+    from tessera.streaming import job_status_snapshot
+
+    _experiments(spark, sf_dir, [_EXPERIMENT_CONFIG])
+    path = session_event_log_path(spark)
+    if path is None:
+        raise RuntimeError("event logging is off for this session (spark.eventLog.enabled)")
+    ckpt = shared_path(spark, "streams", f"jobs-{uuid.uuid4().hex}")
+    return job_status_snapshot(spark, path, ckpt)
+
+
 EVENTLOG_QUERIES: dict[str, Query] = {
     "eventlog_jobs": q_eventlog_jobs,
     "eventlog_phase_jobs": q_eventlog_phase_jobs,
     "eventlog_first_jobs": q_eventlog_first_jobs,
     "eventlog_storage": q_eventlog_storage,
     "eventlog_spill": q_eventlog_spill,
+    "eventlog_jobs_live": q_eventlog_jobs_live,
 }
 
 

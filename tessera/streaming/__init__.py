@@ -1,5 +1,5 @@
 """Structured Streaming: live job status from a growing event-log folder."""
 
-from tessera.streaming.joblog import job_status_stream
+from tessera.streaming.joblog import job_status_snapshot, job_status_stream
 
-__all__ = ["job_status_stream"]
+__all__ = ["job_status_snapshot", "job_status_stream"]

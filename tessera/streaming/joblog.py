@@ -78,3 +78,25 @@ def job_status_stream(
         "submission_time",
         "completion_time",
     )
+
+
+def job_status_snapshot(spark: SparkSession, log_path: str, checkpoint: str) -> DataFrame:
+    """Run the monitor over what the log holds now (``availableNow``) and
+    return its state table: one row per job, as a batch DataFrame."""
+    import uuid
+
+    name = f"tessera_jobs_{uuid.uuid4().hex[:12]}"
+    q = (
+        job_status_stream(spark, log_path)
+        .writeStream.outputMode("complete")
+        .format("memory")
+        .queryName(name)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    try:
+        q.awaitTermination()
+    finally:
+        q.stop()
+    return spark.table(name)

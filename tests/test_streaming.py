@@ -38,3 +38,18 @@ def test_stream_equals_batch_report(spark, scratch):
         latest[r["job_id"]] = r["status"]
     batch = {r["job_id"]: r["status"] for r in runlog.eventlog_jobs(read_event_log(spark, d)).collect()}
     assert latest == batch == {0: "SUCCEEDED", 1: "FAILED", 2: "RUNNING"}
+
+
+def test_live_query_matches_batch_report(spark):
+    import __spark_entry__ as E
+    from tests.conftest import SF_SMALL
+
+    qs = E.queries()
+    assert "eventlog_jobs_live" in qs  # the test session writes an event log
+    live = {r["job_id"]: r["status"] for r in qs["eventlog_jobs_live"](spark, SF_SMALL).collect()}
+    batch = {r["job_id"]: r["status"] for r in qs["eventlog_jobs"](spark, SF_SMALL).collect()}
+    assert live
+    # the batch report reads later: every job the stream saw is there, and
+    # every job the stream saw finish has the same final status
+    assert set(live) <= set(batch)
+    assert all(batch[j] == s for j, s in live.items() if s != "RUNNING")
