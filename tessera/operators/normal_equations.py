@@ -18,7 +18,7 @@ that split such keys:
   half-step (one computation, then read back), so lineage stays short and
   a lost executor costs at most one step.
 
-Explicit feedback only.  Initial user vectors are a hash-seeded Gaussian,
+Explicit feedback only.  Ids may be any integral type (MLlib needs int).  Initial user vectors are a hash-seeded Gaussian,
 normalised to unit length, so they do not depend on partitioning.
 """
 
@@ -149,7 +149,7 @@ def _half_step(
     total = wide.groupBy(dst_col).agg(*[F.expr(f"sum({c}) AS {c}") for c in ["n", *names]])
     ata = "array(" + ", ".join(f"a{a}_{b}" for a, b in _pairs(rank)) + ") AS ata"
     atb = "array(" + ", ".join(f"b{a}" for a in range(rank)) + ") AS atb"
-    packed = total.selectExpr(f"CAST(`{dst_col}` AS INT) AS id", ata, atb, "n")
+    packed = total.selectExpr(f"`{dst_col}` AS id", ata, atb, "n")
     return packed.select("id", solve("ata", "atb", "n").alias("features"))
 
 

@@ -87,6 +87,9 @@ def drop_unusable(df: DataFrame, params: AlsParams = AlsParams()) -> DataFrame:
     )
 
 
+INT_MIN, INT_MAX = -(2**31), 2**31 - 1
+
+
 def heaviest_share(train: DataFrame, params: AlsParams = AlsParams()) -> DataFrame:
     """One row: total rows and the largest row count of a single user and
     of a single item.  One pass: counts per user and per item come from a
@@ -102,18 +105,26 @@ def heaviest_share(train: DataFrame, params: AlsParams = AlsParams()) -> DataFra
         F.coalesce(F.sum(F.when(by_user, F.col("n"))), F.lit(0)).alias("total"),
         F.max(F.when(by_user, F.col("n"))).alias("top_user"),
         F.max(F.when(by_item, F.col("n"))).alias("top_item"),
+        F.min(F.least(F.col(u), F.col(i))).cast("bigint").alias("min_id"),
+        F.max(F.greatest(F.col(u), F.col(i))).cast("bigint").alias("max_id"),
     )
 
 
 def choose_solver(train: DataFrame, params: AlsParams = AlsParams()) -> str:
     """The solver for ``train``: MLlib solves each id inside one block, so
     an id with more rows than an average block would serialise a half-step
-    behind one task; then the normal-equations solver is used instead."""
+    behind one task, and it only takes ids in the int range; in either
+    case the normal-equations solver is used instead."""
     row = heaviest_share(train, params).first()
     if not row["total"]:
         raise ValueError("no training rows (after dropping NULL ids and ratings)")
+    int_ids = INT_MIN <= row["min_id"] and row["max_id"] <= INT_MAX
+    if params.solver == "mllib" and not int_ids:
+        raise ValueError("MLlib ALS needs ids in the int range; use solver='normal_equations'")
     if params.solver != "auto":
         return params.solver
+    if not int_ids:
+        return "normal_equations"
     per_block = row["total"] / block_count(train.sparkSession, params)
     heaviest = max(row["top_user"] or 0, row["top_item"] or 0)
     return "normal_equations" if heaviest > per_block else "mllib"
@@ -138,8 +149,14 @@ def fit(train: DataFrame, params: AlsParams = AlsParams()) -> tuple[ALSModel, fl
 
 
 def predict(model: ALSModel, df: DataFrame) -> DataFrame:
-    """Input rows plus ``prediction``; cold-start rows dropped per the model."""
-    return model.transform(df)
+    """Input rows plus ``prediction``; cold-start rows dropped per the model.
+
+    Column types are those of ``df`` (MLlib hands ids back as int)."""
+    out = model.transform(df)
+    return out.select(
+        *[F.col(c).cast(df.schema[c].dataType).alias(c) for c in df.columns],
+        *[c for c in out.columns if c not in df.columns],
+    )
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -21,7 +21,7 @@ from tessera.schema import ITEM_COL, RATING_COLUMNS, USER_COL
 from tessera.sources.csv import read_ratings_csv
 from tessera.session import shared_path
 from tessera.sources.eventlog import read_event_log, session_event_log_path
-from tessera.sources.tables import RATINGS_SQL, read_table
+from tessera.sources.tables import RATINGS_CSV_SQL, RATINGS_SQL, read_table
 
 DIGITS = 9
 # Executor memory settings the reference reasons about
@@ -349,9 +349,9 @@ FROM sizes, mem""",
     "skew_summary": _sql(
         _SKEW_SQL.format(k=USER_COL) + "\nUNION ALL\n" + _SKEW_SQL.format(k=ITEM_COL)
     ),
-    "csv_scan_explicit": RATINGS_SQL,
-    "csv_scan_inferred": RATINGS_SQL,
-    "project_cast": RATINGS_SQL,
+    "csv_scan_explicit": RATINGS_CSV_SQL,
+    "csv_scan_inferred": RATINGS_CSV_SQL,
+    "project_cast": RATINGS_CSV_SQL,
     "stage_if_absent": RATINGS_SQL,
     "score_vectors": _sql(
         f"""SELECT r."userId", r."movieId", r.rating, r."timestamp",

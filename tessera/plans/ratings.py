@@ -22,7 +22,7 @@ _models: dict[tuple, ALSModel] = {}
 
 RATING_TABLES = ["lineitem", "orders"]
 # Bumped whenever what a stage holds changes, so old copies are not reused.
-STAGE_VERSION = 2
+STAGE_VERSION = 3
 
 
 def sf_path(sf_dir: str) -> str:

@@ -22,12 +22,14 @@ def ratings_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Plain equi-join on the order key: both sides grow with the data, so no
     broadcast is forced; Catalyst prunes each scan to the columns used.
+    Ids keep the tables' BIGINT type: customer keys pass the int range at
+    large scale factors, where a cast would fail (ANSI) or wrap.
     """
     li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
     od = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     return li.join(od, li.l_orderkey == od.o_orderkey).select(
-        F.col("o_custkey").cast("int").alias(USER_COL),
-        F.col("l_partkey").cast("int").alias(ITEM_COL),
+        F.col("o_custkey").alias(USER_COL),
+        F.col("l_partkey").alias(ITEM_COL),
         (F.ceil(F.col("l_quantity") / 5) * F.lit(0.5)).cast("float").alias(RATING_COL),
         F.unix_timestamp(F.col("o_orderdate")).cast("bigint").alias(TIME_COL),
     )
@@ -48,9 +50,15 @@ def planted_ratings(ratings: DataFrame) -> DataFrame:
 
 # Oracle SQL (DuckDB) for the same ratings; used by the driver's check.
 RATINGS_SQL = """
-SELECT CAST(o_custkey AS INTEGER) AS "userId",
-       CAST(l_partkey AS INTEGER) AS "movieId",
+SELECT o_custkey AS "userId",
+       l_partkey AS "movieId",
        CAST(ceil(l_quantity / 5) * 0.5 AS FLOAT) AS "rating",
        CAST(epoch(o_orderdate) AS BIGINT) AS "timestamp"
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey
 """.strip()
+
+# The same rows in the ratings CSV layout (int ids), for the CSV routes.
+RATINGS_CSV_SQL = """
+SELECT CAST("userId" AS INTEGER) AS "userId", CAST("movieId" AS INTEGER) AS "movieId",
+       rating, "timestamp"
+FROM (""" + RATINGS_SQL + ")"

@@ -103,3 +103,17 @@ def test_cold_start_nan_mode(spark):
     cold = spark.createDataFrame([(10**6, 10**6, 3.0, 0)], "userId int, movieId int, rating float, timestamp long")
     row = model.transform(cold).first()
     assert row["prediction"] != row["prediction"]  # NaN
+
+
+def test_ids_beyond_int_go_to_normal_equations(spark):
+    base = planted_ratings(R.ratings(spark, SF_SMALL))
+    wide = base.withColumn("userId", F.col("userId") + F.lit(2**33))
+    assert recommender.choose_solver(wide, recommender.AlsParams()) == "normal_equations"
+    with pytest.raises(ValueError, match="int range"):
+        recommender.choose_solver(wide, recommender.AlsParams(solver="mllib"))
+    train, test = hash_split(wide)
+    model, _ = recommender.fit(train, recommender.AlsParams(max_iter=4))
+    pred = recommender.predict(model, test)
+    assert dict(pred.dtypes)["userId"] == "bigint"
+    assert pred.agg(F.min("userId")).first()[0] >= 2**33
+    assert metrics.rmse(pred).first()["rmse"] < 0.3
