@@ -148,15 +148,31 @@ def fit(train: DataFrame, params: AlsParams = AlsParams()) -> tuple[ALSModel, fl
     return model, time.perf_counter() - start
 
 
+def _strategy_and_cols(model) -> tuple[str, str, str]:
+    if hasattr(model, "params") and isinstance(model.params, AlsParams):
+        p = model.params
+        return p.cold_start_strategy, p.user_col, p.item_col
+    return model.getColdStartStrategy(), model.getUserCol(), model.getItemCol()
+
+
 def predict(model: ALSModel, df: DataFrame) -> DataFrame:
     """Input rows plus ``prediction``; cold-start rows dropped per the model.
 
-    Column types are those of ``df`` (MLlib hands ids back as int)."""
-    out = model.transform(df)
-    return out.select(
+    Rows with a NULL user or item cannot be scored (MLlib refuses them):
+    they are dropped like cold-start rows, or kept with a NaN prediction
+    under the ``nan`` strategy.  Column types are those of ``df`` (MLlib
+    hands ids back as int)."""
+    strategy, user_col, item_col = _strategy_and_cols(model)
+    known = F.col(user_col).isNotNull() & F.col(item_col).isNotNull()
+    out = model.transform(df.where(known))
+    out = out.select(
         *[F.col(c).cast(df.schema[c].dataType).alias(c) for c in df.columns],
-        *[c for c in out.columns if c not in df.columns],
+        F.col("prediction").cast("float").alias("prediction"),
     )
+    if strategy != "drop":
+        nan = F.lit(float("nan")).cast("float").alias("prediction")
+        out = out.unionByName(df.where(~known).select(*df.columns, nan))
+    return out
 
 
 def dot(a: Column, b: Column) -> Column:

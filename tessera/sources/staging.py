@@ -26,8 +26,13 @@ def table_fingerprint(
     parts: list[object] = [sf_dir.rstrip("/"), version]
     for name in names:
         p = jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{name}.parquet")
-        st = p.getFileSystem(conf).getFileStatus(p)
-        parts += [name, st.getLen(), st.getModificationTime()]
+        fs = p.getFileSystem(conf)
+        st = fs.getFileStatus(p)
+        if st.isDirectory():  # a table of many files: total bytes and file count
+            cs = fs.getContentSummary(p)
+            parts += [name, cs.getLength(), cs.getFileCount(), st.getModificationTime()]
+        else:
+            parts += [name, st.getLen(), st.getModificationTime()]
     return source_tag(*parts)
 
 

@@ -68,3 +68,34 @@ def test_phases_are_job_groups(spark, loader):
     jobs = runlog.eventlog_jobs(read_event_log(spark, session_event_log_path(spark)))
     groups = {r["job_group"] for r in jobs.where("job_group LIKE 'tessera:7n4p:%'").collect()}
     assert {"tessera:7n4p:load", "tessera:7n4p:train"} <= groups
+
+
+def test_unusable_rows_are_counted(spark, scratch):
+    import os
+
+    d = os.path.join(scratch, "with_nulls_csv")
+    os.makedirs(d, exist_ok=True)
+    lines = ["userId,movieId,rating,timestamp"]
+    lines += [f"{u},{m},{(u * m) % 5 + 1}.0,{u * 1000 + m}" for u in range(1, 30) for m in range(1, 20)]
+    lines += [",5,3.0,1", "7,,2.0,2", "8,9,,3"] * 20
+    with open(os.path.join(d, "part.csv"), "w") as f:
+        f.write("\n".join(lines) + "\n")
+    load = lambda: read_ratings_csv(spark, d)
+    result, _ = experiment.run_experiment(
+        spark, load, experiment.ExperimentConfig(1, 2), recommender_params()
+    )
+    df = load()
+    from pyspark.sql import functions as F
+
+    from tessera.operators.split import hash_split
+
+    train, _ = hash_split(df)
+    expected = train.where(F.col("userId").isNull() | F.col("movieId").isNull() | F.col("rating").isNull()).count()
+    assert expected > 0 and result["unusable_records"] == expected
+    assert result["error"] is None and result["rmse"] is not None
+
+
+def recommender_params():
+    from tessera.operators.recommender import AlsParams
+
+    return AlsParams(rank=3, max_iter=3)
