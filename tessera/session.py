@@ -17,8 +17,9 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for checkpoints and staged tables.
 
     Read from the session (``spark.checkpoint.dir``, else the context's
-    checkpoint dir).  Only when neither is set -- a local test session --
-    is a scratch folder created and registered.
+    checkpoint dir).  Only when neither is set and the master is local (a
+    test session) is a scratch folder created and registered; on a cluster
+    that is an error, since a driver-local folder is not shared.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
@@ -26,6 +27,11 @@ def checkpoint_root(spark: SparkSession) -> str:
     if not root:
         root = current
     if not root:
+        if not sc.master.startswith("local"):
+            raise RuntimeError(
+                "set spark.checkpoint.dir to a folder every executor can reach "
+                "(checkpoints and staged tables are written there)"
+            )
         root = tempfile.mkdtemp(prefix="tessera-ckpt-")
     if current is None:
         sc.setCheckpointDir(root)
