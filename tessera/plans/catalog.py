@@ -70,11 +70,9 @@ def q_hash_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
-        label_split(R.staged(spark, sf_dir))
-        .groupBy("split")
-        .agg(F.count(F.lit(1)).alias("records"))
-    )
+    """Rows per side of the default split (a partition column of the staged
+    copy, so no data column is read)."""
+    return R.staged_labelled(spark, sf_dir).groupBy("split").agg(F.count(F.lit(1)).alias("records"))
 
 
 def q_random_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +84,7 @@ def q_random_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_rmse_mean_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labelled = label_split(R.staged(spark, sf_dir))
+    labelled = R.staged_labelled(spark, sf_dir)
     return metrics.mean_baseline_rmse(labelled).select(_r("rmse"), "test_records")
 
 
@@ -127,7 +125,8 @@ def q_project_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_stage_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(R.staged_ratings_parquet(spark, sf_dir))
+    """Ratings staged once (written only when no committed copy exists)."""
+    return R.staged(spark, sf_dir)
 
 
 def q_score_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import recommender
-from tessera.operators.split import hash_split
+from tessera.operators.split import label_split
 from tessera.schema import RATING_COLUMNS
 from tessera.sources.csv import write_ratings_csv
 from tessera.sources.staging import stage, table_fingerprint
@@ -22,7 +22,7 @@ _models: dict[tuple, ALSModel] = {}
 
 RATING_TABLES = ["lineitem", "orders"]
 # Bumped whenever what a stage holds changes, so old copies are not reused.
-STAGE_VERSION = 3
+STAGE_VERSION = 4
 
 
 def sf_path(sf_dir: str) -> str:
@@ -33,11 +33,23 @@ def ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ratings_from_tables(spark, sf_path(sf_dir))
 
 
+def _write_by_split(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").partitionBy("split").parquet(path)
+
+
 def staged_ratings_parquet(spark: SparkSession, sf_dir: str) -> str:
-    """Ratings written once as Parquet in the shared folder."""
+    """Ratings written once as Parquet in the shared folder, partitioned by
+    the default hash-split label: reading one side is a partition-pruned
+    scan, and the per-row hash runs once, at staging."""
     sf = sf_path(sf_dir)
     tag = table_fingerprint(spark, sf, RATING_TABLES, STAGE_VERSION)
-    return stage(spark, "ratings_parquet", tag, lambda: ratings_from_tables(spark, sf))
+    return stage(
+        spark,
+        "ratings_parquet",
+        tag,
+        lambda: label_split(ratings_from_tables(spark, sf)),
+        write=_write_by_split,
+    )
 
 
 def staged_ratings_csv(spark: SparkSession, sf_dir: str) -> str:
@@ -69,14 +81,25 @@ def staged_wide_csv(spark: SparkSession, sf_dir: str) -> str:
     return stage(spark, "ratings_wide_csv", tag, build, write=write_ratings_csv)
 
 
-def staged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The staged Parquet ratings: later queries read this columnar copy
-    instead of repeating the lineitem x orders join."""
+def staged_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The staged Parquet ratings with their ``split`` label (a partition
+    column): later queries read this columnar copy instead of repeating
+    the lineitem x orders join."""
     return spark.read.parquet(staged_ratings_parquet(spark, sf_dir))
 
 
+def staged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return staged_labelled(spark, sf_dir).select(*RATING_COLUMNS)
+
+
 def split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return hash_split(staged(spark, sf_dir).select(*RATING_COLUMNS))
+    """(train, test) of the default hash split, read by partition pruning."""
+    df = staged_labelled(spark, sf_dir)
+    side = F.col("split")
+    return (
+        df.where(side == F.lit("train")).select(*RATING_COLUMNS),
+        df.where(side == F.lit("test")).select(*RATING_COLUMNS),
+    )
 
 
 def fitted_model(

@@ -50,9 +50,9 @@ def test_scans_read_only_used_columns(plans):
     schemas = re.findall(r"ReadSchema: (struct<[^>]*>)", plans["ratings_view"])
     assert "struct<l_orderkey:bigint,l_partkey:bigint,l_quantity:double>" in schemas
     assert "struct<o_orderkey:bigint,o_custkey:bigint,o_orderdate:timestamp_ntz>" in schemas
-    # the split counts never read the rating itself
+    # the split counts read no data column: the label is a partition column
     split_schema = re.findall(r"ReadSchema: (struct<[^>]*>)", plans["split_counts"])
-    assert split_schema == ["struct<userId:bigint,movieId:bigint,timestamp:bigint>"]
+    assert split_schema == ["struct<>"]
     size_schema = re.findall(r"ReadSchema: (struct<[^>]*>)", plans["size_estimate"])
     assert size_schema == ["struct<>"]
 
@@ -65,6 +65,15 @@ def test_split_adds_no_shuffle(spark):
     assert "Exchange" not in plan_of(train)
 
 
+def test_staged_sides_are_partition_pruned(spark):
+    from tessera.plans import ratings as R
+
+    train, test = R.split(spark, SF_SMALL)
+    assert "PartitionFilters: [isnotnull(split" in plan_of(train)
+    assert "(split#" in plan_of(train) and "= train)" in plan_of(train)
+    assert train.count() == 4841 and test.count() == 1159
+
+
 def test_aggregates_combine_before_the_shuffle(plans):
     for key in ("split_counts", "skew_summary", "rmse_mean_baseline", "size_estimate"):
         plan = plans[key]
