@@ -39,8 +39,9 @@ import uuid
 
 from tessera.session import shared_path
 
-# Broadcast a factor table only below this many bytes (rows x rank x 4 + overhead).
-MAX_BROADCAST_BYTES = 256 * 1024 * 1024
+# Broadcast a factor table only below this many bytes (rows x (rank x 4 + overhead)):
+# every executor receives a copy each half-step, so keep it modest.
+MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 _ROW_OVERHEAD = 48
 
 
