@@ -74,6 +74,13 @@ _BLOCK_UPDATED = T.StructType(
     ]
 )
 _UNPERSIST = T.StructType([T.StructField("RDD ID", T.IntegerType())])
+_BM_REMOVED = T.StructType(
+    [
+        T.StructField(
+            "Block Manager ID", T.StructType([T.StructField("Executor ID", T.StringType())])
+        )
+    ]
+)
 _STAGE_SUBMITTED = T.StructType(
     [
         T.StructField(
@@ -168,7 +175,9 @@ def eventlog_storage(log: DataFrame) -> DataFrame:
     """Cached RDDs at the end of the log: partitions, memory MB, disk MB.
 
     The latest update per (block, executor) wins; blocks whose RDD was
-    unpersisted after that update are gone; non-RDD blocks (broadcast,
+    unpersisted, or whose executor's block manager was removed (a lost
+    executor takes its blocks with it, and the log has no per-block event
+    for that), after that update are gone; non-RDD blocks (broadcast,
     shuffle) are ignored.
     """
     upd = _parsed(log, "SparkListenerBlockUpdated", _BLOCK_UPDATED).select(
@@ -191,15 +200,28 @@ def eventlog_storage(log: DataFrame) -> DataFrame:
     )
     blocks = latest.select(
         "app_id",
+        "executor_id",
         F.regexp_extract("block_id", RDD_BLOCK, 1).cast("int").alias("rdd_id"),
         F.regexp_extract("block_id", RDD_BLOCK, 2).cast("int").alias("partition"),
         "pos",
         F.col("size.mem").alias("mem"),
         F.col("size.disk").alias("disk"),
     )
+    removed = (
+        _parsed(log, "SparkListenerBlockManagerRemoved", _BM_REMOVED)
+        .select(
+            "app_id",
+            F.col("e.`Block Manager ID`.`Executor ID`").alias("executor_id"),
+            position().alias("pos"),
+        )
+        .groupBy("app_id", "executor_id")
+        .agg(F.max("pos").alias("removed_pos"))
+    )
     live = (
         blocks.join(unpersisted, ["app_id", "rdd_id"], "left")
+        .join(removed, ["app_id", "executor_id"], "left")
         .where(F.col("unpersist_pos").isNull() | (F.col("pos") > F.col("unpersist_pos")))
+        .where(F.col("removed_pos").isNull() | (F.col("pos") > F.col("removed_pos")))
         .where((F.col("mem") > 0) | (F.col("disk") > 0))
     )
     per_rdd = live.groupBy("app_id", "rdd_id").agg(

@@ -37,6 +37,9 @@ FIXTURE = [
     _block("rdd_3_0", "2", 100, 0),  # replica on another executor
     _block("broadcast_0_piece0", "driver", 999, 0),  # not an RDD block
     _block("rdd_5_0", "1", 50, 0),
+    _block("rdd_3_2", "3", 70, 0),  # on an executor that is lost below
+    {"Event": "SparkListenerBlockManagerRemoved", "Block Manager ID": {"Executor ID": "3", "Host": "h", "Port": 2},
+     "Timestamp": 1400},
     {"Event": "SparkListenerTaskEnd", "Stage ID": 0, "Stage Attempt ID": 0,
      "Task Metrics": {"Memory Bytes Spilled": 10, "Disk Bytes Spilled": 4}},
     {"Event": "SparkListenerTaskEnd", "Stage ID": 0, "Stage Attempt ID": 0,
@@ -131,12 +134,15 @@ latest AS (SELECT block_id, executor_id, arg_max(mem, pos) AS mem, arg_max(disk,
            FROM u WHERE regexp_matches(block_id, '^rdd_[0-9]+_[0-9]+$') GROUP BY ALL),
 gone AS (SELECT CAST(j->>'$."RDD ID"' AS INTEGER) AS rdd_id, max(pos) AS upos
          FROM l WHERE j->>'$.Event' = 'SparkListenerUnpersistRDD' GROUP BY ALL),
-b AS (SELECT CAST(split_part(block_id, '_', 2) AS INTEGER) AS rdd_id,
+lost AS (SELECT j->>'$."Block Manager ID"."Executor ID"' AS executor_id, max(pos) AS rpos
+         FROM l WHERE j->>'$.Event' = 'SparkListenerBlockManagerRemoved' GROUP BY ALL),
+b AS (SELECT CAST(split_part(block_id, '_', 2) AS INTEGER) AS rdd_id, executor_id,
              CAST(split_part(block_id, '_', 3) AS INTEGER) AS part, pos, mem, disk FROM latest)
 SELECT b.rdd_id, count(DISTINCT part) AS num_partitions,
        sum(mem) / 1048576.0 AS memory_used_mb, sum(disk) / 1048576.0 AS disk_used_mb
-FROM b LEFT JOIN gone g ON g.rdd_id = b.rdd_id
-WHERE (g.upos IS NULL OR b.pos > g.upos) AND (mem > 0 OR disk > 0)
+FROM b LEFT JOIN gone g ON g.rdd_id = b.rdd_id LEFT JOIN lost x ON x.executor_id = b.executor_id
+WHERE (g.upos IS NULL OR b.pos > g.upos) AND (x.rpos IS NULL OR b.pos > x.rpos)
+  AND (mem > 0 OR disk > 0)
 GROUP BY b.rdd_id
 """
 
