@@ -63,10 +63,13 @@ def stage(
     src, dst = jvm.org.apache.hadoop.fs.Path(attempt), jvm.org.apache.hadoop.fs.Path(path)
     fs = dst.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not path_complete(spark, path):
-        if fs.exists(dst):  # a failed earlier write left files without _SUCCESS
+        # a failed earlier write may have left files without _SUCCESS;
+        # re-check just before deleting, so a copy another writer has just
+        # published is never removed
+        if fs.exists(dst) and not path_complete(spark, path):
             fs.delete(dst, True)
-        fs.rename(src, dst)
-    if fs.exists(src):  # another writer won the race
+        fs.rename(src, dst)  # false when another writer got there first
+    if fs.exists(src):
         fs.delete(src, True)
     return path
 
