@@ -153,7 +153,11 @@ def eventlog_jobs(log: DataFrame) -> DataFrame:
 
 
 def first_jobs(jobs: DataFrame, n: int = 5) -> DataFrame:
-    """The first ``n`` jobs by id per application (the short listing)."""
+    """The first ``n`` jobs by id per application (the short listing).
+
+    ``row_number() <= n`` lets Spark keep a partial top-n in every map task
+    before the shuffle (a partial window group limit), so an application
+    with millions of jobs sends n rows per task, not all of them."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("app_id").orderBy("job_id")

@@ -74,8 +74,18 @@ def test_jobs(fixture_log):
 
 
 def test_first_jobs(fixture_log):
-    top = runlog.first_jobs(runlog.eventlog_jobs(fixture_log), 2).collect()
-    assert sorted(r["job_id"] for r in top) == [0, 1]
+    import contextlib
+    import io
+
+    df = runlog.first_jobs(runlog.eventlog_jobs(fixture_log), 2)
+    assert sorted(r["job_id"] for r in df.collect()) == [0, 1]
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        df.explain()
+    plan = buf.getvalue()
+    partial = plan.index("WindowGroupLimit")
+    assert "Partial" in plan[plan.index("Exchange hashpartitioning(app_id"):]  # limited below the shuffle
+    assert partial >= 0
 
 
 def test_storage(fixture_log):
