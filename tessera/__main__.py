@@ -29,12 +29,17 @@ def main(argv: list[str] | None = None) -> int:
     ap.add_argument("--executor-memory", default=os.environ.get("EXECUTOR_MEMORY", "4g"))
     ap.add_argument("--split", choices=["hash", "random"], default="hash")
     ap.add_argument("--out")
+    ap.add_argument(
+        "--reference-shuffle", action="store_true", help="fixed 20 shuffle partitions, as the reference"
+    )
     args = ap.parse_args(argv)
 
     from pyspark.sql import SparkSession
 
     owned = SparkSession.getActiveSession() is None
-    spark = build_session("tessera-als-sweep", args.master, args.executor_memory)
+    spark = build_session(
+        "tessera-als-sweep", args.master, args.executor_memory, reference_shuffle=args.reference_shuffle
+    )
     mode = "inferred" if args.inferred else "explicit"
     configs = [
         experiment.ExperimentConfig(c.num_nodes, c.partitions, args.executor_memory)

@@ -79,21 +79,33 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
 
+# Shuffle width for a session we build: start wide and let AQE coalesce to
+# ~128 MB partitions, instead of a fixed small count that only suits a few
+# small workers (a fixed 20 would put 5 TB in each task at 100 TB).
+SHUFFLE_SETTINGS = {
+    "spark.sql.shuffle.partitions": "2000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 * 1024 * 1024),
+}
+
 
 def build_session(
     app_name: str,
     master: str | None = None,
     executor_memory: str = "4g",
     extra: dict[str, str] | None = None,
+    reference_shuffle: bool = False,
 ) -> SparkSession:
-    """A session we own (command line, benchmarks): the reference's
-    settings plus our runtime options.  Static settings only take effect
-    when this call starts the JVM; a session handed to the library is never
-    rebuilt or stopped by it."""
+    """A session we own (command line, benchmarks): the reference's memory
+    and transport settings plus our runtime options.  The shuffle width is
+    left to AQE unless ``reference_shuffle`` asks for the reference's fixed
+    count.  Static settings only take effect when this call starts the JVM;
+    a session handed to the library is never rebuilt or stopped by it."""
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
     settings = {**REFERENCE_SETTINGS, **RUNTIME_SETTINGS, "spark.executor.memory": executor_memory}
+    if not reference_shuffle:
+        settings.update(SHUFFLE_SETTINGS)
     settings.update(extra or {})
     for k, v in settings.items():
         builder = builder.config(k, v)
