@@ -1,27 +1,112 @@
 """Live job status while runs are going on.
 
 The reference polls the running driver for its jobs.  Here the same answer
-comes from a streaming query over the event-log folder: new log lines are
-read as they are written, job starts and ends are folded into one state
-row per (application, job), and every trigger emits the jobs that changed.
-State is bounded by a watermark on the job's last event time, so finished
-jobs leave the state store once they are older than ``retention``.
+comes from a streaming query over the event-log folder: new log files are
+read as they appear, job starts and ends are folded into one state per
+(application, job) by a custom stateful operator
+(``applyInPandasWithState``), and every trigger emits the jobs that
+changed.  Each state has an event-time timeout: once the watermark passes
+a job's last event plus ``retention``, its state is removed, so the state
+store holds only recent jobs however long the application runs.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera.operators.runlog import _JOB_END, _JOB_START, JOB_SUCCEEDED
 from tessera.sources.eventlog import ROLLING_FILE, SINGLE_FILE, STATUS_FILE_PREFIX
 
+OUTPUT_SCHEMA = T.StructType(
+    [
+        T.StructField("app_id", T.StringType()),
+        T.StructField("job_id", T.IntegerType()),
+        T.StructField("status", T.StringType()),
+        T.StructField("stage_ids", T.ArrayType(T.IntegerType())),
+        T.StructField("job_group", T.StringType()),
+        T.StructField("submission_time", T.LongType()),
+        T.StructField("completion_time", T.LongType()),
+    ]
+)
+STATE_SCHEMA = T.StructType(
+    [
+        T.StructField("stage_ids", T.ArrayType(T.IntegerType())),
+        T.StructField("job_group", T.StringType()),
+        T.StructField("submission_time", T.LongType()),
+        T.StructField("completion_time", T.LongType()),
+        T.StructField("result", T.StringType()),
+        T.StructField("last_event_ms", T.LongType()),
+    ]
+)
+_FIELDS = ["stage_ids", "job_group", "submission_time", "completion_time", "result"]
+
+
+def _interval_ms(spark: SparkSession, text: str) -> int:
+    """Milliseconds in an interval text such as '1 hour' (Spark's parser)."""
+    q = f"SELECT unix_millis(TIMESTAMP_LTZ'1970-01-01 00:00:00 UTC' + INTERVAL {text})"
+    return int(spark.sql(q).first()[0])
+
+
+def _plain(field: str, v):
+    """Python values for the state store (no numpy scalars or arrays)."""
+    if field == "stage_ids":
+        return [int(x) for x in v]
+    if field in ("job_group", "result"):
+        return str(v)
+    return int(v)
+
+
+def _status(result) -> str:
+    if result is None or (isinstance(result, float) and pd.isna(result)):
+        return "RUNNING"
+    return "SUCCEEDED" if result == JOB_SUCCEEDED else "FAILED"
+
+
+def _fold(retention_ms: int):
+    def fold(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        current = dict(zip([f.name for f in STATE_SCHEMA.fields], state.get)) if state.exists else {}
+        for pdf in pdfs:
+            for rec in pdf.to_dict("records"):
+                for f in _FIELDS:
+                    v = rec.get(f)
+                    if v is None or (isinstance(v, float) and pd.isna(v)):
+                        continue
+                    current[f] = _plain(f, v)
+                t = int(rec["event_ms"])
+                current["last_event_ms"] = max(t, current.get("last_event_ms") or t)
+        app_id, job_id = key
+        row = {
+            "app_id": app_id,
+            "job_id": int(job_id),
+            "status": _status(current.get("result")),
+            **{f: current.get(f) for f in _FIELDS if f != "result"},
+        }
+        deadline = current["last_event_ms"] + retention_ms
+        if deadline <= state.getCurrentWatermarkMs():
+            state.remove()  # already older than the retention: report once, keep nothing
+        else:
+            state.update(tuple(current.get(f.name) for f in STATE_SCHEMA.fields))
+            state.setTimeoutTimestamp(deadline)
+        yield pd.DataFrame([row])
+
+    return fold
+
 
 def job_status_stream(
     spark: SparkSession, log_dir: str, retention: str = "1 hour", max_files_per_trigger: int = 100
 ) -> DataFrame:
     """Streaming DataFrame of ``app_id, job_id, status, stage_ids, job_group,
-    submission_time, completion_time`` in update mode."""
+    submission_time, completion_time`` in update mode (one row per job that
+    changed in a trigger)."""
     raw = (
         spark.readStream.option("recursiveFileLookup", True)
         .option("maxFilesPerTrigger", max_files_per_trigger)
@@ -40,6 +125,7 @@ def job_status_stream(
     end = F.from_json("line", _JOB_END)
     is_start = event == F.lit("SparkListenerJobStart")
     is_end = event == F.lit("SparkListenerJobEnd")
+    event_ms = F.when(is_start, start["Submission Time"]).otherwise(end["Completion Time"])
     facts = lines.where(is_start | is_end).select(
         "app_id",
         F.when(is_start, start["Job ID"]).otherwise(end["Job ID"]).alias("job_id"),
@@ -48,50 +134,39 @@ def job_status_stream(
         F.when(is_start, start["Submission Time"]).alias("submission_time"),
         F.when(is_end, end["Completion Time"]).alias("completion_time"),
         F.when(is_end, end["Job Result"]["Result"]).alias("result"),
-        F.timestamp_millis(
-            F.when(is_start, start["Submission Time"]).otherwise(end["Completion Time"])
-        ).alias("event_time"),
+        event_ms.alias("event_ms"),
+        F.timestamp_millis(event_ms).alias("event_time"),
     )
-    state = (
+    return (
         facts.withWatermark("event_time", retention)
         .groupBy("app_id", "job_id")
-        .agg(
-            F.max("stage_ids").alias("stage_ids"),
-            F.max("job_group").alias("job_group"),
-            F.max("submission_time").alias("submission_time"),
-            F.max("completion_time").alias("completion_time"),
-            F.max("result").alias("result"),
-            F.max("event_time").alias("last_event_time"),
+        .applyInPandasWithState(
+            _fold(_interval_ms(spark, retention)),
+            OUTPUT_SCHEMA,
+            STATE_SCHEMA,
+            "update",
+            GroupStateTimeout.EventTimeTimeout,
         )
     )
-    status = (
-        F.when(F.col("result").isNull(), F.lit("RUNNING"))
-        .when(F.col("result") == F.lit(JOB_SUCCEEDED), F.lit("SUCCEEDED"))
-        .otherwise(F.lit("FAILED"))
-    )
-    return state.select(
-        "app_id",
-        "job_id",
-        status.alias("status"),
-        "stage_ids",
-        "job_group",
-        "submission_time",
-        "completion_time",
-    )
 
 
-def job_status_snapshot(spark: SparkSession, log_path: str, checkpoint: str) -> DataFrame:
+def job_status_snapshot(spark: SparkSession, log_path: str, work_dir: str) -> DataFrame:
     """Run the monitor over what the log holds now (``availableNow``) and
-    return its state table: one row per job, as a batch DataFrame."""
-    import uuid
+    return one row per job: its state after the last batch that touched it.
+
+    Each micro-batch appends its updates, tagged with the batch id, to a
+    Parquet table under ``work_dir`` (a shared folder); a retried batch
+    writes the same rows again, which the final ``max_by`` absorbs."""
+    out = f"{work_dir}/updates"
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        batch.withColumn("batch_id", F.lit(batch_id)).write.mode("append").parquet(out)
 
-    name = f"tessera_jobs_{uuid.uuid4().hex[:12]}"
     q = (
         job_status_stream(spark, log_path)
-        .writeStream.outputMode("complete")
-        .format("memory")
-        .queryName(name)
-        .option("checkpointLocation", checkpoint)
+        .writeStream.outputMode("update")
+        .foreachBatch(sink)
+        .option("checkpointLocation", f"{work_dir}/checkpoint")
         .trigger(availableNow=True)
         .start()
     )
@@ -99,4 +174,14 @@ def job_status_snapshot(spark: SparkSession, log_path: str, checkpoint: str) ->
         q.awaitTermination()
     finally:
         q.stop()
-    return spark.table(name)
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(out)
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        return spark.createDataFrame([], OUTPUT_SCHEMA)
+    cols = [f.name for f in OUTPUT_SCHEMA.fields if f.name not in ("app_id", "job_id")]
+    latest = (
+        spark.read.parquet(out)
+        .groupBy("app_id", "job_id")
+        .agg(F.max_by(F.struct(*cols), "batch_id").alias("s"))
+    )
+    return latest.select("app_id", "job_id", *[F.col(f"s.{c}").alias(c) for c in cols])

@@ -53,3 +53,42 @@ def test_live_query_matches_batch_report(spark):
     # every job the stream saw finish has the same final status
     assert set(live) <= set(batch)
     assert all(batch[j] == s for j, s in live.items() if s != "RUNNING")
+
+
+def test_old_jobs_leave_the_state_store(spark, scratch):
+    import time
+
+    d = os.path.join(scratch, "evict-log")
+    os.makedirs(d, exist_ok=True)
+
+    def start(j, t):
+        return {"Event": "SparkListenerJobStart", "Job ID": j, "Submission Time": t, "Stage IDs": [j], "Properties": {}}
+
+    with open(os.path.join(d, "events_1_app-evict"), "w") as f:
+        for e in [start(0, 0), {"Event": "SparkListenerJobEnd", "Job ID": 0, "Completion Time": 1000,
+                                "Job Result": {"Result": "JobSucceeded"}}, start(1, 2000)]:
+            f.write(json.dumps(e) + "\n")
+    ckpt = tempfile.mkdtemp(prefix="evict-ckpt-", dir=scratch)
+    q = (
+        job_status_stream(spark, d, retention="1 minute")
+        .writeStream.outputMode("update")
+        .format("memory")
+        .queryName("evict_status")
+        .option("checkpointLocation", ckpt)
+        .start()
+    )
+    try:
+        q.processAllAvailable()
+        assert q.lastProgress["stateOperators"][0]["numRowsTotal"] == 2
+        with open(os.path.join(d, "events_2_app-evict"), "w") as f:
+            f.write(json.dumps(start(2, 600_000)) + "\n")  # ten minutes later
+        q.processAllAvailable()
+        deadline = time.time() + 60
+        while time.time() < deadline:  # the watermark moves, then a no-data batch evicts
+            totals = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+            if totals and totals[-1] == 1:
+                break
+            time.sleep(1)
+        assert totals[-1] == 1
+    finally:
+        q.stop()
