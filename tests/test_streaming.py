@@ -40,19 +40,21 @@ def test_stream_equals_batch_report(spark, scratch):
     assert latest == batch == {0: "SUCCEEDED", 1: "FAILED", 2: "RUNNING"}
 
 
-def test_live_query_matches_batch_report(spark):
+def test_live_snapshot_matches_batch_report(spark, scratch):
     import __spark_entry__ as E
-    from tests.conftest import SF_SMALL
+    from tessera.streaming import job_status_snapshot
 
-    qs = E.queries()
-    assert "eventlog_jobs_live" in qs  # the test session writes an event log
-    live = {r["job_id"]: r["status"] for r in qs["eventlog_jobs_live"](spark, SF_SMALL).collect()}
-    batch = {r["job_id"]: r["status"] for r in qs["eventlog_jobs"](spark, SF_SMALL).collect()}
-    assert live
-    # the batch report reads later: every job the stream saw is there, and
-    # every job the stream saw finish has the same final status
-    assert set(live) <= set(batch)
-    assert all(batch[j] == s for j, s in live.items() if s != "RUNNING")
+    # wired into the catalog when the session writes an event log
+    assert "eventlog_jobs_live" in E.queries()
+    d = os.path.join(scratch, "snapshot-src")
+    os.makedirs(d, exist_ok=True)
+    with open(os.path.join(d, "app-snap"), "w") as f:
+        f.writelines(json.dumps(e) + "\n" for e in FIXTURE)
+    live = job_status_snapshot(spark, d, tempfile.mkdtemp(prefix="snap-", dir=scratch))
+    got = {r["job_id"]: (r["status"], r["stage_ids"], r["job_group"]) for r in live.collect()}
+    batch = runlog.eventlog_jobs(read_event_log(spark, d))
+    want = {r["job_id"]: (r["status"], r["stage_ids"], r["job_group"]) for r in batch.collect()}
+    assert got == want and len(got) == 3
 
 
 def test_old_jobs_leave_the_state_store(spark, scratch):
