@@ -2,12 +2,22 @@ import json
 import os
 import tempfile
 
+import pytest
+
 from tessera.operators import runlog
 from tessera.sources.eventlog import read_event_log
 from tessera.streaming import job_status_stream
 from tests.test_eventlog import FIXTURE
 
 
+@pytest.fixture(autouse=True, scope="module")
+def _light_session(spark):
+    """Earlier tests leave many cached plans; every micro-batch is matched
+    against all of them while it is planned, so start from an empty cache."""
+    spark.catalog.clearCache()
+    yield
+
+
 def test_stream_equals_batch_report(spark, scratch):
     d = os.path.join(scratch, "stream-log")
     os.makedirs(d, exist_ok=True)
