@@ -1,0 +1,140 @@
+import hashlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from tessera.llm.chunk_dedup import GEAR, chunk_dedup, cuts, gear
+from tessera.llm.shared import text_bytes
+from tessera.llm.suffix_dedup import runs, sliding_minimum, suffix_dedup
+from tests.llm.data import documents, frame, words
+
+
+def spans(flags):
+    return sum(1 for i, f in enumerate(flags) if f and not (i and flags[i - 1]))
+
+
+def brute_repeats(rows, length):
+    raws = [(r[1] or "").encode() for r in rows]
+    counts = Counter(raw[p : p + length] for raw in raws for p in range(len(raw) - length + 1))
+    out = []
+    for r, raw in zip(rows, raws):
+        flags = bytearray(len(raw))
+        for p in range(len(raw) - length + 1):
+            if counts[raw[p : p + length]] > 1:
+                flags[p : p + length] = b"\1" * length
+        kept = bytes(b for b, f in zip(raw, flags) if not f)
+        out.append((r[0], len(raw), sum(flags), spans(flags), hashlib.sha256(kept).hexdigest()))
+    return out
+
+
+@pytest.mark.parametrize("length,cell", [(400, 32), (100, 8), (64, 7)])
+def test_same_as_brute_force(spark, length, cell):
+    rows = documents(seed=length, n=40)
+    rows += [(500, rows[9][1] + "A" + rows[9][1] + "B" + rows[9][1], "en", "s", 0), (501, "q" * 399, "en", "s", 0), (502, "z" * 401, "en", "s", 0)]
+    base = " ".join(words(300, 77))
+    rows += [(600 + i, base[: 200 * i] + f"edit{i}" + base[200 * i + 9 :], "en", "s", 0) for i in range(8)]
+    got = suffix_dedup(frame(spark, rows), length=length, cell=cell).collect()
+    assert Counter(map(tuple, got)) == Counter(brute_repeats(rows, length))
+
+
+def test_runs_hold_every_string_once():
+    texts = pa.array([(t or "")[:3000] for _, t, *_ in documents()])
+    data, offsets = text_bytes(texts)
+    name, of, place, low, high = runs(data, offsets, 100)
+    got = Counter((t, p - x) for t, p, a, b in zip(of.tolist(), place.tolist(), low.tolist(), high.tolist()) for x in range(a, b + 1))
+    sizes = np.diff(offsets)
+    assert got == Counter((t, p) for t, n in enumerate(sizes.tolist()) for p in range(n - 99))
+
+
+def test_sliding_minimum():
+    x = np.random.default_rng(1).integers(0, 99, 57).astype(np.uint64)
+    for w in (1, 5, 57):
+        assert sliding_minimum(x, w).tolist() == [min(x[i : i + w]) for i in range(len(x) - w + 1)]
+
+
+def test_gear_by_hand():
+    data = np.frombuffer("some text that is longer than the window of the hash é".encode(), np.uint8)
+    h = 0
+    for i, b in enumerate(data):
+        h = (h * 2 + int(GEAR[b])) % 2**32
+        assert h == gear(data)[i]
+
+
+def brute_chunks(rows, least=48, most=160, bits=5):
+    all_ = []
+    for text, id_ in sorted({(r[1] or "", r[0]) for r in rows}, key=str):
+        raw = text.encode()
+        h, at, found = 0, 0, []
+        ends = []
+        hashes = []
+        for b in raw:
+            h = (h * 2 + int(GEAR[b])) % 2**32
+            hashes.append(h)
+        inside = lambda i: i < len(raw) and raw[i] & 0xC0 == 0x80
+        marks = [i + 1 for i, x in enumerate(hashes) if x >> (32 - bits) == 0 and not inside(i + 1)]
+        while at < len(raw):
+            end = min([m for m in marks if m >= at + least], default=len(raw))
+            end = min(end, at + most, len(raw))
+            while inside(end):
+                end -= 1
+            found.append((at, end))
+            at = end
+        all_.append((id_, text, raw, found))
+    return all_
+
+
+def test_chunks_by_hand():
+    texts = [t or "" for _, t, *_ in documents()]
+    for text in texts[:70]:
+        data, offsets = text_bytes(pa.array([text]))
+        _, starts, ends = cuts(data, offsets, 48, 160, 5)
+        # a text alone: the window holds nothing of another text
+        assert list(zip(starts, ends)) == brute_chunks([(1, text)])[0][3]
+
+
+def test_copies_of_chunks_go(spark):
+    rows = documents()
+    got = chunk_dedup(frame(spark, rows)).collect()
+    assert len(got) == len(rows)
+    by_id = defaultdict(list)
+    raws = defaultdict(list)
+    for r in rows:
+        raws[r[0]].append((r[1] or "").encode())
+    for g in got:
+        by_id[g.doc_id].append(g)
+        fits = []
+        for raw in raws[g.doc_id]:
+            flags = bytearray(len(raw))
+            for s in g.spans or ():
+                flags[s.start : s.start + s.length] = b"\1" * s.length
+            fits.append((len(raw), sum(flags), spans(flags), hashlib.sha256(bytes(b for b, f in zip(raw, flags) if not f)).hexdigest()))
+        assert (g.n_bytes, g.n_removed, g.n_spans, g.kept_sha256) in fits
+    seen = Counter()
+    for g in got:
+        raw = next(r for r in raws[g.doc_id] if len(r) == g.n_bytes)
+        gone = {s.start for s in g.spans or ()}
+        for s in g.spans or ():
+            assert raw[s.start : s.start + s.length] in b"".join(b for o in raws.values() for b in o)
+        seen[g.doc_id] += len(gone)
+    # exact copies: the first keeps all, the later ones nothing
+    copies = [r[0] for r in rows if r[1] == rows[4][1] and r[1]]
+    assert by_id[min(copies)][0].n_removed < by_id[min(copies)][0].n_bytes or len(rows[4][1]) < 48
+    assert all(by_id[i][0].n_removed == by_id[i][0].n_bytes for i in copies if i != min(copies))
+    # the passage that many documents share stays once
+    passage = " ".join(words(90, 7001))
+    holders = [r[0] for r in rows if passage in (r[1] or "")]
+    assert len(holders) > 3 and all(by_id[i][0].n_removed > 0.5 * len(passage) for i in holders[1:])
+
+
+def test_insertions_shift_only_their_chunk(spark):
+    base = " ".join(words(2000, 12))
+    rows = [(1, base, "", "", 0), (2, "inserted " + base[:3000] + " here " + base[3000:], "", "", 0), (3, " ".join(words(500, 99)), "", "", 0)]
+    got = {g.doc_id: g for g in chunk_dedup(frame(spark, rows)).collect()}
+    assert got[1].n_removed == got[3].n_removed == 0 and got[2].n_removed > 0.9 * got[2].n_bytes
+
+
+def test_empty(spark):
+    docs = frame(spark, documents()).limit(0)
+    assert suffix_dedup(docs).collect() == [] and chunk_dedup(docs).collect() == []
