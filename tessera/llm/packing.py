@@ -16,33 +16,79 @@ may be null or repeated.
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from bisect import bisect_right, insort
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import Table, pieces
+from tessera.llm.shared import LOWER, WHITE, Table, pieces, text_bytes
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
+_BYTES = np.arange(256)
+#: Letters: ASCII ones and all parts of characters beyond ASCII.
+LETTER = (_BYTES >= 128) | np.array([b < 128 and chr(b).isalpha() for b in range(256)])
+#: Bytes that a plain word has not: digits, control characters, apostrophes (they join what follows),
+#: bars (the names of special ids have them) and characters outside U+00C0 to U+027F.
+ODD = np.array([b < 32 or b in b"0123456789'|\x7f" for b in range(256)]) | ((_BYTES >= 0xC0) & ((_BYTES < 0xC3) | (_BYTES > 0xC9)))
+
+
+#: Of word parts, those that the vocabulary reads as one word: letters only, or ASCII punctuation only.
+PLAIN = re.compile(r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u027F]+|[!-&(-/:-@\[-`{}~]+")
+
+
+def word_parts(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, and n + 1 offsets.
+
+    Plain words (letters and ASCII punctuation) are cut where one ends and the other begins, and A-Z is folded."""
+    keep = ~WHITE[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    first = keep.copy()
+    first[1:] &= ~keep[:-1] | edge[1:-1]
+    first, kept = first[keep], data[keep]
+    before = np.concatenate([[0], np.cumsum(keep)])[offsets]
+    if not len(kept):
+        return pa.array([], pa.large_string()), np.zeros(len(offsets), np.int64)
+    odd = ODD[kept]
+    signs = (kept[:-1] == 0xC3) & ((kept[1:] == 0x97) | (kept[1:] == 0xB7))  # the signs among the letters
+    odd[:-1] |= signs
+    words = np.flatnonzero(first)
+    odd = np.repeat(np.logical_or.reduceat(odd, words), np.diff(np.append(words, len(kept))))
+    letter = LETTER[kept]
+    first[1:] |= (letter[1:] != letter[:-1]) & ~odd[1:]
+    kept = np.where(odd, kept, LOWER[kept])
+    starts = np.flatnonzero(first)
+    ends = np.append(starts, len(kept)).astype(np.int64)
+    parts = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(ends), pa.py_buffer(kept))
+    return parts, np.searchsorted(starts, before)
+
+
 class WordEncoder:
     """Ids of whole texts from a vocabulary that treats words apart.
 
-    The tokenizer must never join across ASCII white space; then a text's ids
-    are those of its white-space separated words, and a word is encoded once
-    for as long as it stays in the bounded table of known words.
+    The tokenizer must never join across ASCII white space, and read plain words
+    in parts (see :func:`word_parts`) without regard to case; then a text's ids are those
+    of its parts, and a part is encoded once for as long as it stays in the
+    bounded table of known ones.
     """
 
-    def __init__(self, path: str, max_words: int = 500_000):
+    def __init__(self, path: str, max_words: int = 800_000):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer, self.max_words = Tokenizer.from_file(path), max_words
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.forget()
 
     def forget(self) -> None:
@@ -55,24 +101,39 @@ class WordEncoder:
         return array if n <= len(array) else np.concatenate([array, np.zeros(max(n, 2 * len(array)) - len(array), array.dtype)])
 
     def learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), 10_000):
-            some = words[at : at + 10_000]
+        plain = [w for w in words if PLAIN.fullmatch(w)]
+        for at in range(0, len(plain), 20_000):
+            some = plain[at : at + 20_000]
+            # one text of many words is cheaper than many texts; a plain word has one last id
+            joined = [" ".join(some[i : i + 500]) for i in range(0, len(some), 500)]
+            ids = np.concatenate([np.array(e.ids, np.int64) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(some):
+                self.keep(some, ids, np.diff(ends, prepend=0))
+            else:
+                self.learn_alone(some)
+        self.learn_alone([w for w in words if not PLAIN.fullmatch(w)])
+
+    def learn_alone(self, words: list[str]) -> None:
+        for at in range(0, len(words), 20_000):
+            some = words[at : at + 20_000]
             found = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-            n, more = len(self.slot), sum(map(len, found))
-            self.start, self.count = self._room(self.start, n + len(some)), self._room(self.count, n + len(some))
-            self.ids = self._room(self.ids, self.used + more)
-            self.ids[self.used : self.used + more] = [i for ids in found for i in ids]
-            counts = np.array([len(ids) for ids in found])
-            self.count[n : n + len(some)] = counts
-            self.start[n : n + len(some)] = self.used + np.cumsum(counts) - counts
-            self.used += more
-            self.slot.update(zip(some, range(n, n + len(some))))
+            self.keep(some, np.array([i for ids in found for i in ids], np.int64), np.array([len(ids) for ids in found], np.int64))
+
+    def keep(self, words: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        n = len(self.slot)
+        self.start, self.count = self._room(self.start, n + len(words)), self._room(self.count, n + len(words))
+        self.ids = self._room(self.ids, self.used + len(ids))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.count[n : n + len(words)] = counts
+        self.start[n : n + len(words)] = self.used + np.cumsum(counts) - counts
+        self.used += len(ids)
+        self.slot.update(zip(words, range(n, n + len(words))))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts behind each other, and n + 1 offsets."""
-        split = pc.ascii_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
-        of_text = split.offsets.to_numpy().astype(np.int64)
-        coded = split.values.slice(of_text[0], of_text[-1] - of_text[0]).dictionary_encode()
+        parts, of_text = word_parts(*text_bytes(texts))
+        coded = parts.dictionary_encode()
         words = coded.dictionary.to_pylist()
         if len(self.slot) > self.max_words:
             self.forget()
@@ -81,22 +142,23 @@ class WordEncoder:
         counts = self.count[slots]
         upto = np.concatenate([[0], np.cumsum(counts)])
         ids = self.ids[np.repeat(self.start[slots] - upto[:-1], counts) + np.arange(upto[-1])]
-        return ids, upto[of_text - of_text[0]]
+        return ids, upto[of_text]
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+@lru_cache(maxsize=2)
+def encoder(path: str) -> WordEncoder:
+    """One per Python worker, so that tasks share the known words."""
+    return WordEncoder(path)
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096) -> DataFrame:
     """A row per piece: doc_id, piece, start, length and the CRC-32 of its ids."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer not in _ENCODERS:
-            _ENCODERS[tokenizer] = WordEncoder(tokenizer)
-        encoder = _ENCODERS[tokenizer]
+        known = encoder(tokenizer)
         for batch in batches:
-            for first, texts in pieces(batch.column(1)):
-                ids, ends = encoder.encode(texts)
+            for first, texts in pieces(batch.column(1), 4 << 20):
+                ids, ends = known.encode(texts)
                 rows: list[tuple] = []
                 for row, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist())):
                     own = np.append(ids[a:b], end_id).astype("<u4")
