@@ -38,13 +38,10 @@ def main(argv: list[str] | None = None) -> int:
 
     owned = SparkSession.getActiveSession() is None
     spark = build_session(
-        "tessera-als-sweep", args.master, args.executor_memory, reference_shuffle=args.reference_shuffle
+        "tessera-als-sweep", args.master, args.executor_memory, reference_shuffle=args.reference_shuffle or args.early_configs, early=args.early_configs
     )
     mode = "inferred" if args.inferred else "explicit"
-    configs = [
-        experiment.ExperimentConfig(c.num_nodes, c.partitions, args.executor_memory)
-        for c in experiment.choose_configs(args.two_nodes_only, args.early_configs)
-    ]
+    configs = experiment.choose_configs(args.two_nodes_only, args.early_configs, args.executor_memory)
     results, phases = experiment.sweep(
         spark, lambda: read_ratings_csv(spark, args.ratings, mode=mode), configs, split=args.split
     )

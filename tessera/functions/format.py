@@ -11,9 +11,3 @@ BYTES_PER_MB = 1024 * 1024
 def bytes_to_mb(c: Column | str) -> Column:
     c = F.col(c) if isinstance(c, str) else c
     return c.cast("double") / F.lit(float(BYTES_PER_MB))
-
-
-def with_separators(c: Column | str, decimals: int = 0) -> Column:
-    """Text with thousands separators, e.g. 1,234,567 or 12.35."""
-    c = F.col(c) if isinstance(c, str) else c
-    return F.format_number(c, decimals)

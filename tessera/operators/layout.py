@@ -1,14 +1,16 @@
 """Physical layout: repartitioning and how records spread over partitions.
 
-Counting per partition is an aggregate on ``spark_partition_id()``: each
-task emits one partial count, so nothing but one row per partition moves.
-Empty partitions produce no group, so the counts are joined onto the full
-list of partition ids (a range whose size is the partition count).
+Each partition counts its own rows and gives one row, empty ones too, so the
+data is read once and nothing but one row per partition moves.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -20,22 +22,27 @@ def repartition(df: DataFrame, partitions: int | None) -> DataFrame:
 
 
 def num_partitions(df: DataFrame) -> int:
-    """Partition count of the planned DataFrame (plans it, runs no job)."""
-    return df.rdd.getNumPartitions()
+    """Partition count as planned, before any runtime re-planning; runs no job
+    (an adaptive plan would have to run its shuffles to know)."""
+    conf, key = df.sparkSession.conf, "spark.sql.adaptive.enabled"
+    before = conf.get(key)
+    conf.set(key, "false")
+    try:
+        return df.select("*").rdd.getNumPartitions()
+    finally:
+        conf.set(key, before)
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    n = sum(b.num_rows for b in batches)
+    yield pa.RecordBatch.from_pydict(
+        {"partition_id": pa.array([TaskContext.get().partitionId()], pa.int32()), "records": pa.array([n], pa.int64())}
+    )
 
 
-def partition_records(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
+def partition_records(df: DataFrame) -> DataFrame:
     """``partition_id int, records long``, one row per partition, zeros kept."""
-    spark = spark or df.sparkSession
-    n = num_partitions(df)
-    counts = df.groupBy(F.spark_partition_id().alias("partition_id")).agg(
-        F.count(F.lit(1)).alias("records")
-    )
-    ids = spark.range(n).select(F.col("id").cast("int").alias("partition_id"))
-    # full outer: if the run ends with more partitions than planned, none is lost
-    return ids.join(counts, "partition_id", "full").select(
-        "partition_id", F.coalesce(F.col("records"), F.lit(0).cast("long")).alias("records")
-    )
+    return df.select(F.lit(1).alias("one")).mapInArrow(_count, "partition_id int, records long")
 
 
 def group_summary(counts: DataFrame, count_col: str = "records", prefix: str = "") -> DataFrame:

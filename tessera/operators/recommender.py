@@ -1,14 +1,14 @@
 """Matrix-factorisation recommender (MLlib ALS) and its scoring.
 
-The solver is MLlib's; this module fixes its parameters (always seeded),
-chooses block counts from the cluster, and offers the scoring step as a
-plain DataFrame join so it can be checked outside MLlib.
+The solver is MLlib's; this module fixes its parameters (always seeded, with an
+explicit block count, since the fit depends on it), and offers the scoring
+step as a plain DataFrame join so it can be checked outside MLlib.
 """
 
 from __future__ import annotations
 
 import time
-from dataclasses import asdict, dataclass, field
+from dataclasses import dataclass, field
 
 from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.sql import Column, DataFrame
@@ -32,30 +32,18 @@ class AlsParams:
     # Not set by the reference (MLlib would seed from the class name, which
     # changes per Python process); always seeded here.
     seed: int = 42
-    # None -> default parallelism: one block per core, so each half-step has
-    # enough tasks on a large cluster (8 beat 10 and 16 blocks on local[8]).
-    num_blocks: int | None = None
-    # "mllib", "normal_equations" (exact, splits hot users/items), or "auto":
-    # MLlib unless one user or item holds more than an average block's rows.
-    solver: str = "auto"
+    # User and item blocks: tasks of a half-step.  The factors depend on it
+    # (they start block by block), so it never follows the cluster; raise it for
+    # large inputs.  MLlib's default.
+    num_blocks: int = 10
     checkpoint_interval: int = 10
     user_col: str = USER_COL
     item_col: str = ITEM_COL
     rating_col: str = RATING_COL
     extra: dict = field(default_factory=dict, compare=False, hash=False)
 
-    def as_dict(self) -> dict:
-        return asdict(self)
-
-
-def block_count(spark, params: AlsParams) -> int:
-    if params.num_blocks:
-        return int(params.num_blocks)
-    return max(1, int(spark.sparkContext.defaultParallelism))
-
 
 def build_als(spark, params: AlsParams = AlsParams()) -> ALS:
-    blocks = block_count(spark, params)
     # ALS checkpoints its factor RDDs every ``checkpoint_interval`` iterations
     # when the context has a checkpoint dir; make sure it has the shared one.
     checkpoint_root(spark)
@@ -63,8 +51,8 @@ def build_als(spark, params: AlsParams = AlsParams()) -> ALS:
         rank=params.rank,
         maxIter=params.max_iter,
         regParam=params.reg_param,
-        numUserBlocks=blocks,
-        numItemBlocks=blocks,
+        numUserBlocks=params.num_blocks,
+        numItemBlocks=params.num_blocks,
         implicitPrefs=params.implicit_prefs,
         alpha=params.alpha,
         nonnegative=params.nonnegative,
@@ -91,10 +79,11 @@ INT_MIN, INT_MAX = -(2**31), 2**31 - 1
 
 
 def heaviest_share(train: DataFrame, params: AlsParams = AlsParams()) -> DataFrame:
-    """One row: total rows and the largest row count of a single user and
-    of a single item.  One pass: counts per user and per item come from a
-    single grouping-sets aggregate (partial counts before the shuffle),
-    then a max over those counts."""
+    """Skew report, one row: total rows and the largest row count of a single
+    user and of a single item.  MLlib solves each id inside one block, so an id
+    with more rows than total / num_blocks makes one task the longest of a
+    half-step.  Counts per user and per item come from one grouping-sets
+    aggregate (partial counts before the shuffle)."""
     u, i = params.user_col, params.item_col
     per_key = train.groupingSets([[u], [i]], u, i).agg(
         F.count(F.lit(1)).alias("n"), F.grouping_id().alias("g")
@@ -105,54 +94,53 @@ def heaviest_share(train: DataFrame, params: AlsParams = AlsParams()) -> DataFra
         F.coalesce(F.sum(F.when(by_user, F.col("n"))), F.lit(0)).alias("total"),
         F.max(F.when(by_user, F.col("n"))).alias("top_user"),
         F.max(F.when(by_item, F.col("n"))).alias("top_item"),
-        F.min(F.least(F.col(u), F.col(i))).cast("bigint").alias("min_id"),
-        F.max(F.greatest(F.col(u), F.col(i))).cast("bigint").alias("max_id"),
     )
 
 
-def choose_solver(train: DataFrame, params: AlsParams = AlsParams()) -> str:
-    """The solver for ``train``: MLlib solves each id inside one block, so
-    an id with more rows than an average block would serialise a half-step
-    behind one task, and it only takes ids in the int range; in either
-    case the normal-equations solver is used instead."""
-    row = heaviest_share(train, params).first()
-    if not row["total"]:
+def check_ids(train: DataFrame, params: AlsParams = AlsParams()) -> None:
+    """Error for input that MLlib cannot fit whole: no rows, or ids beyond int."""
+    u, i = params.user_col, params.item_col
+    row = train.agg(
+        F.min(F.least(F.col(u), F.col(i))).cast("bigint").alias("low"),
+        F.max(F.greatest(F.col(u), F.col(i))).cast("bigint").alias("high"),
+    ).first()
+    if row["low"] is None:
         raise ValueError("no training rows (after dropping NULL ids and ratings)")
-    int_ids = INT_MIN <= row["min_id"] and row["max_id"] <= INT_MAX
-    if params.solver == "mllib" and not int_ids:
-        raise ValueError("MLlib ALS needs ids in the int range; use solver='normal_equations'")
-    if params.solver != "auto":
-        return params.solver
-    if not int_ids:
-        return "normal_equations"
-    per_block = row["total"] / block_count(train.sparkSession, params)
-    heaviest = max(row["top_user"] or 0, row["top_item"] or 0)
-    return "normal_equations" if heaviest > per_block else "mllib"
+    if row["low"] < INT_MIN or row["high"] > INT_MAX:
+        raise ValueError(
+            f"MLlib ALS needs ids in the int range, found {row['low']} to {row['high']}; "
+            "map them to dense numbers first"
+        )
 
 
 def fit(train: DataFrame, params: AlsParams = AlsParams()) -> tuple[ALSModel, float]:
     """Fit on ``train`` (only the three columns used are passed on)."""
-    spark = train.sparkSession
     cols = [params.user_col, params.item_col, params.rating_col]
     data = drop_unusable(train.select(*cols), params)
     start = time.perf_counter()
-    solver = choose_solver(data, params)
-    if solver == "normal_equations":
-        from tessera.operators import normal_equations
-
-        model, _ = normal_equations.fit(data, params)
-    elif solver == "mllib":
-        model = build_als(spark, params).fit(data)
-    else:
-        raise ValueError(f"unknown solver {params.solver!r}")
+    check_ids(data, params)
+    model = build_als(train.sparkSession, params).fit(data)
     return model, time.perf_counter() - start
 
 
-def _strategy_and_cols(model) -> tuple[str, str, str]:
-    if hasattr(model, "params") and isinstance(model.params, AlsParams):
-        p = model.params
-        return p.cold_start_strategy, p.user_col, p.item_col
-    return model.getColdStartStrategy(), model.getUserCol(), model.getItemCol()
+def user_residual(
+    model: ALSModel, train: DataFrame, params: AlsParams = AlsParams()
+) -> DataFrame:
+    """``id`` and ``residual`` per user: the largest entry, in absolute value, of
+    ``(V'V + reg * n * I) u - V'r`` over the user's n ratings.
+
+    ``V'(Vu - r)`` needs no matrix: per rating the error times the item's vector,
+    summed per user.  Close to 0 for the side that the fit solved last."""
+    u = model.userFactors.select(F.col("id").alias(params.user_col), F.col("features").alias("_u"))
+    v = model.itemFactors.select(F.col("id").alias(params.item_col), F.col("features").alias("_v"))
+    data = drop_unusable(train.select(params.user_col, params.item_col, params.rating_col), params)
+    met = data.join(u, params.user_col).join(v, params.item_col)
+    met = met.withColumn("_e", dot(F.col("_u"), F.col("_v")) - F.col(params.rating_col).cast("double"))
+    parts = [F.sum(F.col("_e") * F.get("_v", F.lit(k)).cast("double")).alias(f"g{k}") for k in range(model.rank)]
+    shrink = F.lit(params.reg_param) * F.col("_n")
+    per_user = met.groupBy(params.user_col).agg(F.count(F.lit(1)).alias("_n"), F.first("_u").alias("_u"), *parts)
+    entries = [F.abs(F.col(f"g{k}") + shrink * F.get("_u", F.lit(k)).cast("double")) for k in range(model.rank)]
+    return per_user.select(F.col(params.user_col).alias("id"), F.array_max(F.array(*entries)).alias("residual"))
 
 
 def predict(model: ALSModel, df: DataFrame) -> DataFrame:
@@ -162,7 +150,8 @@ def predict(model: ALSModel, df: DataFrame) -> DataFrame:
     they are dropped like cold-start rows, or kept with a NaN prediction
     under the ``nan`` strategy.  Column types are those of ``df`` (MLlib
     hands ids back as int)."""
-    strategy, user_col, item_col = _strategy_and_cols(model)
+    strategy = model.getColdStartStrategy()
+    user_col, item_col = model.getUserCol(), model.getItemCol()
     known = F.col(user_col).isNotNull() & F.col(item_col).isNotNull()
     out = model.transform(df.where(known))
     out = out.select(

@@ -183,7 +183,16 @@ def eventlog_storage(log: DataFrame) -> DataFrame:
     executor takes its blocks with it, and the log has no per-block event
     for that), after that update are gone; non-RDD blocks (broadcast,
     shuffle) are ignored.
+
+    A log that names its settings but was written without
+    ``spark.eventLog.logBlockUpdates.enabled`` has no such updates: an error.
     """
+    setting = F.get_json_object("line", "$['Spark Properties']['spark.eventLog.logBlockUpdates.enabled']")
+    logged = events_of(log, "SparkListenerEnvironmentUpdate").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.lower(setting) == "true").alias("on")
+    ).first()
+    if logged["n"] and not logged["on"]:
+        raise ValueError("block updates are not logged (spark.eventLog.logBlockUpdates.enabled)")
     upd = _parsed(log, "SparkListenerBlockUpdated", _BLOCK_UPDATED).select(
         "app_id",
         position().alias("pos"),

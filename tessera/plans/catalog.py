@@ -13,20 +13,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import layout, metrics, recommender, runlog, sizing
+from tessera.operators import layout, metrics, recommender, sizing
 from tessera.operators.split import DEFAULT_SEED, label_split, random_split, split_threshold
 from tessera.plans import experiment
 from tessera.plans import ratings as R
 from tessera.schema import ITEM_COL, RATING_COLUMNS, USER_COL
 from tessera.sources.csv import read_ratings_csv
-from tessera.session import shared_path
-from tessera.sources.eventlog import read_event_log, session_event_log_path
 from tessera.sources.tables import RATINGS_CSV_SQL, RATINGS_SQL, read_table
 
 DIGITS = 9
+# Factors are floats: what rounding them leaves of a user's normal equations.
+RESIDUAL_TOLERANCE = 1e-3
 # Executor memory settings the reference reasons about
-# (its default, the fixed per-worker value, the compose default).
-MEMORY_SETTINGS = ("4g", "6g", "1g")
+# (its default, the fixed per-worker value, the compose default), then the other
+# forms of the setting, small ones that the data exceed, and text that is none.
+MEMORY_SETTINGS = ("4g", "6g", "1g", "512m", "1024", "2m", "6G", "xg", "")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -76,11 +77,10 @@ def q_split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_random_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spark's native ``randomSplit`` (depends on the input partitioning)."""
+    """Both sides of Spark's native ``randomSplit``: together all rows, each once
+    (which side a row is on depends on the input partitioning)."""
     train, test = random_split(R.staged(spark, sf_dir))
-    return train.withColumn("split", F.lit("train")).unionByName(
-        test.withColumn("split", F.lit("test"))
-    )
+    return train.unionByName(test)
 
 
 def q_rmse_mean_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,7 +109,9 @@ def q_partition_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_partition_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.partition_totals(layout.repartition(R.staged(spark, sf_dir), 8))
+    """Partitions, rows and floor average; least and most depend on the deal."""
+    totals = layout.partition_totals(layout.repartition(R.staged(spark, sf_dir), 8))
+    return totals.select("partitions", "total_records", "avg_records")
 
 
 def q_csv_scan_explicit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,6 +126,16 @@ def q_project_cast(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_ratings_csv(spark, R.staged_wide_csv(spark, sf_dir), mode="inferred")
 
 
+def q_cast_malformed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text ids, empty fields and fractions in the CSV, by both routes."""
+    path = R.staged_malformed_csv(spark, sf_dir)
+    routes = [
+        read_ratings_csv(spark, path, mode=mode).select(F.lit(mode).alias("route"), "*")
+        for mode in ("explicit", "inferred")
+    ]
+    return routes[0].unionByName(routes[1])
+
+
 def q_stage_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ratings staged once (written only when no committed copy exists)."""
     return R.staged(spark, sf_dir)
@@ -140,8 +152,9 @@ def q_score_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_cold_start_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Test rows that survive ALS scoring with cold-start rows dropped."""
-    model = R.fitted_model(spark, sf_dir)
+    """Test rows that survive ALS scoring when some users and items are held
+    out of training and cold-start rows are dropped."""
+    model = R.fitted_model(spark, sf_dir, held_out=True)
     _, test = R.split(spark, sf_dir)
     return recommender.predict(model, test).select(*RATING_COLUMNS)
 
@@ -152,18 +165,25 @@ def q_als_predict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recommender.predict(model, test)
 
 
-def q_als_rmse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = R.fitted_model(spark, sf_dir)
-    _, test = R.split(spark, sf_dir)
-    return metrics.rmse(recommender.predict(model, test))
+def q_als_predict_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scored rows, and whether each score is a finite number."""
+    score = F.col("prediction").cast("double")
+    finite = score.isNotNull() & ~F.isnan(score) & (F.abs(score) < F.lit(float("inf")))
+    return q_als_predict(spark, sf_dir).select(USER_COL, ITEM_COL, "timestamp", finite.alias("finite"))
 
 
-_NE_PARAMS = recommender.AlsParams(solver="normal_equations")
+def q_als_residual_ok(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users of the fit, and whether all solve their normal equations."""
+    train, _ = R.split(spark, sf_dir)
+    residual = recommender.user_residual(R.fitted_model(spark, sf_dir), train)
+    return residual.agg(
+        F.count(F.lit(1)).alias("users"),
+        (F.max("residual") < F.lit(RESIDUAL_TOLERANCE)).alias("within_tolerance"),
+    )
 
 
-def q_als_normal_equations_rmse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same fit and score with the skew-safe normal-equations solver."""
-    model = R.fitted_model(spark, sf_dir, _NE_PARAMS)
+def q_als_rmse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = R.fitted_model(spark, sf_dir)
     _, test = R.split(spark, sf_dir)
     return metrics.rmse(recommender.predict(model, test))
 
@@ -181,15 +201,11 @@ _runs: dict[tuple, tuple[DataFrame, DataFrame]] = {}
 
 
 def _experiments(spark: SparkSession, sf_dir: str, configs) -> tuple[DataFrame, DataFrame]:
-    """Sweep over the staged ratings CSV (explicit schema), run once per
-    (application, source, configurations) and kept as small result tables."""
-    key = (spark.sparkContext.applicationId, R.sf_path(sf_dir), tuple(configs))
+    """Sweep over the staged ratings, run once per (application, state of the
+    input tables, configurations); the results are a few rows."""
+    key = (spark.sparkContext.applicationId, R.ratings_tag(spark, sf_dir), tuple(configs))
     if key not in _runs:
-        path = R.staged_ratings_csv(spark, sf_dir)
-        results, phases = experiment.sweep(
-            spark, lambda: read_ratings_csv(spark, path, mode="explicit"), configs
-        )
-        _runs[key] = (results.cache(), phases.cache())
+        _runs[key] = experiment.sweep(spark, lambda: R.staged(spark, sf_dir), configs)
     return _runs[key]
 
 
@@ -214,62 +230,9 @@ def q_experiment_phases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _experiments(spark, sf_dir, experiment.choose_configs())[1]
 
 
-def _session_log(spark: SparkSession) -> DataFrame:
-    path = session_event_log_path(spark)
-    if path is None:
-        raise RuntimeError("event logging is off for this session (spark.eventLog.enabled)")
-    return read_event_log(spark, path)
-
-
-def q_eventlog_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Jobs of this session's own log, after running the experiment on sf_dir."""
-    _experiments(spark, sf_dir, [_EXPERIMENT_CONFIG])
-    return runlog.eventlog_jobs(_session_log(spark))
-
-
-def q_eventlog_phase_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _experiments(spark, sf_dir, [_EXPERIMENT_CONFIG])
-    return runlog.jobs_by_group(runlog.eventlog_jobs(_session_log(spark)))
-
-
-def q_eventlog_first_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The short listing: first five jobs of this application."""
-    _experiments(spark, sf_dir, [_EXPERIMENT_CONFIG])
-    return runlog.first_jobs(runlog.eventlog_jobs(_session_log(spark)), 5)
-
-
-def q_eventlog_storage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _experiments(spark, sf_dir, [_EXPERIMENT_CONFIG])
-    return runlog.eventlog_storage(_session_log(spark))
-
-
-def q_eventlog_spill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _experiments(spark, sf_dir, [_EXPERIMENT_CONFIG])
-    return runlog.eventlog_spill(_session_log(spark))
-
-
-def q_eventlog_jobs_live(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The streaming job monitor over this session's log folder."""
-    import uuid
-
-    from tessera.streaming import job_status_snapshot
-
-    _experiments(spark, sf_dir, [_EXPERIMENT_CONFIG])
-    path = session_event_log_path(spark)
-    if path is None:
-        raise RuntimeError("event logging is off for this session (spark.eventLog.enabled)")
-    ckpt = shared_path(spark, "streams", f"jobs-{uuid.uuid4().hex}")
-    return job_status_snapshot(spark, path, ckpt)
-
-
-EVENTLOG_QUERIES: dict[str, Query] = {
-    "eventlog_jobs": q_eventlog_jobs,
-    "eventlog_phase_jobs": q_eventlog_phase_jobs,
-    "eventlog_first_jobs": q_eventlog_first_jobs,
-    "eventlog_storage": q_eventlog_storage,
-    "eventlog_spill": q_eventlog_spill,
-    "eventlog_jobs_live": q_eventlog_jobs_live,
-}
+def q_sweep_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    results, _ = _experiments(spark, sf_dir, experiment.choose_configs())
+    return results.select("num_nodes", "partitions", "num_records", "train_records", "test_records")
 
 
 QUERIES: dict[str, Query] = {
@@ -286,17 +249,20 @@ QUERIES: dict[str, Query] = {
     "csv_scan_explicit": q_csv_scan_explicit,
     "csv_scan_inferred": q_csv_scan_inferred,
     "project_cast": q_project_cast,
+    "cast_malformed": q_cast_malformed,
     "stage_if_absent": q_stage_if_absent,
     "score_vectors": q_score_vectors,
     "cold_start_kept": q_cold_start_kept,
     "als_predict": q_als_predict,
     "als_rmse": q_als_rmse,
-    "als_normal_equations_rmse": q_als_normal_equations_rmse,
+    "als_predict_rows": q_als_predict_rows,
+    "als_residual_ok": q_als_residual_ok,
     "als_user_factors": q_als_user_factors,
     "als_item_factors": q_als_item_factors,
     "experiment_counts": q_experiment_counts,
     "experiment_result": q_experiment_result,
     "experiment_sweep": q_experiment_sweep,
+    "sweep_counts": q_sweep_counts,
     "experiment_phases": q_experiment_phases,
     "experiment_summary": q_experiment_summary,
     "random_split": q_random_split,
@@ -360,11 +326,43 @@ FROM ratings r JOIN emb u ON u.vec_id = r."userId" JOIN emb i ON i.vec_id = r."m
     ),
     "cold_start_kept": _sql(
         """SELECT "userId", "movieId", rating, "timestamp" FROM split t
+WHERE split = 'test'
+  AND "userId" IN (SELECT "userId" FROM split WHERE split = 'train' AND "userId" % 10 <> 0 AND "movieId" % 17 <> 0)
+  AND "movieId" IN (SELECT "movieId" FROM split WHERE split = 'train' AND "userId" % 10 <> 0 AND "movieId" % 17 <> 0)""",
+        _SPLIT_CTE,
+    ),
+    "als_predict_rows": _sql(
+        """SELECT "userId", "movieId", "timestamp", true AS finite FROM split t
 WHERE split = 'test'
   AND "userId" IN (SELECT "userId" FROM split WHERE split = 'train')
   AND "movieId" IN (SELECT "movieId" FROM split WHERE split = 'train')""",
         _SPLIT_CTE,
     ),
+    "als_residual_ok": _sql(
+        "SELECT count(DISTINCT \"userId\") AS users, true AS within_tolerance FROM split WHERE split = 'train'",
+        _SPLIT_CTE,
+    ),
+    "random_split": RATINGS_SQL,
+    "partition_totals": _sql(
+        "SELECT 8 AS partitions, count(*) AS total_records, CAST(floor(count(*) / 8) AS BIGINT) AS avg_records FROM ratings"
+    ),
+    "cast_malformed": """WITH t AS (
+  SELECT CAST(o_custkey AS INTEGER) AS u, CAST(l_partkey AS INTEGER) AS i, l_linenumber AS n,
+         CAST(ceil(l_quantity / 5) * 0.5 AS FLOAT) AS r, CAST(epoch(o_orderdate) AS BIGINT) AS ts
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+)
+SELECT route, CASE WHEN n IN (2, 3) THEN NULL ELSE u END AS "userId",
+       CASE WHEN n = 4 AND route = 'explicit' THEN NULL ELSE i END AS "movieId",
+       CASE WHEN n = 5 THEN NULL ELSE r END AS rating, ts AS "timestamp"
+FROM t, (VALUES ('explicit'), ('inferred')) AS routes(route)""",
+    "sweep_counts": _sql(
+        """SELECT num_nodes, partitions, count(*) AS num_records,
+       count(*) FILTER (WHERE split = 'train') AS train_records,
+       count(*) FILTER (WHERE split = 'test') AS test_records
+FROM split, (VALUES (1, 8), (2, 8), (5, 20)) AS configs(num_nodes, partitions)
+GROUP BY num_nodes, partitions""",
+        _SPLIT_CTE,
+    ),
     "experiment_counts": _sql(
         """SELECT 2 AS num_nodes, 8 AS partitions, count(*) AS num_records,
        count(*) FILTER (WHERE split = 'train') AS train_records,
@@ -373,13 +371,3 @@ FROM split""",
         _SPLIT_CTE,
     ),
 }
-
-
-def all_queries(spark: SparkSession | None = None) -> dict[str, Query]:
-    """Every query usable on ``spark``: the event-log reports need the
-    session to write an event log (their input), so they are listed only
-    when it does."""
-    out = dict(QUERIES)
-    if spark is not None and session_event_log_path(spark) is not None:
-        out.update(EVENTLOG_QUERIES)
-    return out

@@ -37,12 +37,17 @@ def _write_by_split(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").partitionBy("split").parquet(path)
 
 
+def ratings_tag(spark: SparkSession, sf_dir: str) -> str:
+    """Names the present state of the tables that ratings come from."""
+    return table_fingerprint(spark, sf_path(sf_dir), RATING_TABLES, STAGE_VERSION)
+
+
 def staged_ratings_parquet(spark: SparkSession, sf_dir: str) -> str:
     """Ratings written once as Parquet in the shared folder, partitioned by
     the default hash-split label: reading one side is a partition-pruned
     scan, and the per-row hash runs once, at staging."""
     sf = sf_path(sf_dir)
-    tag = table_fingerprint(spark, sf, RATING_TABLES, STAGE_VERSION)
+    tag = ratings_tag(spark, sf)
     return stage(
         spark,
         "ratings_parquet",
@@ -55,7 +60,7 @@ def staged_ratings_parquet(spark: SparkSession, sf_dir: str) -> str:
 def staged_ratings_csv(spark: SparkSession, sf_dir: str) -> str:
     """Ratings as header CSV text (the reference's input format)."""
     sf = sf_path(sf_dir)
-    tag = table_fingerprint(spark, sf, RATING_TABLES, STAGE_VERSION)
+    tag = ratings_tag(spark, sf)
     return stage(
         spark, "ratings_csv", tag, lambda: ratings_from_tables(spark, sf), write=write_ratings_csv
     )
@@ -65,7 +70,7 @@ def staged_wide_csv(spark: SparkSession, sf_dir: str) -> str:
     """Ratings CSV with columns in another order plus extra columns, for
     the by-name projection route."""
     sf = sf_path(sf_dir)
-    tag = table_fingerprint(spark, sf, RATING_TABLES, STAGE_VERSION)
+    tag = ratings_tag(spark, sf)
 
     def build() -> DataFrame:
         r = ratings_from_tables(spark, sf)
@@ -81,6 +86,25 @@ def staged_wide_csv(spark: SparkSession, sf_dir: str) -> str:
     return stage(spark, "ratings_wide_csv", tag, build, write=write_ratings_csv)
 
 
+def staged_malformed_csv(spark: SparkSession, sf_dir: str) -> str:
+    """Ratings CSV in which the line number of an order decides on a bad value:
+    2 a text as user, 3 no user, 4 a fraction as item, 5 no rating."""
+    sf = sf_path(sf_dir)
+
+    def build() -> DataFrame:
+        n = F.col("l_linenumber")
+        rows = ratings_from_tables(spark, sf, "l_linenumber")
+        user, item = F.col("userId").cast("string"), F.col("movieId").cast("string")
+        return rows.select(
+            F.when(n == 2, "x").when(n == 3, None).otherwise(user).alias("userId"),
+            F.when(n == 4, F.concat(item, F.lit(".7"))).otherwise(item).alias("movieId"),
+            F.when(n != 5, F.col("rating")).alias("rating"),
+            "timestamp",
+        )
+
+    return stage(spark, "ratings_malformed_csv", ratings_tag(spark, sf), build, write=write_ratings_csv)
+
+
 def staged_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The staged Parquet ratings with their ``split`` label (a partition
     column): later queries read this columnar copy instead of repeating
@@ -103,18 +127,25 @@ def split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def fitted_model(
-    spark: SparkSession, sf_dir: str, params: recommender.AlsParams = recommender.AlsParams()
+    spark: SparkSession,
+    sf_dir: str,
+    params: recommender.AlsParams = recommender.AlsParams(),
+    held_out: bool = False,
 ) -> ALSModel:
-    """ALS fitted on the hash-split training rows, once per (app, source, params).
+    """ALS fitted on the hash-split training rows, once per (application, state of
+    the input tables, parameters).  ``held_out`` leaves out of training all rows of
+    every tenth user and every seventeenth item.
 
     Training input is the staged Parquet copy, so refits and retries read
     files instead of replaying the join.
     """
-    key = (spark.sparkContext.applicationId, sf_path(sf_dir), params)
+    key = (spark.sparkContext.applicationId, ratings_tag(spark, sf_dir), params, held_out)
     with _lock:
         model = _models.get(key)
     if model is None:
         train, _ = split(spark, sf_dir)
+        if held_out:
+            train = train.where((F.col("userId") % 10 != 0) & (F.col("movieId") % 17 != 0))
         model, _ = recommender.fit(train, params)
         with _lock:
             _models[key] = model

@@ -13,6 +13,9 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
+_roots: dict[str, str] = {}
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for checkpoints and staged tables.
 
@@ -21,8 +24,10 @@ def checkpoint_root(spark: SparkSession) -> str:
     test session) is a scratch folder created and registered; on a cluster
     that is an error, since a driver-local folder is not shared.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
+    if sc.applicationId in _roots:  # one folder per application
+        return _roots[sc.applicationId]
+    root = spark.conf.get("spark.checkpoint.dir", None)
     current = sc.getCheckpointDir()
     if not root:
         root = current
@@ -35,7 +40,8 @@ def checkpoint_root(spark: SparkSession) -> str:
         root = tempfile.mkdtemp(prefix="tessera-ckpt-")
     if current is None:
         sc.setCheckpointDir(root)
-    return root.rstrip("/")
+    _roots[sc.applicationId] = root.rstrip("/")
+    return _roots[sc.applicationId]
 
 
 def shared_path(spark: SparkSession, *parts: str) -> str:
@@ -57,10 +63,6 @@ def path_complete(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(hpath))
 
 
-def default_parallelism(spark: SparkSession) -> int:
-    return int(spark.sparkContext.defaultParallelism)
-
-
 # The reference's session settings for an experiment run.
 REFERENCE_SETTINGS = {
     "spark.executor.cores": "1",
@@ -72,6 +74,9 @@ REFERENCE_SETTINGS = {
     "spark.kryoserializer.buffer.max": "512m",
 }
 
+# What the early variant sets otherwise.
+EARLY_SETTINGS = {"spark.sql.shuffle.partitions": "10"}
+
 # Runtime SQL options this library relies on; safe to set on a given session.
 RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -94,25 +99,22 @@ def build_session(
     executor_memory: str = "4g",
     extra: dict[str, str] | None = None,
     reference_shuffle: bool = False,
+    early: bool = False,
 ) -> SparkSession:
     """A session we own (command line, benchmarks): the reference's memory
     and transport settings plus our runtime options.  The shuffle width is
     left to AQE unless ``reference_shuffle`` asks for the reference's fixed
-    count.  Static settings only take effect when this call starts the JVM;
+    count (``early``: that of its early variant).  Static settings only take effect when this call starts the JVM;
     a session handed to the library is never rebuilt or stopped by it."""
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
     settings = {**REFERENCE_SETTINGS, **RUNTIME_SETTINGS, "spark.executor.memory": executor_memory}
+    if early:
+        settings.update(EARLY_SETTINGS)
     if not reference_shuffle:
         settings.update(SHUFFLE_SETTINGS)
     settings.update(extra or {})
     for k, v in settings.items():
         builder = builder.config(k, v)
     return builder.getOrCreate()
-
-
-def apply_runtime_settings(spark: SparkSession) -> None:
-    """Set only runtime SQL options on a session we were given."""
-    for k, v in RUNTIME_SETTINGS.items():
-        spark.conf.set(k, v)

@@ -16,14 +16,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.operators.layout import repartition
 from tessera.schema import RATING_COLUMNS, RATING_TYPES, RATINGS_SCHEMA
 
 
+def checked_id(name: str) -> F.Column:
+    """The bigint column ``name`` as int; NULL stays NULL, an id beyond int is an error."""
+    wide = F.col(name)
+    fits = wide.isNull() | wide.between(-(2**31), 2**31 - 1)
+    error = F.raise_error(F.concat(F.lit(f"{name} beyond the int range: "), wide.cast("string")))
+    return F.when(fits, wide.cast("int")).otherwise(error.cast("int")).alias(name)
+
+
+def int_ids(df: DataFrame) -> DataFrame:
+    return df.select(*[checked_id(f.name) if RATING_TYPES[f.name] == "int" else F.col(f.name) for f in df.schema])
+
+
 def project_cast(df: DataFrame) -> DataFrame:
-    """The four rating columns by name, each ``try_cast`` to its type."""
-    return df.select(*[F.col(c).try_cast(RATING_TYPES[c]).alias(c) for c in RATING_COLUMNS])
+    """The four rating columns by name, each ``try_cast`` to its type; ids
+    that are numbers beyond int are an error, not NULL."""
+    wide = {c: "bigint" if t == "int" else t for c, t in RATING_TYPES.items()}
+    return int_ids(df.select(*[F.col(c).try_cast(wide[c]).alias(c) for c in RATING_COLUMNS]))
 
 
 def read_ratings_csv(
@@ -35,7 +50,8 @@ def read_ratings_csv(
 ) -> DataFrame:
     reader = spark.read.option("header", True)
     if mode == "explicit":
-        df = reader.option("enforceSchema", False).schema(RATINGS_SCHEMA).csv(path)
+        wide = T.StructType([T.StructField(f.name, T.LongType() if f.dataType == T.IntegerType() else f.dataType) for f in RATINGS_SCHEMA])
+        df = int_ids(reader.option("enforceSchema", False).schema(wide).csv(path))
     elif mode == "inferred":
         df = project_cast(
             reader.option("inferSchema", True).option("samplingRatio", sampling_ratio).csv(path)

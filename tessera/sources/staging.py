@@ -11,6 +11,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.session import path_complete, shared_path, source_tag
@@ -46,9 +47,9 @@ def stage(
 ) -> str:
     """Path of ``name/tag`` in the shared folder, written by ``build`` if absent.
 
-    The copy is written to a private attempt folder and then renamed into
-    place, so readers never see a half-written stage and two writers of the
-    same stage do not mix files; whichever rename lands first is kept.
+    The copy is written to a private attempt folder and then published, so
+    readers never see a half-written stage and two writers of the same stage
+    do not mix files.
     """
     path = shared_path(spark, name, tag)
     if path_complete(spark, path):
@@ -59,24 +60,27 @@ def stage(
         write(df, attempt)
     else:
         df.write.mode("overwrite").format(fmt).save(attempt)
-    jvm = spark.sparkContext._jvm
-    src, dst = jvm.org.apache.hadoop.fs.Path(attempt), jvm.org.apache.hadoop.fs.Path(path)
-    fs = dst.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not path_complete(spark, path):
-        # a failed earlier write may have left files without _SUCCESS;
-        # re-check just before deleting, so a copy another writer has just
-        # published is never removed
-        if fs.exists(dst) and not path_complete(spark, path):
-            fs.delete(dst, True)
-        fs.rename(src, dst)  # false when another writer got there first
-    if fs.exists(src):
-        fs.delete(src, True)
+    publish(spark, attempt, path)
     return path
 
 
-def stage_parquet_if_absent(df: DataFrame, path: str) -> DataFrame:
-    """Write ``df`` to ``path`` unless a committed copy is there; read it back."""
-    spark = df.sparkSession
-    if not path_complete(spark, path):
-        df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+def publish(spark: SparkSession, attempt: str, path: str) -> None:
+    """Moves a complete copy into place, unless another writer's is there.
+
+    The rename fails on an existing folder (``FileSystem.rename`` would move the
+    copy into it), so of several writers one wins and the others' copies go.
+    """
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    src, dst = jvm.org.apache.hadoop.fs.Path(attempt), jvm.org.apache.hadoop.fs.Path(path)
+    fs = dst.getFileSystem(conf)
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf)
+    no_options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+    if fs.exists(dst) and not path_complete(spark, path):
+        fs.delete(dst, True)  # left by a failed write
+    try:
+        files.rename(fs.makeQualified(src), fs.makeQualified(dst), no_options)
+    except Py4JJavaError:
+        if not path_complete(spark, path):
+            raise
+        fs.delete(src, True)

@@ -17,21 +17,22 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def ratings_from_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``userId, movieId, rating, timestamp`` from lineitem x orders.
+def ratings_from_tables(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
+    """``userId, movieId, rating, timestamp`` (and ``extra`` lineitem columns) from lineitem x orders.
 
     Plain equi-join on the order key: both sides grow with the data, so no
     broadcast is forced; Catalyst prunes each scan to the columns used.
     Ids keep the tables' BIGINT type: customer keys pass the int range at
     large scale factors, where a cast would fail (ANSI) or wrap.
     """
-    li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
+    li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", *extra)
     od = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     return li.join(od, li.l_orderkey == od.o_orderkey).select(
         F.col("o_custkey").alias(USER_COL),
         F.col("l_partkey").alias(ITEM_COL),
         (F.ceil(F.col("l_quantity") / 5) * F.lit(0.5)).cast("float").alias(RATING_COL),
         F.unix_timestamp(F.col("o_orderdate")).cast("bigint").alias(TIME_COL),
+        *extra,
     )
 
 

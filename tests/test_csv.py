@@ -105,3 +105,35 @@ def test_stage_publishes_by_rename(spark):
     assert stage(spark, "unit_stage", tag, build) == p and len(calls) == 1
     parent = os.path.dirname(p.replace("file:", ""))
     assert not [n for n in os.listdir(parent) if ".attempt-" in n]
+
+
+WIDE = "userId,movieId,rating,timestamp\n1,17,4.0,944249077\n2147483648,25,1.0,944250228\n"
+
+
+@pytest.mark.parametrize("mode", ["explicit", "inferred"])
+def test_ids_beyond_int_are_an_error(spark, scratch, mode):
+    path = _write(scratch, f"wide_{mode}", WIDE)
+    with pytest.raises(Exception, match="int range"):
+        read_ratings_csv(spark, path, mode=mode).collect()
+
+
+def test_second_writer_does_not_nest_its_copy(spark):
+    """Another writer publishes between the check and the rename."""
+    import uuid
+
+    from tessera.session import shared_path
+    from tessera.sources.staging import publish
+
+    path = shared_path(spark, "race", uuid.uuid4().hex)
+    for n in (3, 5):
+        spark.range(n).write.parquet(f"{path}.attempt-{n}")
+    publish(spark, f"{path}.attempt-3", path)
+    publish(spark, f"{path}.attempt-5", path)
+    assert spark.read.parquet(path).count() == 3
+    assert not os.path.exists(f"{path}.attempt-5") and not [f for f in os.listdir(path) if "attempt" in f]
+
+
+def test_shared_folder_is_one_per_application(spark):
+    from tessera.session import checkpoint_root
+
+    assert checkpoint_root(spark) == checkpoint_root(spark)

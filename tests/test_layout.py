@@ -39,3 +39,27 @@ def test_skew_summary_hot_key(spark):
     t = layout.skew_summary(df, "k").first()
     assert t["keys"] == 2001 and t["total_records"] == 3000
     assert t["max_records"] == 1000 and t["min_records"] == 1
+
+
+def _jobs(spark, group, run):
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", group)
+    try:
+        out = run()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_partition_count_runs_no_job_and_records_are_one_pass(spark):
+    df = spark.range(1000).repartition(8)
+    n, jobs = _jobs(spark, "count-partitions", lambda: layout.num_partitions(df))
+    assert (n, jobs) == (8, 0)
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
+    rows, jobs = _jobs(spark, "partition-records", lambda: layout.partition_records(df).collect())
+    assert jobs <= 2  # the shuffle and its reading, once
+    assert len(rows) == 8 and sum(r["records"] for r in rows) == 1000
+
+
+def test_empty_partitions_are_kept(spark):
+    rows = layout.partition_records(spark.range(3).repartition(8)).collect()
+    assert sorted(r["partition_id"] for r in rows) == list(range(8)) and sum(r["records"] for r in rows) == 3

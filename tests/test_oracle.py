@@ -3,10 +3,12 @@
 import pytest
 
 import __spark_entry__ as E
+from tessera.plans.catalog import ORACLE_SQL
 from tests.conftest import SF_SMALL
 from tests.util import duck_bag, spark_bag
 
-KEYS = sorted(E.oracle_sql())
+# those of the training-data queries are tested in tests/llm
+KEYS = sorted(ORACLE_SQL)
 
 
 def test_every_twin_has_a_query():
@@ -25,3 +27,10 @@ def test_entry_runs(spark):
     rows = df.collect()
     assert df.columns == ["rmse", "scored"]
     assert len(rows) == 1 and rows[0]["scored"] > 0
+
+
+def test_cold_start_drops_rows(spark):
+    from tessera.plans import ratings as R
+
+    kept = E.queries()["cold_start_kept"](spark, SF_SMALL).count()
+    assert 0 < kept < R.split(spark, SF_SMALL)[1].count()

@@ -106,6 +106,30 @@ def test_seeded_fit_is_repeatable_across_partitionings(spark):
     assert abs(out[0] - out[1]) < 1e-6
 
 
-def test_block_count_follows_cluster(spark):
-    assert recommender.block_count(spark, recommender.AlsParams()) == spark.sparkContext.defaultParallelism
-    assert recommender.block_count(spark, recommender.AlsParams(num_blocks=3)) == 3
+def test_fit_does_not_depend_on_the_cluster(spark):
+    """Equal parameters give an equal fit whatever the default parallelism is."""
+    train, test = hash_split(R.ratings(spark, SF_SMALL))
+    out = []
+    conf = spark.sparkContext._jsc.sc().conf()
+    before = conf.get("spark.default.parallelism", "4")
+    try:
+        for n in ("2", "16"):
+            conf.set("spark.default.parallelism", n)
+            model, _ = recommender.fit(train, PARAMS)
+            out.append(metrics.rmse(recommender.predict(model, test)).first()["rmse"])
+    finally:
+        conf.set("spark.default.parallelism", before)
+    assert abs(out[0] - out[1]) < 1e-6
+
+
+def test_ids_beyond_int_and_empty_input_are_errors(spark):
+    wide = spark.createDataFrame([(2**31, 1, 1.0), (1, 2, 2.0)], "userId long, movieId long, rating float")
+    with pytest.raises(ValueError, match="int range"):
+        recommender.fit(wide, PARAMS)
+    with pytest.raises(ValueError, match="no training rows"):
+        recommender.fit(wide.limit(0), PARAMS)
+
+
+def test_heaviest_share(spark):
+    rows = spark.createDataFrame([(0, i, 1.0) for i in range(6)] + [(1, 0, 1.0)], "userId int, movieId int, rating float")
+    assert tuple(recommender.heaviest_share(rows).first()) == (7, 6, 2)
