@@ -173,4 +173,37 @@ WITH v AS (
   SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY quid ORDER BY score DESC, vec_id NULLS LAST)::INTEGER AS rank FROM s
 )
 SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 20""",
+    "op2_embedding_dedup": r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, row_number() OVER () AS uid, label,
+         CASE WHEN label IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+               AND len([x for x in embedding if x <> 0]) > 0 THEN embedding::DOUBLE[] END AS e
+  FROM embeddings
+), l AS (
+  SELECT a.uid AS a, b.uid AS b
+  FROM v a JOIN v b ON a.label = b.label AND a.uid <> b.uid AND len(a.e) = len(b.e)
+   AND list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.93
+), reach AS (
+  SELECT uid, vec_id AS v FROM v
+  UNION
+  SELECT l.a, reach.v FROM reach JOIN l ON l.b = reach.uid
+), n AS (SELECT a, count(*) AS n FROM l GROUP BY a), c AS (SELECT uid, min(v) AS c FROM reach GROUP BY uid)
+SELECT vec_id, coalesce(n, 0) AS n_links, c AS component_id, vec_id IS NOT DISTINCT FROM c AS kept
+FROM v JOIN c USING (uid) LEFT JOIN n ON n.a = v.uid""",
+    "op9_ngram_join": r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, row_number() OVER () AS uid, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), g AS (
+  SELECT DISTINCT uid, unnest(CASE WHEN len(w) >= 5 THEN [array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)]
+                                   WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS gram FROM t
+), s AS (SELECT uid, count(*) AS n FROM g GROUP BY uid), p AS (
+  SELECT a.uid AS a, b.uid AS b, count(*) AS shared FROM g a JOIN g b ON a.gram = b.gram AND a.uid <> b.uid GROUP BY a.uid, b.uid
+), l AS (
+  SELECT a, b FROM p JOIN s x ON x.uid = a JOIN s y ON y.uid = b WHERE shared >= 0.8::DOUBLE * (x.n + y.n - shared)
+), reach AS (
+  SELECT uid, doc_id AS v FROM t
+  UNION
+  SELECT l.a, reach.v FROM reach JOIN l ON l.b = reach.uid
+), n AS (SELECT a, count(*) AS n FROM l GROUP BY a), c AS (SELECT uid, min(v) AS c FROM reach GROUP BY uid)
+SELECT doc_id, c AS class_id, coalesce(n, 0) AS n_links FROM t JOIN c USING (uid) LEFT JOIN n ON n.a = t.uid""",
 }
