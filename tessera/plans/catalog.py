@@ -344,7 +344,7 @@ WHERE split = 'test'
     ),
     "random_split": RATINGS_SQL,
     "partition_totals": _sql(
-        "SELECT 8 AS partitions, count(*) AS total_records, CAST(floor(count(*) / 8) AS BIGINT) AS avg_records FROM ratings"
+        "SELECT CAST(8 AS BIGINT) AS partitions, count(*) AS total_records, CAST(floor(count(*) / 8) AS BIGINT) AS avg_records FROM ratings"
     ),
     "cast_malformed": """WITH t AS (
   SELECT CAST(o_custkey AS INTEGER) AS u, CAST(l_partkey AS INTEGER) AS i, l_linenumber AS n,
