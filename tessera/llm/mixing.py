@@ -64,6 +64,7 @@ def thresholds(narrow: DataFrame, budgets: dict[str | None, float], schema: str)
     while shift and state:
         shift -= LEVEL_BITS
         open_ = spark.createDataFrame([(s, p, float(b)) for s, (p, b) in state.items()], f"src {schema}, prefix long, budget double")
+        open_ = small(open_, len(state))
         hist = (narrow.join(open_, F.col("source").eqNullSafe(F.col("src")) & (F.shiftright("h", shift + LEVEL_BITS) == F.col("prefix")))
                 .groupBy("source", "budget", F.shiftright("h", shift).alias("bucket"))
                 .agg(F.sum("size").alias("words"), F.min("h").alias("low"), F.max("h").alias("high")))
@@ -80,6 +81,14 @@ def thresholds(narrow: DataFrame, budgets: dict[str | None, float], schema: str)
     return cut
 
 
+#: Sources up to which a plan (tens of bytes each) goes to every task; beyond, rows are joined by shuffle.
+SMALL_PLAN = 100_000
+
+
+def small(plan: DataFrame, sources: int) -> DataFrame:
+    return F.broadcast(plan) if sources <= SMALL_PLAN else plan
+
+
 def mix(docs: DataFrame, weights: tuple = (5, 2, 1), budget: float = 1.5, most: int = 2, seed: str = "mix") -> tuple[DataFrame, Table]:
     """(plan, table): ``plan`` has a row per source with ``source_size``, ``target``,
     ``epochs`` and ``cut``; ``table`` has doc_id, source, size and hash ``h`` per document."""
@@ -92,7 +101,7 @@ def mix(docs: DataFrame, weights: tuple = (5, 2, 1), budget: float = 1.5, most:
     cut = thresholds(narrow.df, {s: target[s] - epochs[s] * n for s, n in sizes}, schema)
     plan = spark.createDataFrame([(s, n, target[s], epochs[s], cut[s]) for s, n in sizes],
                                  f"source {schema}, source_size long, target double, epochs long, cut long")
-    return plan, narrow
+    return small(plan, len(sizes)), narrow
 
 
 def _copies() -> Column:
