@@ -106,7 +106,7 @@ def cut_out(texts: pa.Array, spans: pa.Array) -> tuple[list[int], list[int], lis
     return sizes, removed, runs, digests
 
 
-def repeated_spans(docs: DataFrame, least: int = 48, most: int = 160, bits: int = 5) -> DataFrame:
+def repeated_spans(docs: DataFrame, least: int = 48, most: int = 192, bits: int = 4) -> DataFrame:
     """doc_id, text_hash and spans: the chunks of each document that another place before it has."""
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
     all_ = Table(chunks(named, least, most, bits), "chunks").df
