@@ -106,22 +106,25 @@ def cut_out(texts: pa.Array, spans: pa.Array) -> tuple[list[int], list[int], lis
     return sizes, removed, runs, digests
 
 
-def repeated_spans(docs: DataFrame, least: int = 48, most: int = 192, bits: int = 4) -> DataFrame:
-    """doc_id, text_hash and spans: the chunks of each document that another place before it has."""
+def repeated_spans(docs: DataFrame, least: int = 48, most: int = 192, bits: int = 4) -> Table:
+    """A table of doc_id, text_hash and spans: the chunks of each document that another place before it has."""
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
-    all_ = Table(chunks(named, least, most, bits), "chunks").df
+    all_ = Table(chunks(named, least, most, bits), "chunks")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "start")
-    first = all_.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("d1", "d2", "first")
-    first = Table(first, "firsts").df
+    first = all_.df.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("d1", "d2", "first")
+    first = Table(first, "firsts")
     # one row per digest on this side, so a frequent chunk's side can be split
-    later = all_.join(first, ["d1", "d2"]).where(place > F.col("first"))
-    return later.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "length")).alias("spans"))
+    later = all_.df.join(first.df, ["d1", "d2"]).where(place > F.col("first"))
+    spans = Table(later.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "length")).alias("spans")), "spans")
+    all_.drop()
+    first.drop()
+    return spans
 
 
 def chunk_dedup(docs: DataFrame, **settings) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), spans (start, length in bytes) and
     kept_sha256 (of the bytes left) per document."""
-    spans = Table(repeated_spans(docs, **settings), "spans").df.withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
+    spans = repeated_spans(docs, **settings).df.withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

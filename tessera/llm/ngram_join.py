@@ -140,24 +140,26 @@ def text_classes(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999,
         "key", "n", "bytes", F.col("f.doc_id").alias("first"), F.col("f.rows").alias("first_rows"))
     # one row of each text; equal texts have equal signatures, so any row's will do
     signed = signatures(keyed.select("key", "text"), bands, rows).groupBy("key").agg(F.any_value("bands").alias("bands"))
-    texts = Table(counted.join(signed, "key").withColumn("id", F.monotonically_increasing_id()), "texts").df
-    members = texts.select("id", F.explode("bands").alias("bucket"))
-    buckets = Table(members.groupBy("bucket").agg(F.min("id").alias("low"), F.count("*").alias("size")).where("size > 1").drop("size"), "buckets").df
-    meets = Table(members.join(buckets, "bucket").where("low < id").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct(), "meets")
+    texts = Table(counted.join(signed, "key").withColumn("id", F.monotonically_increasing_id()), "texts")
+    members = texts.df.select("id", F.explode("bands").alias("bucket"))
+    buckets = Table(members.groupBy("bucket").agg(F.min("id").alias("low"), F.count("*").alias("size")).where("size > 1").drop("size"), "buckets")
+    meets = Table(members.join(buckets.df, "bucket").where("low < id").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct(), "meets")
     groups = components(meets.df)
-    texts_in = Table(groups.join(texts.drop("bands"), "id"), "groups").df
-    sizes = Table(texts_in.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / block_texts), F.ceil(F.sum("bytes") / block_bytes)).cast("int").alias("blocks")), "sizes").df
-    placed = (texts_in.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
+    texts_in = Table(groups.join(texts.df.drop("bands"), "id"), "groups")
+    sizes = Table(texts_in.df.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / block_texts), F.ceil(F.sum("bytes") / block_bytes)).cast("int").alias("blocks")), "sizes")
+    placed = (texts_in.df.join(sizes.df, "root").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
     # one row per text, the one with the smallest doc_id, so copies stay behind; equal rows once
     mine = placed.select(F.col("key").alias("__key"), "id", "n", "root", "blocks", "own", "first")
     fetched = (keyed.join(mine, (F.col("key") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("first")))
                .dropDuplicates(["id"])
                .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
                .select("id", "n", "own", "root", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "text"))
-    found = Table(each_group(fetched, ["root", "lo", "hi"], lambda t: verify(t, threshold), "id long, links long, low long"), "links").df
-    roots = components(found.select(F.col("id").alias("a"), F.col("low").alias("b")))
-    links = found.groupBy("id").agg(F.sum("links").alias("links"))
-    named = Table(texts.drop("bands").join(links, "id", "left").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "named").df
+    found = Table(each_group(fetched, ["root", "lo", "hi"], lambda t: verify(t, threshold), "id long, links long, low long"), "links")
+    roots = components(found.df.select(F.col("id").alias("a"), F.col("low").alias("b")))
+    links = found.df.groupBy("id").agg(F.sum("links").alias("links"))
+    named = Table(texts.df.drop("bands").join(links, "id", "left").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "named").df
+    for done in (texts, buckets, meets, texts_in, sizes, found):
+        done.drop()
     classes = named.groupBy("root").agg(F.min("first").alias("class_id"))
     return named.join(classes, "root").select("key", "n", "first", "first_rows", F.coalesce("links", F.lit(0)).alias("links"), "root", "class_id")
 
