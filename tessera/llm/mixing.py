@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from tessera.llm.shared import Table
+from tessera.llm.shared import Table, apart, columns
 
 WORD = r"[^\x20\x09-\x0D]+"
 HASH_BITS, LEVEL_BITS = 60, 12
@@ -120,8 +120,8 @@ def mix_documents(docs: DataFrame, seed: str = "mix", **settings) -> DataFrame:
     """The mix itself: the columns of ``docs``, each document as often as it is taken."""
     plan, narrow = mix(docs, seed=seed, **settings)
     narrow.drop()
-    plan = plan.select(F.col("source").alias("__src"), "epochs", "cut")
-    plan = plan.select("__src", F.col("epochs").alias("__epochs"), F.col("cut").alias("__cut"))
-    copies = (F.col("__epochs") + (mix_hash(seed) < F.col("__cut")).cast("long")).cast("int")
-    return (docs.join(plan, F.col("source").eqNullSafe(F.col("__src")))
-            .withColumn("__copy", F.explode(F.array_repeat(F.lit(0), copies))).select(*docs.columns))
+    src, epochs, cut, copy = apart(docs, "src", "epochs", "cut", "copy")
+    plan = plan.select(F.col("source").alias(src), F.col("epochs").alias(epochs), F.col("cut").alias(cut))
+    copies = (F.col(epochs) + (mix_hash(seed) < F.col(cut)).cast("long")).cast("int")
+    return (docs.join(plan, F.col("source").eqNullSafe(F.col(src)))
+            .withColumn(copy, F.explode(F.array_repeat(F.lit(0), copies))).select(*columns(docs)))

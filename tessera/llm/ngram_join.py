@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.shared import Table, components, each_group, linked, mix64, pieces, text_bytes, text_key, word_hashes
+from tessera.llm.shared import Table, apart, columns, components, each_group, linked, mix64, pieces, text_bytes, text_key, word_hashes
 
 N = 5
 
@@ -179,11 +179,12 @@ def drop_near_copies(docs: DataFrame, threshold: float = 0.8, **settings) -> Dat
     Documents without n-grams all stay."""
     named = text_classes(docs, threshold, **settings)
     stays = F.min(F.struct(F.col("first").isNull().alias("none"), "first", "key", "first_rows"))
+    key, first, rows = apart(docs, "key", "first", "rows")
     keep = Table(named.groupBy("root").agg(stays.alias("s")).select(
-        F.col("s.key").alias("__key"), F.col("s.first").alias("__first"), F.col("s.first_rows").alias("__rows")), "keep").df
+        F.col("s.key").alias(key), F.col("s.first").alias(first), F.col("s.first_rows").alias(rows)), "keep").df
     wordless = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     # joined on text and id, so that copies of a text are not one key
-    kept = docs.join(keep, (text_key(F.col("text")) == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("__first")))
-    single = kept.where("__rows = 1").select(*docs.columns)
-    repeated = kept.where("__rows > 1").dropDuplicates(["__key"]).select(*docs.columns)
-    return docs.where(wordless).unionByName(single).unionByName(repeated)
+    kept = docs.join(keep, (text_key(F.col("text")) == F.col(key)) & F.col("doc_id").eqNullSafe(F.col(first)))
+    single = kept.where(F.col(rows) == 1).select(*columns(docs))
+    repeated = kept.where(F.col(rows) > 1).dropDuplicates([key]).select(*columns(docs))
+    return docs.where(wordless).union(single).union(repeated)

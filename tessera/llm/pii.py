@@ -12,7 +12,7 @@ Kinds: card (Luhn), iban (mod 97), ssn, phone (last ten digits), ipv4, date
 
 Defined cases: null text stays null with counts of 0; empty texts stay
 empty; repeated rows get equal results; other columns pass through, columns
-named like the counts are replaced.
+named like the counts are replaced where counts are asked for.
 """
 
 from __future__ import annotations
@@ -26,7 +26,9 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
+
+from tessera.llm.shared import columns
 
 ROUNDS = 10
 
@@ -227,12 +229,13 @@ def pseudonymize(text: str, feistel: Feistel, known: dict[tuple[str, str], str |
 COMPILED = [(name, re.compile(pattern), make) for name, pattern, make in PATTERNS]
 
 
-def pseudonymize_documents(docs: DataFrame, key: str = "tessera", column: str = "text") -> DataFrame:
-    """``docs`` with ``column`` rewritten and a count ``n_<kind>`` per kind."""
-    names = [f"n_{k}" for k in KINDS]
-    rest = [c for c in docs.columns if c not in names]
+def pseudonymize_documents(docs: DataFrame, key: str = "tessera", column: str = "text", count: bool = True) -> DataFrame:
+    """``docs`` with ``column`` rewritten and, if ``count``, a count ``n_<kind>`` per kind."""
+    names = [f"n_{k}" for k in KINDS] if count else []
+    given = docs.select(*columns(docs, without=tuple(names)))
+    rest = given.columns
     at = rest.index(column)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*rest).schema) + "".join(f", {n} int" for n in names)
+    schema = StructType([*given.schema.fields, *(StructField(n, IntegerType()) for n in names)])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         feistel, known = Feistel(key.encode()), {}
@@ -248,7 +251,8 @@ def pseudonymize_documents(docs: DataFrame, key: str = "tessera", column: str =
             if new:
                 mask = pa.array([i in new for i in range(len(texts))])
                 texts = pc.replace_with_mask(texts, mask, pa.array([new[i] for i in sorted(new)], texts.type))
-            columns = [*batch.columns[:at], texts, *batch.columns[at + 1 :]]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(counts[k], pa.int32()) for k in KINDS], rest + names)
+            found = [pa.array(counts[k], pa.int32()) for k in KINDS] if count else []
+            yield pa.RecordBatch.from_arrays([*batch.columns[:at], texts, *batch.columns[at + 1 :], *found], rest + names)
 
-    return docs.select(*rest).mapInArrow(scan, schema)
+    # by place, as this call looks names up and reads a dot in them as a field's
+    return given.toDF(*(f"c{i}" for i in range(len(rest)))).mapInArrow(scan, schema)

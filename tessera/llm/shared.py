@@ -43,6 +43,20 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{table}.parquet")
 
 
+def apart(df: DataFrame, *names: str) -> list[str]:
+    """``names`` with as many underscores in front as keep them apart from the columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    lead = "__"
+    while any(lead + n in taken for n in names):
+        lead += "_"
+    return [lead + n for n in names]
+
+
+def columns(df: DataFrame, without: tuple[str, ...] = ()) -> list[Column]:
+    """The columns of ``df``, whatever marks their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns if c not in without]
+
+
 def text_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts behind each other, and n + 1 offsets (null: empty)."""
     array = array.cast(pa.large_string()).fill_null("")

@@ -24,8 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tessera.llm.shared import LOWER, PUNCTUATION, mix64, pieces, text_bytes, word_hashes
+from tessera.llm.shared import LOWER, PUNCTUATION, apart, columns, mix64, pieces, text_bytes, word_hashes
 
 
 @dataclass(frozen=True)
@@ -142,7 +143,8 @@ def score_documents(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray]
     at_text = rest.index("text")
     bias, at, w = model
     shipped = docs.sparkSession.sparkContext.broadcast((at, w))  # at most 2**bits pairs
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*rest).schema) + f", {name} double"
+    given = docs.select(*columns(docs, without=(name,)))
+    schema = StructType([*given.schema.fields, StructField(name, DoubleType())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = np.zeros(1 << bits)
@@ -158,7 +160,8 @@ def score_documents(docs: DataFrame, model: tuple[float, np.ndarray, np.ndarray]
             score[sums == 0] = np.nextafter(0.5, 0)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], rest + [name])
 
-    return docs.select(*rest).mapInArrow(scan, schema)
+    # by place, as this call looks names up and reads a dot in them as a field's
+    return given.toDF(*(f"c{i}" for i in range(len(rest)))).mapInArrow(scan, schema)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, params: FtrlParams = FtrlParams()) -> DataFrame:
@@ -171,4 +174,5 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, params: FtrlParams = Ftr
 def drop_toxic(docs: DataFrame, labels: DataFrame, params: FtrlParams = FtrlParams()) -> DataFrame:
     """The documents that score below 0.5, with their own columns."""
     model = train(docs, labels, params)
-    return score_documents(docs, model, params.bits, "__score").where("__score < 0.5").select(*docs.columns)
+    (score,) = apart(docs, "score")
+    return score_documents(docs, model, params.bits, score).where(F.col(score) < 0.5).select(*columns(docs))

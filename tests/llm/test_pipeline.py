@@ -8,6 +8,7 @@ import corpus_pipeline
 from tessera.llm import mixing, packing, pii
 from tessera.llm.queries import ORACLE_SQL, QUERIES, tokenizer_path
 from tests.conftest import SF_MID, SF_SMALL
+from tests.llm.data import DOCS, documents
 from tests.llm.test_ngram_join import brute
 from tests.util import duck_bag, spark_bag
 
@@ -55,3 +56,18 @@ def test_each_stage_on_what_the_one_before_kept(spark):
     alone = packing.token_pieces(before, tokenizer_path())
     assert rows(after.select(alone.columns)) == rows(alone)
     assert rows(corpus_pipeline.run(spark, SF_MID).select("doc_id", "piece", "length")) == rows(after.select("doc_id", "piece", "length"))
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    """Extra columns named like those that a stage makes for itself, or with marks in their names, pass through."""
+    extra = ["__key", "__first", "__rows", "__score", "___score", "__src", "__epochs", "__cut", "__copy", "n_email", "n_card", "score", "size", "a.b"]
+    rows = [(*r, *(f"{c}-{i}" for c in extra)) for i, r in enumerate(documents(seed=2, n=20))]
+    schema = DOCS + "".join(f", `{c}` string" for c in extra)
+    now = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, now, SF_SMALL)
+        assert after.columns == now.columns
+        given = {tuple(r)[5:] for r in now.collect()}
+        assert after.count() and {tuple(r)[5:] for r in after.collect()} <= given, name
+        now = corpus_pipeline.Table(after, "test").df
+    assert corpus_pipeline.STAGES[-1][1](spark, now, SF_SMALL).count()
