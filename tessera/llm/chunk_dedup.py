@@ -3,7 +3,8 @@
 A chunk ends where the gear hash of the last 32 bytes has its low bits clear, at least ``least`` and
 at most ``most`` bytes after the chunk's start and never inside a character.
 Cuts depend on the bytes around them, so after an insertion the following chunks fall into step
-again.  Each chunk's digest is counted over all documents, its copies except the
+again.  ``least`` is kept near the mean gap between marks: the larger it is, the more a cut depends on where
+the chunk before ended, and the longer two documents take to fall into step in a passage they share.  Each chunk's digest is counted over all documents, its copies except the
 first (smallest doc_id, then place) are removed.
 
 Identity of a row is its doc_id and a hash of its text: rows that agree in both
@@ -106,7 +107,7 @@ def cut_out(texts: pa.Array, spans: pa.Array) -> tuple[list[int], list[int], lis
     return sizes, removed, runs, digests
 
 
-def repeated_spans(docs: DataFrame, least: int = 48, most: int = 192, bits: int = 4) -> Table:
+def repeated_spans(docs: DataFrame, least: int = 24, most: int = 128, bits: int = 4) -> Table:
     """A table of doc_id, text_hash and spans: the chunks of each document that another place before it has."""
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
     all_ = Table(chunks(named, least, most, bits), "chunks")

@@ -135,6 +135,20 @@ def test_insertions_shift_only_their_chunk(spark):
     assert got[1].n_removed == got[3].n_removed == 0 and got[2].n_removed > 0.9 * got[2].n_bytes
 
 
+def test_short_passages_of_two_documents(spark):
+    rows, sizes = [], {}
+    for i in range(200):
+        passage = " ".join(words(51, 20_000 + i))
+        for k in (0, 1):
+            before, after = (" ".join(words(40 + (7 * i + 5 * k) % 17, 30_000 + 4 * i + 2 * k + side)) for side in (0, 1))
+            rows.append((2 * i + k, f"{before} {passage} {after}", "", "", 0))
+        sizes[2 * i + 1] = len(passage)
+    got = {g.doc_id: g.n_removed for g in chunk_dedup(frame(spark, rows)).collect()}
+    shares = sorted(got[i] / n for i, n in sizes.items())
+    assert shares[0] > 0 and shares[len(shares) // 2] > 0.65
+    assert sum(got[i - 1] for i in sizes) < 0.01 * sum(sizes.values())
+
+
 def test_empty(spark):
     docs = frame(spark, documents()).limit(0)
     assert suffix_dedup(docs).collect() == [] and chunk_dedup(docs).collect() == []
