@@ -8,7 +8,7 @@ separators, a date a date.  Equal values of a kind get equal pseudonyms in every
 
 Kinds: card (Luhn), iban (mod 97), ssn, phone (last ten digits), ipv4, date
 (1900 to 2099, ``y-m-d``, ``d/m/y``, ``d.m.y``), email (local part), and
-``name=value`` secrets and access keys (letters and digits within their classes).
+``name=value`` secrets, whose name may hold more word characters, and access keys (letters and digits within their classes).
 
 Defined cases: null text stays null with counts of 0; empty texts stay
 empty; repeated rows get equal results; other columns pass through, columns
@@ -21,6 +21,7 @@ import datetime
 import hashlib
 import math
 import re
+from bisect import bisect_left, insort
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -185,16 +186,20 @@ def secret(f: Feistel, text: str) -> str | None:
 
 #: The patterns, in the order in which they are tried at a place.
 PATTERNS: list[tuple[str, str, Callable[[Feistel, str], str | None]]] = [
-    ("secret", r"\b(?i:password|passwd|secret|token|api[_-]?key|access[_-]?key)\s*[=:]\s*[\"']?[A-Za-z0-9+/_-]{8,}|\bAKIA[A-Z0-9]{16}\b", secret),
+    ("secret", r"(?i:password|passwd|secret|token|api[_-]?key|access[_-]?key)[\w-]{0,64}\s*[=:]\s*[\"']?[A-Za-z0-9+/_-]{8,}|\bAKIA[A-Z0-9]{16}\b", secret),
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}\b", email),
     ("iban", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", iban),
     ("ssn", r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])", ssn),
     ("date", r"(?<![\w./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}([./])[0-9]{1,2}\1[0-9]{4})(?![\w/-])", date),
     ("ipv4", r"(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?\w)", ipv4),
     ("phone", r"(?<![\w+(])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?!\w)|(?<!\w)\+[0-9]{10,14}(?!\w)", phone),
+    # cards in their usual groups come before any other digits that pass the check
+    ("card", r"(?<!\w)(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?:\1[0-9]{3})?|[0-9]{4}([ -])[0-9]{6}\2[0-9]{4,5})(?!\w)", card),
     ("card", r"(?<!\w)[0-9](?:[ -]?[0-9]){12,18}(?!\w)", card),
 ]
-KINDS = [name for name, _, _ in PATTERNS]
+KINDS = list(dict.fromkeys(name for name, _, _ in PATTERNS))
+#: Kinds of no fixed length, whose pattern may take in a neighbour behind a space or hyphen.
+GROUPED = ("card", "iban")
 #: Any text with a value has one of these; most texts have not and are passed on.
 _HINT = r"[0-9][0-9]|@|[0-9][ ./-][0-9]|AKIA|=|:"
 
@@ -202,25 +207,41 @@ _HINT = r"[0-9][0-9]|@|[0-9][ ./-][0-9]|AKIA|=|:"
 def pseudonymize(text: str, feistel: Feistel, known: dict[tuple[str, str], str | None]) -> tuple[str, dict[str, int]]:
     """The text with its values replaced and counts by kind.
 
-    A match that does not validate is left, and the search for the other
-    kinds goes on within it.
+    A match that does not validate, or that reaches into a value found before, is tried with
+    shorter ends at its group borders; then the search goes on from its next start, and
+    for the other kinds within it.
     """
     counts: dict[str, int] = {}
-    taken: list[tuple[int, int, str]] = []
+    taken: list[tuple[int, int, str]] = []  # by place, apart from each other
+
+    def value(kind: str, make: Callable[[Feistel, str], str | None], a: int, b: int) -> str | None:
+        i = bisect_left(taken, (b,))
+        if i and taken[i - 1][1] > a:
+            return None
+        old = text[a:b]
+        if (kind, old) not in known:
+            if len(known) > 100_000:
+                known.clear()
+            known[kind, old] = make(feistel, old)
+        return known[kind, old]
+
     for kind, pattern, make in COMPILED:
-        for m in pattern.finditer(text):
-            if any(a < m.end() and m.start() < b for a, b, _ in taken):
-                continue
-            if (kind, m[0]) not in known:
-                if len(known) > 100_000:
-                    known.clear()
-                known[kind, m[0]] = make(feistel, m[0])
-            new = known[kind, m[0]]
-            if new is not None:
-                taken.append((m.start(), m.end(), new))
-                counts[kind] = counts.get(kind, 0) + 1
+        m = pattern.search(text)
+        while m:
+            a, at = m.start(), m.start() + 1
+            ends = [m.end()]
+            if kind in GROUPED:
+                ends += [b for b in range(m.end() - 1, a, -1) if text[b] in " -" and pattern.fullmatch(text, a, b)]
+            for b in ends:
+                new = value(kind, make, a, b)
+                if new is not None:
+                    insort(taken, (a, b, new))
+                    counts[kind] = counts.get(kind, 0) + 1
+                    at = b
+                    break
+            m = pattern.search(text, at)
     out, at = [], 0
-    for a, b, new in sorted(taken):
+    for a, b, new in taken:
         out += [text[at:a], new]
         at = b
     return "".join([*out, text[at:]]), counts

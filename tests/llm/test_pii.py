@@ -49,6 +49,35 @@ def test_what_does_not_validate_stays(text):
     assert pseudonymize(text, F, {}) == (text, {})
 
 
+BESIDE = [
+    ("card", "4111 1111 1111 1111", "card {} 12/27"),
+    ("card", "4111111111111111", "{} 123 cvv"),
+    ("card", "4111111111111111", "{} 12 items"),
+    ("card", "4111 1111 1111 1111", "order 12 {}"),
+    ("card", "4111 1111 1111 1111", "order 1234 {}"),
+    ("card", "3782 822463 10005", "7 {} 99"),
+    ("iban", "AT61 1904 3002 3457 3201", "{} BIC BKAUATWW"),
+    ("iban", "AT61 1904 3002 3457 3201", "AB12 {} WITH CARE"),
+    ("secret", "abcd1234efgh", "AWS_SECRET_ACCESS_KEY={}"),
+    ("secret", "hunter2hunter", "DB_PASSWORD={}"),
+    ("secret", "abcd1234abcd", "SECRET_KEY={}"),
+    ("secret", "abcd1234abcd", "password=access_key={}"),
+]
+
+
+@pytest.mark.parametrize("kind,value,text", BESIDE)
+def test_values_beside_others_are_found(kind, value, text):
+    new, counts = pseudonymize(text.format(value), F, {})
+    before, after = text.split("{}")
+    assert counts == {kind: 1} and value not in new
+    assert new.startswith(before) and new.endswith(after) and len(new) == len(text.format(value))
+
+
+def test_values_beside_a_value_of_another_kind():
+    new, counts = pseudonymize("2024-02-29 4111 1111 1111 1111 8.8.8.8", F, {})
+    assert counts == {"date": 1, "card": 1, "ipv4": 1} and not re.search("2024-02-29|4111 1111|8[.]8[.]8[.]8", new)
+
+
 def test_documents(spark):
     rows = [(1, "call 743-555-3824 é", "en", "s", 1), (1, "call 743-555-3824 é", "en", "s", 1), (None, None, None, None, None), (3, "", "en", "s", 0), (4, "clean text " * 20000, "en", "s", 0), (5, "ü" * 9 + " 8.8.8.8", "en", "s", 0)]
     docs = frame(spark, rows).withColumnRenamed("h", "n_card")
