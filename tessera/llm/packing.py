@@ -42,7 +42,7 @@ ODD = np.array([b < 32 or b in b"0123456789'|\x7f" for b in range(256)]) | ((_BY
 
 
 #: Of word parts, those that the vocabulary reads as one word: letters only, or ASCII punctuation only.
-PLAIN = re.compile(r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u027F]+|[!-&(-/:-@\[-`{}~]+")
+PLAIN = re.compile(r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u027F]+|[!-&(-/:-@\[-`{}~]+")
 
 
 def word_parts(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
@@ -60,6 +60,7 @@ def word_parts(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndar
         return pa.array([], pa.large_string()), np.zeros(len(offsets), np.int64)
     odd = ODD[kept]
     signs = (kept[:-1] == 0xC3) & ((kept[1:] == 0x97) | (kept[1:] == 0xB7))  # the signs among the letters
+    signs |= (kept[:-1] == 0xC4) & (kept[1:] == 0xB0)  # U+0130: its small form ends in a mark that joins punctuation
     odd[:-1] |= signs
     words = np.flatnonzero(first)
     odd = np.repeat(np.logical_or.reduceat(odd, words), np.diff(np.append(words, len(kept))))

@@ -24,6 +24,15 @@ def test_encoder_gives_the_ids_of_whole_texts():
         assert ends[-1] == ends[-2]
 
 
+def test_letters_next_to_punctuation():
+    whole, own = Tokenizer.from_file(tokenizer_path()), WordEncoder(tokenizer_path())
+    signs = [chr(i) for i in range(33, 127) if not chr(i).isalnum()]
+    texts = [t for c in map(chr, range(0xC0, 0x280)) for p in signs for t in (f"gel{c}{p}", f"{p}{c}x", f"a{p}{c}{p}b {c}")]
+    ids, ends = own.encode(pa.array(texts))
+    want = [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+    assert [t for i, t in enumerate(texts) if ids[ends[i] : ends[i + 1]].tolist() != want[i]] == []
+
+
 def test_tightest_pair():
     left = np.zeros(101, int)
     left[[3, 10, 40]] = [1, 1, 2]
