@@ -14,6 +14,7 @@ from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.skew import heavy_keys, join_unique
 from tessera.schema import ITEM_COL, RATING_COL, USER_COL
 from tessera.session import checkpoint_root
 
@@ -179,6 +180,7 @@ def score_vectors(
     id_col: str = "id",
     vec_col: str = "features",
     out_col: str = "prediction",
+    heavy_share: float | None = None,
 ) -> DataFrame:
     """Each pair meets its user and item vector; score = their dot product.
 
@@ -186,13 +188,20 @@ def score_vectors(
     the cold-start rule.  Factor tables hold one row per id and grow with
     the number of users and items, so neither side is forced to broadcast;
     a user or item with a large share of the pairs is split by AQE's skew
-    join handling.
+    join handling, or, with ``heavy_share``, never shuffled: ids above that
+    share of the pairs get their vectors by a bounded broadcast (one row
+    per id in each factor table; counts run when the plan is made).
     """
     u = user_factors.select(F.col(id_col).alias(user_col), F.col(vec_col).alias("_u"))
     i = item_factors.select(F.col(id_col).alias(item_col), F.col(vec_col).alias("_i"))
+    if heavy_share is None:
+        met = pairs.join(u, user_col).join(i, item_col)
+    else:
+        # both counts are over the pairs, and the filter on heavy items passes below the user join
+        users, items = (heavy_keys(pairs, c, heavy_share) for c in (user_col, item_col))
+        met = join_unique(join_unique(pairs, u, user_col, heavy=users), i, item_col, heavy=items)
     return (
-        pairs.join(u, user_col)
-        .join(i, item_col)
+        met
         .withColumn(out_col, dot(F.col("_u"), F.col("_i")))
         .drop("_u", "_i")
     )

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import layout, metrics, recommender, sizing
+from tessera.operators.skew import HEAVY_SHARE
 from tessera.operators.split import DEFAULT_SEED, label_split, random_split, split_threshold
 from tessera.plans import experiment
 from tessera.plans import ratings as R
@@ -151,6 +152,22 @@ def q_score_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(*RATING_COLUMNS, _r("prediction"))
 
 
+def hot_user_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The staged ratings with every third item's rows given to user 1."""
+    hot = F.when(F.col(ITEM_COL) % 3 == 0, F.lit(1).cast("bigint")).otherwise(F.col(USER_COL))
+    return R.staged(spark, sf_dir).withColumn(USER_COL, hot)
+
+
+def q_score_hot_user(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``score_vectors`` where one user holds a third of the ratings: vectors of ids
+    above a share of the ratings come by broadcast, the others by shuffle."""
+    emb = read_table(spark, R.sf_path(sf_dir), "embeddings").select(
+        F.col("vec_id").alias("id"), F.col("embedding").alias("features")
+    )
+    scored = recommender.score_vectors(hot_user_ratings(spark, sf_dir), emb, emb, heavy_share=HEAVY_SHARE)
+    return scored.select(*RATING_COLUMNS, _r("prediction"))
+
+
 def q_cold_start_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Test rows that survive ALS scoring when some users and items are held
     out of training and cold-start rows are dropped."""
@@ -252,6 +269,7 @@ QUERIES: dict[str, Query] = {
     "cast_malformed": q_cast_malformed,
     "stage_if_absent": q_stage_if_absent,
     "score_vectors": q_score_vectors,
+    "score_hot_user": q_score_hot_user,
     "cold_start_kept": q_cold_start_kept,
     "als_predict": q_als_predict,
     "als_rmse": q_als_rmse,
@@ -324,6 +342,13 @@ FROM sizes, mem""",
 FROM ratings r JOIN emb u ON u.vec_id = r."userId" JOIN emb i ON i.vec_id = r."movieId\"""",
         "emb AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)",
     ),
+    "score_hot_user": _sql(
+        f"""SELECT h."userId", h."movieId", h.rating, h."timestamp",
+       round(list_dot_product(u.v, i.v), {DIGITS}) AS prediction
+FROM hot h JOIN emb u ON u.vec_id = h."userId" JOIN emb i ON i.vec_id = h."movieId\"""",
+        """hot AS (SELECT CASE WHEN "movieId" % 3 = 0 THEN 1 ELSE "userId" END AS "userId", "movieId", rating, "timestamp" FROM ratings)""",
+        "emb AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)",
+    ),
     "cold_start_kept": _sql(
         """SELECT "userId", "movieId", rating, "timestamp" FROM split t
 WHERE split = 'test'

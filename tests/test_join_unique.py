@@ -1,0 +1,81 @@
+import json
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from tessera.operators.recommender import score_vectors
+from tessera.operators.skew import heavy_keys, join_unique
+from tests.util import spark_bag
+
+
+@pytest.fixture()
+def sides(spark):
+    rows = [(7 if i % 3 == 0 else None if i % 10 == 0 else i % 50, i) for i in range(3000)]
+    large = spark.createDataFrame(rows, "k long, v long").repartition(6)
+    unique = spark.createDataFrame([(k, f"x{k}") for k in range(0, 50, 2)] + [(7, "hot"), (None, "none")], "k long, x string")
+    return large, unique
+
+
+def test_heavy_keys_are_those_above_the_share(sides):
+    large, _ = sides
+    assert heavy_keys(large, "k", 0.1) == [7]
+    assert len(heavy_keys(large, "k", 1 / 256)) < 256
+    assert heavy_keys(large.limit(0), "k", 0.1) == []
+    with pytest.raises(ValueError):
+        heavy_keys(large, "k", 0)
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+@pytest.mark.parametrize("share", [0.1, 1 / 256, 1.0])
+def test_same_rows_as_a_plain_join(sides, how, share):
+    large, unique = sides
+    assert spark_bag(join_unique(large, unique, "k", how, share)) == spark_bag(large.join(unique, "k", how))
+
+
+def test_empty_sides(sides):
+    large, unique = sides
+    assert join_unique(large.limit(0), unique, "k").collect() == []
+    assert join_unique(large, unique.limit(0), "k").collect() == []
+    assert join_unique(large, unique.limit(0), "k", "left").count() == 3000
+    with pytest.raises(ValueError):
+        join_unique(large, unique, "k", "outer")
+
+
+def test_scores_with_heavy_ids(spark):
+    pairs = spark.range(4000).select(
+        F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id") % 90).alias("userId"), (F.col("id") % 40).alias("movieId"))
+    vectors = spark.range(80).select("id", F.transform(F.sequence(F.lit(1), F.lit(4)), lambda k: F.sin(k + F.col("id")).cast("float")).alias("features"))
+    plain = score_vectors(pairs, vectors, vectors)
+    assert spark_bag(score_vectors(pairs, vectors, vectors, heavy_share=0.05)) == spark_bag(plain)
+
+
+def test_hot_rows_are_not_shuffled(spark, event_dir, scratch):
+    """Rows that each task reads from a shuffle: none has a hot key's share."""
+    path = os.path.join(scratch, "hot-pairs")
+    spark.range(60_000, numPartitions=8).select(
+        F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")).alias("k"), "id").write.mode("overwrite").parquet(path)
+    large = spark.read.parquet(path)
+    unique = spark.range(60_000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("x"))
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        spark.sparkContext.setJobGroup("hot-join", "")
+        join_unique(large, unique, "k").write.format("noop").mode("overwrite").save()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    log = os.path.join(event_dir, next(f for f in os.listdir(event_dir) if spark.sparkContext.applicationId in f))
+    files = [os.path.join(log, f) for f in os.listdir(log)] if os.path.isdir(log) else [log]
+    stages, read = set(), {}
+    for line in (x for f in files if "crc" not in f and "appstatus" not in f for x in open(f)):
+        event = json.loads(line)
+        if event["Event"] == "SparkListenerJobStart" and event.get("Properties", {}).get("spark.jobGroup.id") == "hot-join":
+            stages |= set(event["Stage IDs"])
+        if event["Event"] == "SparkListenerTaskEnd" and event["Stage ID"] in stages:
+            read.setdefault(event["Stage ID"], []).append(event["Task Metrics"]["Shuffle Read Metrics"]["Total Records Read"])
+    joins = [sorted(t) for t in read.values() if sum(t) > 60_000]  # both sides of the light join
+    assert joins and all(t[-1] <= 2 * t[len(t) // 2] for t in joins)
