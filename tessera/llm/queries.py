@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import (
-    chunk_dedup, embedding_dedup, mixing, ngram_join, packing, pii, suffix_dedup, topk, toxicity, url_filter,
+    chunk_dedup, embedding_dedup, fill_middle, mixing, ngram_join, packing, pii, suffix_dedup, topk, toxicity, url_filter,
 )
 from tessera.llm.shared import read
 
@@ -94,6 +94,10 @@ def op10_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_dedup.chunk_dedup(read(spark, sf_dir, "documents")).drop("spans")
 
 
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.transform_digests(read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -103,7 +107,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: query(f)
     for f in (op1_mixing, op2_embedding_dedup, op3_packing, op4_pii, op5_toxicity, op6_suffix_dedup,
-              op7_url_filter, op8_topk, op9_ngram_join, op10_chunk_dedup, pipeline)
+              op7_url_filter, op8_topk, op9_ngram_join, op10_chunk_dedup, op12_fill_middle, pipeline)
 }
 
 _WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
@@ -206,4 +210,20 @@ WITH RECURSIVE t AS (
   SELECT l.a, reach.v FROM reach JOIN l ON l.b = reach.uid
 ), n AS (SELECT a, count(*) AS n FROM l GROUP BY a), c AS (SELECT uid, min(v) AS c FROM reach GROUP BY uid)
 SELECT doc_id, c AS class_id, coalesce(n, 0) AS n_links FROM t JOIN c USING (uid) LEFT JOIN n ON n.a = t.uid""",
+    "op12_fill_middle": r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS x FROM documents
+), h AS (
+  SELECT doc_id, t, n, ('0x' || x[1:8])::BIGINT % (n + 1) AS a, ('0x' || x[9:16])::BIGINT % (n + 1) AS b,
+         ('0x' || x[17:24])::BIGINT % 100 AS r, ('0x' || x[25:32])::BIGINT % 100 AS m FROM d
+), f AS (
+  SELECT *, least(a, b) AS p, greatest(a, b) AS e,
+         CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR r >= 90 THEN 'plain' WHEN m < 20 THEN 'spm' ELSE 'psm' END AS form FROM h
+), o AS (
+  SELECT *, substring(t, 1, p) AS pre, substring(t, p + 1, e - p) AS mid, substring(t, e + 1) AS suf FROM f
+)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN p END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN e - p END::BIGINT AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM o""",
 }
