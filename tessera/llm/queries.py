@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import (
-    chunk_dedup, embedding_dedup, fill_middle, mixing, ngram_join, packing, pii, suffix_dedup, topk, toxicity, url_filter,
+    chunk_dedup, conversations, embedding_dedup, fill_middle, mixing, ngram_join, packing, pii, suffix_dedup, topk, toxicity, url_filter,
 )
 from tessera.llm.shared import read
 
@@ -98,6 +98,10 @@ def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.transform_digests(read(spark, sf_dir, "documents"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.damaged_report(read(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -107,7 +111,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: query(f)
     for f in (op1_mixing, op2_embedding_dedup, op3_packing, op4_pii, op5_toxicity, op6_suffix_dedup,
-              op7_url_filter, op8_topk, op9_ngram_join, op10_chunk_dedup, op12_fill_middle, pipeline)
+              op7_url_filter, op8_topk, op9_ngram_join, op10_chunk_dedup, op12_fill_middle,
+              op13_conversation_repair, pipeline)
 }
 
 _WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
@@ -226,4 +231,60 @@ SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN p END::BIGIN
        sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
        sha256(t) AS restored_sha256
 FROM o""",
+    "op13_conversation_repair": r"""
+WITH RECURSIVE tab AS (  -- CRC-32 by the usual polynomial
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))
+), o AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations
+), c AS (
+  SELECT conv_id, turn, role, text,
+         xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(k, ''), lambda x: ascii(x)::BIGINT),
+                         lambda h, b: xor(h >> 8, t[(xor(h, b) & 255) + 1])), 4294967295) % 20 AS kind FROM o, tab
+), d AS (
+  SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM c, LATERAL (SELECT unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)))
+), p AS (
+  SELECT *, coalesce(conv_id::VARCHAR, '') AS conv, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, encode(role), encode(text)) AS pos,
+         rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body, substr(role, 1, 1) AS i FROM d
+), f AS (
+  SELECT *, CASE WHEN body = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate'
+                 WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+         count(*) OVER (PARTITION BY conv_id) AS n, lag(i) OVER (PARTITION BY conv_id ORDER BY pos) AS j FROM p
+), g AS (
+  SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank,
+         count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+         count(*) FILTER (WHERE j || i NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv
+), e AS (  -- cost, audit and repaired lines from a row on, by state: 0 start, 1 after s, 2 after u, 3 after a
+  SELECT conv, n + 1 AS pos, {'c': 0, 'a': '', 'l': ''} AS v0, {'c': 6, 'a': 'II', 'l': chr(10) || 'user:' || chr(10) || 'assistant:'} AS v1,
+         {'c': 3, 'a': 'I', 'l': chr(10) || 'assistant:'} AS v2, {'c': 0, 'a': '', 'l': ''} AS v3
+  FROM f WHERE pos = n
+  UNION ALL
+  SELECT conv, pos, least(v0, {'c': v2.c + 3, 'a': 'I' || v2.a, 'l': chr(10) || 'user:' || v2.l}) AS v0,
+         least(v1, {'c': v2.c + 3, 'a': 'I' || v2.a, 'l': chr(10) || 'user:' || v2.l}) AS v1, v2, v3
+  FROM (
+    SELECT conv, pos, v0, v1, least(v2, {'c': v3.c + 3, 'a': 'I' || v3.a, 'l': chr(10) || 'assistant:' || v3.l}) AS v2,
+           least(v3, {'c': v2.c + 3, 'a': 'I' || v2.a, 'l': chr(10) || 'user:' || v2.l}) AS v3
+    FROM (
+      SELECT conv, pos,
+             least({'c': v0.c + 4, 'a': 'D' || v0.a, 'l': v0.l},
+                   CASE WHEN stays AND i = 's' THEN {'c': v1.c + x, 'a': 'K' || v1.a, 'l': line || v1.l} WHEN stays AND i = 'u' THEN {'c': v2.c + x, 'a': 'K' || v2.a, 'l': line || v2.l} END,
+                   CASE WHEN stays THEN {'c': v2.c + x + 3, 'a': 'R' || v2.a, 'l': chr(10) || 'user:' || text || v2.l} END) AS v0,
+             least({'c': v1.c + 4, 'a': 'D' || v1.a, 'l': v1.l},
+                   CASE WHEN stays AND i = 'u' THEN {'c': v2.c + x, 'a': 'K' || v2.a, 'l': line || v2.l} END,
+                   CASE WHEN stays THEN {'c': v2.c + x + 3, 'a': 'R' || v2.a, 'l': chr(10) || 'user:' || text || v2.l} END) AS v1,
+             least({'c': v2.c + 4, 'a': 'D' || v2.a, 'l': v2.l},
+                   CASE WHEN stays AND i = 'a' THEN {'c': v3.c + x, 'a': 'K' || v3.a, 'l': line || v3.l} END,
+                   CASE WHEN stays THEN {'c': v3.c + x + 3, 'a': 'R' || v3.a, 'l': chr(10) || 'assistant:' || text || v3.l} END) AS v2,
+             least({'c': v3.c + 4, 'a': 'D' || v3.a, 'l': v3.l},
+                   CASE WHEN stays AND i = 'u' THEN {'c': v2.c + x, 'a': 'K' || v2.a, 'l': line || v2.l} END,
+                   CASE WHEN stays THEN {'c': v2.c + x + 3, 'a': 'R' || v2.a, 'l': chr(10) || 'user:' || text || v2.l} END) AS v3
+      FROM (SELECT f.conv, f.pos, i, text, fault IN ('', 'truncated') AS stays, CASE fault WHEN 'truncated' THEN 3 ELSE 0 END AS x,
+                   chr(10) || role || ':' || text AS line, v0, v1, v2, v3 FROM e JOIN f ON f.conv = e.conv AND f.pos = e.pos - 1)))
+)
+SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, coalesce(v0.c, 0)::BIGINT AS cost, coalesce(v0.a, '') AS audit, sha256(coalesce(substr(v0.l, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, coalesce(conv_id::VARCHAR, '') AS conv FROM conversations) LEFT JOIN g USING (conv) LEFT JOIN (SELECT * FROM e WHERE pos = 1) USING (conv)""",
 }
