@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+import uuid
 from collections.abc import Callable
 from functools import wraps
 from pathlib import Path
@@ -12,9 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import (
-    chunk_dedup, conversations, embedding_dedup, fill_middle, mixing, ngram_join, packing, pii, suffix_dedup, topk, toxicity, url_filter,
+    chunk_dedup, conversations, embedding_dedup, fill_middle, mixing, ngram_join, packing, pii, suffix_dedup, topk, toxicity, url_filter, warc,
 )
 from tessera.llm.shared import read
+from tessera.session import shared_path
 
 #: The rules of the url query as (action, host, path).
 URL_RULES = [
@@ -94,6 +96,12 @@ def op10_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_dedup.chunk_dedup(read(spark, sf_dir, "documents")).drop("spans")
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_path(spark, "llm", f"warc-{uuid.uuid4().hex}")
+    warc.write_warc(read(spark, sf_dir, "pages"), folder)
+    return warc.resolve(warc.read_warc(spark, folder))
+
+
 def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_middle.transform_digests(read(spark, sf_dir, "documents"))
 
@@ -111,7 +119,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: query(f)
     for f in (op1_mixing, op2_embedding_dedup, op3_packing, op4_pii, op5_toxicity, op6_suffix_dedup,
-              op7_url_filter, op8_topk, op9_ngram_join, op10_chunk_dedup, op12_fill_middle,
+              op7_url_filter, op8_topk, op9_ngram_join, op10_chunk_dedup, op11_warc, op12_fill_middle,
               op13_conversation_repair, pipeline)
 }
 
@@ -215,6 +223,15 @@ WITH RECURSIVE t AS (
   SELECT l.a, reach.v FROM reach JOIN l ON l.b = reach.uid
 ), n AS (SELECT a, count(*) AS n FROM l GROUP BY a), c AS (SELECT uid, min(v) AS c FROM reach GROUP BY uid)
 SELECT doc_id, c AS class_id, coalesce(n, 0) AS n_links FROM t JOIN c USING (uid) LEFT JOIN n ON n.a = t.uid""",
+    "op11_warc": r"""
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages
+), r AS (
+  SELECT *, n >= 1000 AND row_number() OVER (PARTITION BY d ORDER BY page_id DESC NULLS LAST) > 1 AS again, max(page_id) OVER (PARTITION BY d) AS top FROM p
+)
+SELECT page_id, n::BIGINT AS payload_bytes, d AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN again THEN top END AS refers_to
+FROM r""",
     "op12_fill_middle": r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS x FROM documents
