@@ -14,6 +14,7 @@ from pyspark.ml.recommendation import ALS, ALSModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.dense_ids import dense_index
 from tessera.operators.skew import heavy_keys, join_unique
 from tessera.schema import ITEM_COL, RATING_COL, USER_COL
 from tessera.session import checkpoint_root
@@ -98,8 +99,8 @@ def heaviest_share(train: DataFrame, params: AlsParams = AlsParams()) -> DataFra
     )
 
 
-def check_ids(train: DataFrame, params: AlsParams = AlsParams()) -> None:
-    """Error for input that MLlib cannot fit whole: no rows, or ids beyond int."""
+def ids_fit_int(train: DataFrame, params: AlsParams = AlsParams()) -> bool:
+    """Whether MLlib takes the ids as they are; no rows at all are an error."""
     u, i = params.user_col, params.item_col
     row = train.agg(
         F.min(F.least(F.col(u), F.col(i))).cast("bigint").alias("low"),
@@ -107,25 +108,72 @@ def check_ids(train: DataFrame, params: AlsParams = AlsParams()) -> None:
     ).first()
     if row["low"] is None:
         raise ValueError("no training rows (after dropping NULL ids and ratings)")
-    if row["low"] < INT_MIN or row["high"] > INT_MAX:
-        raise ValueError(
-            f"MLlib ALS needs ids in the int range, found {row['low']} to {row['high']}; "
-            "map them to dense numbers first"
-        )
+    return INT_MIN <= row["low"] and row["high"] <= INT_MAX
 
 
-def fit(train: DataFrame, params: AlsParams = AlsParams()) -> tuple[ALSModel, float]:
-    """Fit on ``train`` (only the three columns used are passed on)."""
+@dataclass(frozen=True)
+class IndexedModel:
+    """A model fitted on dense numbers, with the ids they stand for; factors carry the ids."""
+
+    model: ALSModel
+    users: DataFrame  # id, index
+    items: DataFrame
+    user_col: str
+    item_col: str
+
+    @property
+    def rank(self) -> int:
+        return self.model.rank
+
+    @property
+    def userFactors(self) -> DataFrame:
+        return _named(self.model.userFactors, self.users)
+
+    @property
+    def itemFactors(self) -> DataFrame:
+        return _named(self.model.itemFactors, self.items)
+
+
+def _named(factors: DataFrame, index: DataFrame) -> DataFrame:
+    by_index = factors.select(F.col("id").cast("bigint").alias("index"), "features")
+    return index.join(by_index, "index").select("id", "features")
+
+
+def fit_indexed(data: DataFrame, params: AlsParams = AlsParams()) -> IndexedModel:
+    """Fit on usable rows with ids of any size: both id columns are replaced by dense numbers.
+
+    The numbers are ranks, so the fit does not depend on partitions.  A user or item with a
+    large share of the rows gets its number by a bounded broadcast."""
+    u, i = params.user_col, params.item_col
+    users, items = dense_index(data, u), dense_index(data, i)
+    for side, index in ((u, users), (i, items)):
+        most = index.agg(F.max("index")).first()[0]
+        if most > INT_MAX:
+            raise ValueError(f"{most + 1} distinct values of {side}: MLlib ALS numbers at most {INT_MAX + 1}")
+    heavy = {c: heavy_keys(data, c) for c in (u, i)}
+    for c, index in ((u, users), (i, items)):
+        number = index.select(F.col("id").alias(c), F.col("index").cast("int").alias(f"_{c}_index"))
+        data = join_unique(data, number, c, heavy=heavy[c])
+    dense = data.select(F.col(f"_{u}_index").alias(u), F.col(f"_{i}_index").alias(i), params.rating_col)
+    return IndexedModel(build_als(data.sparkSession, params).fit(dense), users, items, u, i)
+
+
+def fit(train: DataFrame, params: AlsParams = AlsParams()) -> tuple[ALSModel | IndexedModel, float]:
+    """Fit on ``train`` (only the three columns used are passed on).
+
+    Ids beyond int are numbered densely first, which gives an :class:`IndexedModel`."""
     cols = [params.user_col, params.item_col, params.rating_col]
     data = drop_unusable(train.select(*cols), params)
     start = time.perf_counter()
-    check_ids(data, params)
-    model = build_als(train.sparkSession, params).fit(data)
+    if ids_fit_int(data, params):
+        model = build_als(train.sparkSession, params).fit(data)
+    else:
+        model = fit_indexed(data, params)
     return model, time.perf_counter() - start
 
 
 def user_residual(
-    model: ALSModel, train: DataFrame, params: AlsParams = AlsParams()
+    model: ALSModel | IndexedModel, train: DataFrame, params: AlsParams = AlsParams()
 ) -> DataFrame:
     """``id`` and ``residual`` per user: the largest entry, in absolute value, of
     ``(V'V + reg * n * I) u - V'r`` over the user's n ratings.
@@ -144,13 +192,15 @@ def user_residual(
     return per_user.select(F.col(params.user_col).alias("id"), F.array_max(F.array(*entries)).alias("residual"))
 
 
-def predict(model: ALSModel, df: DataFrame) -> DataFrame:
+def predict(model: ALSModel | IndexedModel, df: DataFrame) -> DataFrame:
     """Input rows plus ``prediction``; cold-start rows dropped per the model.
 
     Rows with a NULL user or item cannot be scored (MLlib refuses them):
     they are dropped like cold-start rows, or kept with a NaN prediction
     under the ``nan`` strategy.  Column types are those of ``df`` (MLlib
     hands ids back as int)."""
+    if isinstance(model, IndexedModel):
+        return predict_by_id(model, df)
     strategy = model.getColdStartStrategy()
     user_col, item_col = model.getUserCol(), model.getItemCol()
     known = F.col(user_col).isNotNull() & F.col(item_col).isNotNull()
@@ -165,6 +215,20 @@ def predict(model: ALSModel, df: DataFrame) -> DataFrame:
     return out
 
 
+def predict_by_id(model: IndexedModel, df: DataFrame) -> DataFrame:
+    """:func:`predict` for ids of any size: rows meet the factors by id, so the dense numbers
+    are looked up per factor and not per row."""
+    u, i = model.user_col, model.item_col
+    if model.model.getColdStartStrategy() == "drop":
+        out = score_vectors(df, model.userFactors, model.itemFactors, u, i)
+    else:
+        users = model.userFactors.select(F.col("id").alias(u), F.col("features").alias("_u"))
+        items = model.itemFactors.select(F.col("id").alias(i), F.col("features").alias("_i"))
+        met = df.join(users, u, "left").join(items, i, "left")
+        out = met.withColumn("prediction", F.coalesce(dot(F.col("_u"), F.col("_i")), F.lit(float("nan"))))
+    return out.select(*df.columns, F.col("prediction").cast("float").alias("prediction"))
+
+
 def dot(a: Column, b: Column) -> Column:
     """Dot product of two float arrays in double, summed left to right."""
     prods = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))

@@ -14,17 +14,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import layout, metrics, recommender, sizing
+from tessera.operators.dense_ids import dense_index
 from tessera.operators.skew import HEAVY_SHARE
 from tessera.operators.split import DEFAULT_SEED, label_split, random_split, split_threshold
 from tessera.plans import experiment
 from tessera.plans import ratings as R
-from tessera.schema import ITEM_COL, RATING_COLUMNS, USER_COL
+from tessera.schema import ITEM_COL, RATING_COL, RATING_COLUMNS, USER_COL
 from tessera.sources.csv import read_ratings_csv
 from tessera.sources.tables import RATINGS_CSV_SQL, RATINGS_SQL, read_table
 
 DIGITS = 9
 # Factors are floats: what rounding them leaves of a user's normal equations.
 RESIDUAL_TOLERANCE = 1e-3
+# Scores are floats in MLlib and doubles in the join.
+SCORE_TOLERANCE = 1e-4
+# Added to the ids for the queries on ids beyond int.
+WIDE_SHIFT = 2**33
 # Executor memory settings the reference reasons about
 # (its default, the fixed per-worker value, the compose default), then the other
 # forms of the setting, small ones that the data exceed, and text that is none.
@@ -189,6 +194,39 @@ def q_als_predict_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q_als_predict(spark, sf_dir).select(USER_COL, ITEM_COL, "timestamp", finite.alias("finite"))
 
 
+def q_als_predict_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scored rows, and whether MLlib's scores are those of the join with its factors."""
+    model = R.fitted_model(spark, sf_dir)
+    _, test = R.split(spark, sf_dir)
+    keys = [USER_COL, ITEM_COL, "timestamp", RATING_COL]
+    mllib = recommender.predict(model, test).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.max("prediction").alias("p"))
+    joined = recommender.score_vectors(test, model.userFactors, model.itemFactors).groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("m"), F.max("prediction").alias("q"))
+    both = mllib.join(joined, keys, "full")
+    differs = F.abs(F.col("p").cast("double") - F.col("q"))
+    return both.agg(
+        F.sum("n").alias("records"),
+        F.coalesce((F.max(differs) < F.lit(SCORE_TOLERANCE)) & F.every(F.col("n").eqNullSafe(F.col("m"))), F.lit(True)).alias("matches"),
+    )
+
+
+def q_als_wide_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fit and its scored test rows where all ids are beyond int (shifted for it, and back)."""
+    model = R.fitted_model(spark, sf_dir, shift=WIDE_SHIFT)
+    _, test = R.split(spark, sf_dir)
+    score = F.col("prediction").cast("double")
+    scored = recommender.predict(model, R.shifted(test, WIDE_SHIFT))
+    back = [(F.col(c) - F.lit(WIDE_SHIFT)).alias(c) for c in (USER_COL, ITEM_COL)]
+    return scored.select(*back, "timestamp", (score.isNotNull() & ~F.isnan(score)).alias("finite"))
+
+
+def q_dense_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dense number of each user and item whose ids are beyond int."""
+    wide = R.shifted(R.staged(spark, sf_dir), WIDE_SHIFT)
+    sides = [dense_index(wide, c).select(F.lit(c).alias("side"), "id", "index") for c in (USER_COL, ITEM_COL)]
+    return sides[0].unionByName(sides[1])
+
+
 def q_als_residual_ok(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users of the fit, and whether all solve their normal equations."""
     train, _ = R.split(spark, sf_dir)
@@ -275,6 +313,9 @@ QUERIES: dict[str, Query] = {
     "als_rmse": q_als_rmse,
     "als_predict_rows": q_als_predict_rows,
     "als_residual_ok": q_als_residual_ok,
+    "als_predict_matches": q_als_predict_matches,
+    "als_wide_ids": q_als_wide_ids,
+    "dense_index": q_dense_index,
     "als_user_factors": q_als_user_factors,
     "als_item_factors": q_als_item_factors,
     "experiment_counts": q_experiment_counts,
@@ -363,6 +404,25 @@ WHERE split = 'test'
   AND "movieId" IN (SELECT "movieId" FROM split WHERE split = 'train')""",
         _SPLIT_CTE,
     ),
+    "als_predict_matches": _sql(
+        """SELECT CAST(sum(1) AS BIGINT) AS records, true AS matches FROM split t
+WHERE split = 'test'
+  AND "userId" IN (SELECT "userId" FROM split WHERE split = 'train')
+  AND "movieId" IN (SELECT "movieId" FROM split WHERE split = 'train')""",
+        _SPLIT_CTE,
+    ),
+    "als_wide_ids": _sql(
+        """SELECT "userId", "movieId", "timestamp", true AS finite FROM split t
+WHERE split = 'test'
+  AND "userId" IN (SELECT "userId" FROM split WHERE split = 'train')
+  AND "movieId" IN (SELECT "movieId" FROM split WHERE split = 'train')""",
+        _SPLIT_CTE,
+    ),
+    "dense_index": _sql(
+        f"""SELECT side, id, row_number() OVER (PARTITION BY side ORDER BY id) - 1 AS index FROM (
+  SELECT DISTINCT 'userId' AS side, "userId" + {WIDE_SHIFT} AS id FROM ratings
+  UNION ALL SELECT DISTINCT 'movieId', "movieId" + {WIDE_SHIFT} FROM ratings)"""
+    ),
     "als_residual_ok": _sql(
         "SELECT count(DISTINCT \"userId\") AS users, true AS within_tolerance FROM split WHERE split = 'train'",
         _SPLIT_CTE,

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import recommender
 from tessera.operators.split import label_split
-from tessera.schema import RATING_COLUMNS
+from tessera.schema import ITEM_COL, RATING_COLUMNS, USER_COL
 from tessera.sources.csv import write_ratings_csv
 from tessera.sources.staging import stage, table_fingerprint
 from tessera.sources.tables import ratings_from_tables
@@ -126,12 +126,20 @@ def split(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     )
 
 
+def shifted(ratings: DataFrame, shift: int) -> DataFrame:
+    """The ratings with ``shift`` added to user and item ids."""
+    if not shift:
+        return ratings
+    return ratings.withColumns({c: F.col(c).cast("bigint") + F.lit(shift) for c in (USER_COL, ITEM_COL)})
+
+
 def fitted_model(
     spark: SparkSession,
     sf_dir: str,
     params: recommender.AlsParams = recommender.AlsParams(),
     held_out: bool = False,
-) -> ALSModel:
+    shift: int = 0,
+) -> ALSModel | recommender.IndexedModel:
     """ALS fitted on the hash-split training rows, once per (application, state of
     the input tables, parameters).  ``held_out`` leaves out of training all rows of
     every tenth user and every seventeenth item.
@@ -139,14 +147,14 @@ def fitted_model(
     Training input is the staged Parquet copy, so refits and retries read
     files instead of replaying the join.
     """
-    key = (spark.sparkContext.applicationId, ratings_tag(spark, sf_dir), params, held_out)
+    key = (spark.sparkContext.applicationId, ratings_tag(spark, sf_dir), params, held_out, shift)
     with _lock:
         model = _models.get(key)
     if model is None:
         train, _ = split(spark, sf_dir)
         if held_out:
             train = train.where((F.col("userId") % 10 != 0) & (F.col("movieId") % 17 != 0))
-        model, _ = recommender.fit(train, params)
+        model, _ = recommender.fit(shifted(train, shift), params)
         with _lock:
             _models[key] = model
     return model

@@ -122,12 +122,55 @@ def test_fit_does_not_depend_on_the_cluster(spark):
     assert abs(out[0] - out[1]) < 1e-6
 
 
-def test_ids_beyond_int_and_empty_input_are_errors(spark):
-    wide = spark.createDataFrame([(2**31, 1, 1.0), (1, 2, 2.0)], "userId long, movieId long, rating float")
-    with pytest.raises(ValueError, match="int range"):
-        recommender.fit(wide, PARAMS)
+def test_empty_input_is_an_error(spark):
+    empty = spark.createDataFrame([], "userId long, movieId long, rating float")
     with pytest.raises(ValueError, match="no training rows"):
-        recommender.fit(wide.limit(0), PARAMS)
+        recommender.fit(empty, PARAMS)
+
+
+def test_ids_beyond_int_are_fitted_by_their_rank(spark):
+    """Same ranks, same fit: ids spread over the bigint range score as 0, 1, 2 do."""
+    small = [(u, i, float((u * i) % 5 + 1), 0) for u in range(12) for i in range(9)]
+    spread = [((u - 6) * 2**59 + 3, -(2**62) + i * 2**40, r, t) for u, i, r, t in small]
+    kind = "userId long, movieId long, rating float, timestamp long"
+    params = recommender.AlsParams(rank=3, max_iter=4, seed=7)
+    narrow, _ = recommender.fit(spark.createDataFrame(small, kind), params)
+    wide, _ = recommender.fit(spark.createDataFrame(spread, kind).repartition(5), params)
+    assert isinstance(wide, recommender.IndexedModel) and not isinstance(narrow, recommender.IndexedModel)
+    a = sorted((r.userId, r.movieId, r.prediction) for r in recommender.predict(narrow, spark.createDataFrame(small, kind)).collect())
+    b = sorted((r.userId, r.movieId, r.prediction) for r in recommender.predict(wide, spark.createDataFrame(spread, kind)).collect())
+    assert [x[2] for x in a] == pytest.approx([x[2] for x in b], abs=1e-5)
+    assert [x[:2] for x in b] == sorted(x[:2] for x in spread)
+    residual = recommender.user_residual(wide, spark.createDataFrame(spread, kind), params)
+    assert residual.count() == 12 and residual.agg(F.max("residual")).first()[0] < 1e-3
+
+
+def test_cold_rows_of_a_wide_fit(spark):
+    kind = "userId long, movieId long, rating float, timestamp long"
+    rows = spark.createDataFrame([(2**40 + u, i, float(i + 1), 0) for u in range(4) for i in range(3)], kind)
+    asked = spark.createDataFrame([(2**40, 1, 1.0, 0), (2**41, 1, 1.0, 0), (2**40, 99, 1.0, 0), (None, 1, 1.0, 0)], kind)
+    for strategy, kept in (("drop", 1), ("nan", 4)):
+        model, _ = recommender.fit(rows, recommender.AlsParams(rank=2, max_iter=2, cold_start_strategy=strategy))
+        out = recommender.predict(model, asked).collect()
+        assert len(out) == kept and sum(not np.isnan(r.prediction) for r in out) == 1
+
+
+@pytest.mark.parametrize("partitions", [1, 3, 8, None])
+def test_dense_index_is_the_rank(spark, partitions):
+    from tessera.operators.dense_ids import dense_index
+
+    values = [(k * 7919 % 1009) * 2**40 - 2**48 for k in range(3000)] + [None, 5, 5]
+    index = dense_index(spark.createDataFrame([(v,) for v in values], "k long"), "k", partitions)
+    ranks = {v: n for n, v in enumerate(sorted({v for v in values if v is not None}))}
+    assert {(r["id"], r["index"]) for r in index.collect()} == set(ranks.items()) and index.count() == len(ranks)
+
+
+def test_dense_index_of_texts_and_of_nothing(spark):
+    from tessera.operators.dense_ids import dense_index
+
+    texts = dense_index(spark.createDataFrame([("b",), ("a",), ("b",)], "k string"), "k").collect()
+    assert sorted(map(tuple, texts)) == [("a", 0), ("b", 1)]
+    assert dense_index(spark.createDataFrame([(None,)], "k long"), "k").collect() == []
 
 
 def test_heaviest_share(spark):
