@@ -1,16 +1,15 @@
 """Physical layout: repartitioning and how records spread over partitions.
 
-Each partition counts its own rows and gives one row, empty ones too, so the
-data is read once and nothing but one row per partition moves.
+A stated layout (:func:`repartition_by_keys`) puts every row into a partition that its own
+columns name, so it is the same in every run and can be checked against SQL.  Counting
+is an aggregate by partition id: one partial row per task moves.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Sequence
 
-import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -21,28 +20,39 @@ def repartition(df: DataFrame, partitions: int | None) -> DataFrame:
     return df
 
 
+def key_partition(keys: Sequence[str], partitions: int) -> Column:
+    """The partition a row belongs to: the first 32 bits of md5('k1|k2|...') modulo ``partitions``.
+
+    NULL keys are skipped, as in the hash split; equal keys share a partition, so give
+    keys that spread."""
+    text = F.concat_ws("|", *[F.col(k).cast("string") for k in keys])
+    head = F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint")
+    return (head % F.lit(partitions)).cast("int")
+
+
+def repartition_by_keys(df: DataFrame, partitions: int, keys: Sequence[str]) -> DataFrame:
+    """``df`` with every row in the partition that :func:`key_partition` names."""
+    if partitions < 1:
+        raise ValueError(f"partitions must be positive, got {partitions}")
+    return df.repartitionById(int(partitions), key_partition(keys, int(partitions)))
+
+
 def num_partitions(df: DataFrame) -> int:
-    """Partition count as planned, before any runtime re-planning; runs no job
-    (an adaptive plan would have to run its shuffles to know)."""
-    conf, key = df.sparkSession.conf, "spark.sql.adaptive.enabled"
-    before = conf.get(key)
-    conf.set(key, "false")
-    try:
-        return df.select("*").rdd.getNumPartitions()
-    finally:
-        conf.set(key, before)
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    n = sum(b.num_rows for b in batches)
-    yield pa.RecordBatch.from_pydict(
-        {"partition_id": pa.array([TaskContext.get().partitionId()], pa.int32()), "records": pa.array([n], pa.int64())}
-    )
+    """Partitions of ``df`` as it runs.  No job for scans and narrow steps; an adaptive plan
+    with shuffles has to run those to know, so where a count was asked for, use that."""
+    return df.rdd.getNumPartitions()
 
 
-def partition_records(df: DataFrame) -> DataFrame:
-    """``partition_id int, records long``, one row per partition, zeros kept."""
-    return df.select(F.lit(1).alias("one")).mapInArrow(_count, "partition_id int, records long")
+def partition_records(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """``partition_id int, records long``, one row per partition, zeros kept.
+
+    ``partitions`` is the number that ``df`` was dealt to; without it the plan is asked."""
+    n = partitions or num_partitions(df)
+    counts = df.select(F.spark_partition_id().alias("partition_id")).groupBy("partition_id").agg(F.count(F.lit(1)).alias("records"))
+    every = df.sparkSession.range(n).select(F.col("id").cast("int").alias("partition_id"))
+    return every.join(counts, "partition_id", "left").select(
+        "partition_id", F.coalesce("records", F.lit(0).cast("long")).alias("records")
+    )
 
 
 def group_summary(counts: DataFrame, count_col: str = "records", prefix: str = "") -> DataFrame:
@@ -61,9 +71,9 @@ def group_summary(counts: DataFrame, count_col: str = "records", prefix: str = "
     )
 
 
-def partition_totals(df: DataFrame) -> DataFrame:
+def partition_totals(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Summary of :func:`partition_records`."""
-    return group_summary(partition_records(df))
+    return group_summary(partition_records(df, partitions))
 
 
 def skew_summary(df: DataFrame, key: str) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from tessera.operators import layout, metrics, recommender, sizing
 from tessera.operators.dense_ids import dense_index
 from tessera.operators.skew import HEAVY_SHARE
-from tessera.operators.split import DEFAULT_SEED, label_split, random_split, split_threshold
+from tessera.operators.split import DEFAULT_SEED, DEFAULT_SPLIT_KEYS, label_split, random_split, split_threshold
 from tessera.plans import experiment
 from tessera.plans import ratings as R
 from tessera.schema import ITEM_COL, RATING_COL, RATING_COLUMNS, USER_COL
@@ -110,13 +110,30 @@ def q_skew_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return users.unionByName(items)
 
 
+def stated_layout(spark: SparkSession, sf_dir: str, partitions: int = 8) -> DataFrame:
+    """The ratings, each in the partition that its keys name."""
+    return layout.repartition_by_keys(R.staged(spark, sf_dir), partitions, DEFAULT_SPLIT_KEYS)
+
+
 def q_partition_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.partition_records(layout.repartition(R.staged(spark, sf_dir), 8))
+    """Rows of each partition of the stated layout, counted where they are."""
+    return layout.partition_records(stated_layout(spark, sf_dir), 8)
+
+
+def q_partition_records_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ratings laid out by their few values over more partitions than those fill: empty ones are reported."""
+    dealt = layout.repartition_by_keys(R.staged(spark, sf_dir), 64, [RATING_COL])
+    return layout.partition_records(dealt, 64)
+
+
+def q_partition_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number, total, least, most and floor average over the stated layout."""
+    return layout.partition_totals(stated_layout(spark, sf_dir), 8)
 
 
 def q_partition_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Partitions, rows and floor average; least and most depend on the deal."""
-    totals = layout.partition_totals(layout.repartition(R.staged(spark, sf_dir), 8))
+    totals = layout.partition_totals(layout.repartition(R.staged(spark, sf_dir), 8), 8)
     return totals.select("partitions", "total_records", "avg_records")
 
 
@@ -300,6 +317,8 @@ QUERIES: dict[str, Query] = {
     "memory_pressure": q_memory_pressure,
     "skew_summary": q_skew_summary,
     "partition_records": q_partition_records,
+    "partition_records_sparse": q_partition_records_sparse,
+    "partition_summary": q_partition_summary,
     "partition_totals": q_partition_totals,
     "csv_scan_explicit": q_csv_scan_explicit,
     "csv_scan_inferred": q_csv_scan_inferred,
@@ -332,6 +351,12 @@ QUERIES: dict[str, Query] = {
 
 _MEM_SQL = ", ".join(f"({i}, '{t}')" for i, t in enumerate(MEMORY_SETTINGS))
 
+_LAYOUT_SQL = """SELECT CAST(p AS INTEGER) AS partition_id, count(k) AS records
+FROM range({n}) parts(p) LEFT JOIN (
+  SELECT ('0x' || substring(md5(concat_ws('|', {keys})), 1, 8))::BIGINT % {n} AS k FROM ratings
+) ON k = p GROUP BY p"""
+_KEYS_SQL = '"userId", "movieId", "timestamp"'
+
 _SKEW_SQL = """SELECT '{k}' AS key_col, count(*) AS keys,
        CAST(coalesce(sum(records), 0) AS BIGINT) AS total_records,
        min(records) AS min_records, max(records) AS max_records,
@@ -428,6 +453,13 @@ WHERE split = 'test'
         _SPLIT_CTE,
     ),
     "random_split": RATINGS_SQL,
+    "partition_records": _sql(_LAYOUT_SQL.format(n=8, keys=_KEYS_SQL)),
+    "partition_records_sparse": _sql(_LAYOUT_SQL.format(n=64, keys="rating")),
+    "partition_summary": _sql(
+        """SELECT count(*) AS partitions, CAST(sum(records) AS BIGINT) AS total_records, min(records) AS min_records,
+       max(records) AS max_records, CAST(floor(sum(records) / count(*)) AS BIGINT) AS avg_records
+FROM (""" + _LAYOUT_SQL.format(n=8, keys=_KEYS_SQL) + ")"
+    ),
     "partition_totals": _sql(
         "SELECT CAST(8 AS BIGINT) AS partitions, count(*) AS total_records, CAST(floor(count(*) / 8) AS BIGINT) AS avg_records FROM ratings"
     ),

@@ -1,3 +1,5 @@
+import pytest
+
 from tessera.operators import layout
 
 
@@ -50,16 +52,36 @@ def _jobs(spark, group, run):
     return out, len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
 
 
-def test_partition_count_runs_no_job_and_records_are_one_pass(spark):
+def test_partition_count_of_a_scan_runs_no_job_and_records_are_one_pass(spark):
+    before = dict(spark.sparkContext.getConf().getAll()), spark.conf.get("spark.sql.adaptive.enabled")
+    n, jobs = _jobs(spark, "count-partitions", lambda: layout.num_partitions(spark.range(1000, numPartitions=6).select("id")))
+    assert (n, jobs) == (6, 0)
+    assert before == (dict(spark.sparkContext.getConf().getAll()), spark.conf.get("spark.sql.adaptive.enabled"))
     df = spark.range(1000).repartition(8)
-    n, jobs = _jobs(spark, "count-partitions", lambda: layout.num_partitions(df))
-    assert (n, jobs) == (8, 0)
-    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
-    rows, jobs = _jobs(spark, "partition-records", lambda: layout.partition_records(df).collect())
-    assert jobs <= 2  # the shuffle and its reading, once
+    assert layout.num_partitions(df) == 8
+    rows, jobs = _jobs(spark, "partition-records", lambda: layout.partition_records(df, 8).collect())
+    assert jobs <= 4  # the shuffle, the counts and their join to the ids, each once
     assert len(rows) == 8 and sum(r["records"] for r in rows) == 1000
 
 
+def test_every_row_is_in_its_stated_partition(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.range(500).select(F.col("id").alias("a"), F.when(F.col("id") % 7 > 0, F.col("id") % 5).alias("b"))
+    for n in (1, 8, 100):
+        dealt = layout.repartition_by_keys(df, n, ["a", "b"])
+        got = dealt.select(F.spark_partition_id().alias("p"), layout.key_partition(["a", "b"], n).alias("k")).collect()
+        assert all(r.p == r.k for r in got) and len(got) == 500
+        rows = layout.partition_records(dealt, n).collect()
+        assert sorted(r["partition_id"] for r in rows) == list(range(n))
+        counts = {}
+        for r in got:
+            counts[r.p] = counts.get(r.p, 0) + 1
+        assert {r["partition_id"]: r["records"] for r in rows if r["records"]} == counts
+    with pytest.raises(ValueError):
+        layout.repartition_by_keys(df, 0, ["a"])
+
+
 def test_empty_partitions_are_kept(spark):
     rows = layout.partition_records(spark.range(3).repartition(8)).collect()
     assert sorted(r["partition_id"] for r in rows) == list(range(8)) and sum(r["records"] for r in rows) == 3

@@ -42,7 +42,8 @@ def test_no_pair_producing_joins(plans):
 
 def test_no_python_in_the_plans(plans):
     for key, plan in plans.items():
-        assert "EvalPython" not in plan and "PythonUDF" not in plan, key
+        for node in ("EvalPython", "PythonUDF", "MapInArrow", "MapInPandas", "InPandas", "InArrow", "PythonMapIn"):
+            assert node not in plan, (key, node)
 
 
 def test_scans_read_only_used_columns(plans):
