@@ -20,7 +20,8 @@ from tessera.operators.split import DEFAULT_SEED, DEFAULT_SPLIT_KEYS, label_spli
 from tessera.plans import experiment
 from tessera.plans import ratings as R
 from tessera.schema import ITEM_COL, RATING_COL, RATING_COLUMNS, USER_COL
-from tessera.sources.csv import read_ratings_csv
+from tessera.sources.csv import read_ratings_csv, read_sampled
+from tessera.sources.rejects import ROUTES, read_with_rejects, reject_counts
 from tessera.sources.tables import RATINGS_CSV_SQL, RATINGS_SQL, read_table
 
 DIGITS = 9
@@ -159,6 +160,34 @@ def q_cast_malformed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routes[0].unionByName(routes[1])
 
 
+def q_csv_scan_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types from the first lines, checked in the scan itself."""
+    return read_ratings_csv(spark, R.staged_ratings_csv(spark, sf_dir), mode="sampled")
+
+
+def q_csv_scan_widened(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The malformed CSV with types from its first line, made wider by the fields that break them."""
+    rows, _ = read_sampled(spark, R.staged_malformed_csv(spark, sf_dir), lines=1, on_break="widen")
+    return rows
+
+
+def q_cast_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rejected fields by route, column and reason, ids beyond int among them."""
+    path = R.staged_malformed_csv(spark, sf_dir, wide=True)
+    routes = [
+        reject_counts(read_with_rejects(spark, path, route)).select(F.lit(route).alias("route"), "column", "reason", "fields")
+        for route in ROUTES
+    ]
+    return routes[0].unionByName(routes[1])
+
+
+def q_quarantined_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rows of that read, with NULL where a field was rejected."""
+    path = R.staged_malformed_csv(spark, sf_dir, wide=True)
+    routes = [read_with_rejects(spark, path, route).ratings.select(F.lit(route).alias("route"), "*") for route in ROUTES]
+    return routes[0].unionByName(routes[1])
+
+
 def q_stage_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ratings staged once (written only when no committed copy exists)."""
     return R.staged(spark, sf_dir)
@@ -324,6 +353,10 @@ QUERIES: dict[str, Query] = {
     "csv_scan_inferred": q_csv_scan_inferred,
     "project_cast": q_project_cast,
     "cast_malformed": q_cast_malformed,
+    "csv_scan_sampled": q_csv_scan_sampled,
+    "csv_scan_widened": q_csv_scan_widened,
+    "cast_rejects": q_cast_rejects,
+    "quarantined_ratings": q_quarantined_ratings,
     "stage_if_absent": q_stage_if_absent,
     "score_vectors": q_score_vectors,
     "score_hot_user": q_score_hot_user,
@@ -363,6 +396,12 @@ _SKEW_SQL = """SELECT '{k}' AS key_col, count(*) AS keys,
        CAST(floor(sum(records) / count(*)) AS BIGINT) AS avg_records
 FROM (SELECT "{k}", count(*) AS records FROM ratings GROUP BY "{k}")"""
 
+_MALFORMED_SQL = """WITH t AS (
+  SELECT CAST(o_custkey AS INTEGER) AS u, CAST(l_partkey AS INTEGER) AS i, l_linenumber AS n,
+         CAST(ceil(l_quantity / 5) * 0.5 AS FLOAT) AS r, CAST(epoch(o_orderdate) AS BIGINT) AS ts
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+)"""
+
 ORACLE_SQL: dict[str, str] = {
     "ratings_view": RATINGS_SQL,
     "record_count": _sql("SELECT count(*) AS records FROM ratings"),
@@ -400,6 +439,7 @@ FROM sizes, mem""",
     ),
     "csv_scan_explicit": RATINGS_CSV_SQL,
     "csv_scan_inferred": RATINGS_CSV_SQL,
+    "csv_scan_sampled": RATINGS_CSV_SQL,
     "project_cast": RATINGS_CSV_SQL,
     "stage_if_absent": RATINGS_SQL,
     "score_vectors": _sql(
@@ -463,15 +503,25 @@ FROM (""" + _LAYOUT_SQL.format(n=8, keys=_KEYS_SQL) + ")"
     "partition_totals": _sql(
         "SELECT CAST(8 AS BIGINT) AS partitions, count(*) AS total_records, CAST(floor(count(*) / 8) AS BIGINT) AS avg_records FROM ratings"
     ),
-    "cast_malformed": """WITH t AS (
-  SELECT CAST(o_custkey AS INTEGER) AS u, CAST(l_partkey AS INTEGER) AS i, l_linenumber AS n,
-         CAST(ceil(l_quantity / 5) * 0.5 AS FLOAT) AS r, CAST(epoch(o_orderdate) AS BIGINT) AS ts
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey
-)
-SELECT route, CASE WHEN n IN (2, 3) THEN NULL ELSE u END AS "userId",
+    "cast_malformed": _MALFORMED_SQL + """
+SELECT route, CASE WHEN n IN (2, 3) OR (n = 6 AND route = 'explicit') THEN NULL ELSE u END AS "userId",
+       CASE WHEN n = 4 AND route = 'explicit' THEN NULL ELSE i END AS "movieId",
+       CASE WHEN n = 5 THEN NULL ELSE r END AS rating, ts AS "timestamp"
+FROM t, (VALUES ('explicit'), ('inferred')) AS routes(route)""",
+    "csv_scan_widened": _MALFORMED_SQL + """
+SELECT CASE WHEN n IN (2, 3) THEN NULL ELSE u END AS "userId", i AS "movieId",
+       CASE WHEN n = 5 THEN NULL ELSE r END AS rating, ts AS "timestamp" FROM t""",
+    "quarantined_ratings": _MALFORMED_SQL + """
+SELECT route, CASE WHEN n IN (2, 3, 7) OR (n = 6 AND route = 'explicit') THEN NULL ELSE u END AS "userId",
        CASE WHEN n = 4 AND route = 'explicit' THEN NULL ELSE i END AS "movieId",
        CASE WHEN n = 5 THEN NULL ELSE r END AS rating, ts AS "timestamp"
 FROM t, (VALUES ('explicit'), ('inferred')) AS routes(route)""",
+    "cast_rejects": _MALFORMED_SQL + """
+SELECT route, "column", reason, count(*) AS fields
+FROM t JOIN (VALUES (2, 'userId', 'text', 'both'), (3, 'userId', 'missing', 'both'), (4, 'movieId', 'fraction', 'explicit'),
+                    (5, 'rating', 'missing', 'both'), (6, 'userId', 'fraction', 'explicit'), (7, 'userId', 'beyond int', 'both')) AS bad(line, "column", reason, routes)
+  ON line = n JOIN (VALUES ('explicit'), ('inferred')) AS r2(route) ON routes IN ('both', route)
+GROUP BY ALL""",
     "sweep_counts": _sql(
         """SELECT num_nodes, partitions, count(*) AS num_records,
        count(*) FILTER (WHERE split = 'train') AS train_records,

@@ -22,7 +22,7 @@ _models: dict[tuple, ALSModel] = {}
 
 RATING_TABLES = ["lineitem", "orders"]
 # Bumped whenever what a stage holds changes, so old copies are not reused.
-STAGE_VERSION = 4
+STAGE_VERSION = 5
 
 
 def sf_path(sf_dir: str) -> str:
@@ -86,23 +86,28 @@ def staged_wide_csv(spark: SparkSession, sf_dir: str) -> str:
     return stage(spark, "ratings_wide_csv", tag, build, write=write_ratings_csv)
 
 
-def staged_malformed_csv(spark: SparkSession, sf_dir: str) -> str:
+def staged_malformed_csv(spark: SparkSession, sf_dir: str, wide: bool = False) -> str:
     """Ratings CSV in which the line number of an order decides on a bad value:
-    2 a text as user, 3 no user, 4 a fraction as item, 5 no rating."""
+    2 a text as user, 3 no user, 4 a fraction as item, 5 no rating, 6 a fraction as user (beside texts),
+    and, if ``wide``, 7 a user beyond int."""
     sf = sf_path(sf_dir)
 
     def build() -> DataFrame:
         n = F.col("l_linenumber")
         rows = ratings_from_tables(spark, sf, "l_linenumber")
         user, item = F.col("userId").cast("string"), F.col("movieId").cast("string")
+        bad = F.when(n == 2, "x").when(n == 3, None).when(n == 6, F.concat(user, F.lit(".7")))
+        if wide:
+            bad = bad.when(n == 7, (F.col("userId").cast("bigint") + F.lit(2**33)).cast("string"))
         return rows.select(
-            F.when(n == 2, "x").when(n == 3, None).otherwise(user).alias("userId"),
+            bad.otherwise(user).alias("userId"),
             F.when(n == 4, F.concat(item, F.lit(".7"))).otherwise(item).alias("movieId"),
             F.when(n != 5, F.col("rating")).alias("rating"),
             "timestamp",
         )
 
-    return stage(spark, "ratings_malformed_csv", ratings_tag(spark, sf), build, write=write_ratings_csv)
+    name = "ratings_wide_malformed_csv" if wide else "ratings_malformed_csv"
+    return stage(spark, name, ratings_tag(spark, sf), build, write=write_ratings_csv)
 
 
 def staged_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
