@@ -1,11 +1,13 @@
 """Command line: run the experiment sweep on a ratings CSV.
 
     python -m tessera RATINGS_CSV [--two-nodes-only] [--early-configs]
-        [--inferred] [--master URL] [--executor-memory 4g] [--out PATH]
+        [--inferred] [--master URL] [--executor-memory 4g] [--checkpoint]
+        [--out PATH [--run NAME]]
 
 Mirrors the reference program: each configuration runs on its own, a
 failing one is reported and does not stop the rest, and a summary table is
-printed at the end (and written as Parquet with ``--out``).
+printed at the end (and written as Parquet with ``--out``, where a rerun
+under the same ``--run`` replaces its rows).
 """
 
 from __future__ import annotations
@@ -28,7 +30,9 @@ def main(argv: list[str] | None = None) -> int:
     ap.add_argument("--master", default=os.environ.get("SPARK_MASTER"))
     ap.add_argument("--executor-memory", default=os.environ.get("EXECUTOR_MEMORY", "4g"))
     ap.add_argument("--split", choices=["hash", "random"], default="hash")
+    ap.add_argument("--checkpoint", action="store_true", help="keep both sides in the checkpoint folder, not the cache")
     ap.add_argument("--out")
+    ap.add_argument("--run", default="default")
     ap.add_argument(
         "--reference-shuffle", action="store_true", help="fixed 20 shuffle partitions, as the reference"
     )
@@ -43,13 +47,14 @@ def main(argv: list[str] | None = None) -> int:
     mode = "inferred" if args.inferred else "explicit"
     configs = experiment.choose_configs(args.two_nodes_only, args.early_configs, args.executor_memory)
     results, phases = experiment.sweep(
-        spark, lambda: read_ratings_csv(spark, args.ratings, mode=mode), configs, split=args.split
+        spark, lambda: read_ratings_csv(spark, args.ratings, mode=mode), configs, split=args.split,
+        keep="checkpoint" if args.checkpoint else "cache",
     )
     results = results.cache()
     experiment.summary(results).show(truncate=False)
     phases.show(100, truncate=False)
     if args.out:
-        experiment.save_results(results, args.out)
+        experiment.save_results(results, args.out, args.run)
     failed = results.where("error IS NOT NULL").count()
     if owned:
         spark.stop()

@@ -20,7 +20,9 @@ from tessera.operators.split import DEFAULT_SEED, DEFAULT_SPLIT_KEYS, label_spli
 from tessera.plans import experiment
 from tessera.plans import ratings as R
 from tessera.schema import ITEM_COL, RATING_COL, RATING_COLUMNS, USER_COL
+from tessera.session import shared_path
 from tessera.sources.csv import read_ratings_csv, read_sampled
+from tessera.sources.incremental import StagedFiles, stage_files
 from tessera.sources.rejects import ROUTES, read_with_rejects, reject_counts
 from tessera.sources.tables import RATINGS_CSV_SQL, RATINGS_SQL, read_table
 
@@ -193,6 +195,15 @@ def q_stage_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.staged(spark, sf_dir)
 
 
+def q_stage_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A CSV source staged file by file: one folder first, then, with a second one added, only that."""
+    even, odd = (R.staged_half_csv(spark, sf_dir, side) for side in (False, True))
+    name = f"ratings-{R.ratings_tag(spark, sf_dir)}"
+    read = lambda paths: read_ratings_csv(spark, paths)
+    StagedFiles(spark, name).refresh([even], read)
+    return stage_files(spark, name, [even, odd], read)
+
+
 def q_score_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ratings scored against vectors from the ``embeddings`` table, used as
     user and item factor tables (id = vec_id)."""
@@ -336,6 +347,24 @@ def q_sweep_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.select("num_nodes", "partitions", "num_records", "train_records", "test_records")
 
 
+def q_results_readback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sweep's results written twice and read back: each configuration is there once."""
+    results, _ = _experiments(spark, sf_dir, experiment.choose_configs())
+    path = shared_path(spark, "results", R.ratings_tag(spark, sf_dir))
+    for _ in range(2):
+        experiment.save_results(results, path, "sweep")
+    rows = experiment.read_results(spark, path, "sweep")
+    return rows.select("run", "num_nodes", "partitions", "num_records", "train_records", "test_records")
+
+
+def q_experiment_checkpointed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two-node experiment with both sides kept in the checkpoint folder instead of the cache."""
+    key = (spark.sparkContext.applicationId, R.ratings_tag(spark, sf_dir), "checkpoint")
+    if key not in _runs:
+        _runs[key] = experiment.sweep(spark, lambda: R.staged(spark, sf_dir), [_EXPERIMENT_CONFIG], keep="checkpoint")
+    return _runs[key][0].select("num_nodes", "partitions", "num_records", "train_records", "test_records")
+
+
 QUERIES: dict[str, Query] = {
     "ratings_view": q_ratings_view,
     "record_count": q_record_count,
@@ -358,6 +387,7 @@ QUERIES: dict[str, Query] = {
     "cast_rejects": q_cast_rejects,
     "quarantined_ratings": q_quarantined_ratings,
     "stage_if_absent": q_stage_if_absent,
+    "stage_incremental": q_stage_incremental,
     "score_vectors": q_score_vectors,
     "score_hot_user": q_score_hot_user,
     "cold_start_kept": q_cold_start_kept,
@@ -374,6 +404,8 @@ QUERIES: dict[str, Query] = {
     "experiment_result": q_experiment_result,
     "experiment_sweep": q_experiment_sweep,
     "sweep_counts": q_sweep_counts,
+    "results_readback": q_results_readback,
+    "experiment_checkpointed": q_experiment_checkpointed,
     "experiment_phases": q_experiment_phases,
     "experiment_summary": q_experiment_summary,
     "random_split": q_random_split,
@@ -442,6 +474,7 @@ FROM sizes, mem""",
     "csv_scan_sampled": RATINGS_CSV_SQL,
     "project_cast": RATINGS_CSV_SQL,
     "stage_if_absent": RATINGS_SQL,
+    "stage_incremental": RATINGS_CSV_SQL,
     "score_vectors": _sql(
         f"""SELECT r."userId", r."movieId", r.rating, r."timestamp",
        round(list_dot_product(u.v, i.v), {DIGITS}) AS prediction
@@ -527,6 +560,14 @@ GROUP BY ALL""",
        count(*) FILTER (WHERE split = 'train') AS train_records,
        count(*) FILTER (WHERE split = 'test') AS test_records
 FROM split, (VALUES (1, 8), (2, 8), (5, 20)) AS configs(num_nodes, partitions)
+GROUP BY num_nodes, partitions""",
+        _SPLIT_CTE,
+    ),
+    "results_readback": _sql(
+        """SELECT 'sweep' AS run, num_nodes, partitions, count(*) AS num_records,
+       count(*) FILTER (WHERE split = 'train') AS train_records,
+       count(*) FILTER (WHERE split = 'test') AS test_records
+FROM split, (VALUES (1, 8), (2, 8), (5, 20)) AS configs(num_nodes, partitions)
 GROUP BY num_nodes, partitions""",
         _SPLIT_CTE,
     ),
@@ -534,6 +575,13 @@ GROUP BY num_nodes, partitions""",
         """SELECT 2 AS num_nodes, 8 AS partitions, count(*) AS num_records,
        count(*) FILTER (WHERE split = 'train') AS train_records,
        count(*) FILTER (WHERE split = 'test') AS test_records
+FROM split""",
+        _SPLIT_CTE,
+    ),
+    "experiment_checkpointed": _sql(
+        """SELECT 2 AS num_nodes, 8 AS partitions, count(*) AS num_records,
+       count(*) FILTER (WHERE split = 'train') AS train_records,
+       count(*) FILTER (WHERE split = 'test') AS test_records
 FROM split""",
         _SPLIT_CTE,
     ),

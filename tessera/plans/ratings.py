@@ -66,6 +66,13 @@ def staged_ratings_csv(spark: SparkSession, sf_dir: str) -> str:
     )
 
 
+def staged_half_csv(spark: SparkSession, sf_dir: str, odd: bool) -> str:
+    """Ratings CSV of the users with odd, or with even, ids: two folders of one source."""
+    sf = sf_path(sf_dir)
+    build = lambda: ratings_from_tables(spark, sf).where(F.pmod("userId", F.lit(2)) == int(odd))
+    return stage(spark, f"ratings_csv_{'odd' if odd else 'even'}", ratings_tag(spark, sf), build, write=write_ratings_csv)
+
+
 def staged_wide_csv(spark: SparkSession, sf_dir: str) -> str:
     """Ratings CSV with columns in another order plus extra columns, for
     the by-name projection route."""

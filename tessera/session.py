@@ -49,6 +49,12 @@ def shared_path(spark: SparkSession, *parts: str) -> str:
     return "/".join([checkpoint_root(spark), "tessera", *parts])
 
 
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that this library has written, if it is there."""
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
+
+
 def source_tag(*values: object) -> str:
     """Short stable tag for a source (e.g. an sf dir) used in staged paths."""
     text = "|".join(str(v) for v in values)

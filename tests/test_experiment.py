@@ -108,3 +108,60 @@ def test_early_variant_has_its_own_settings():
     assert [(c.num_nodes, c.partitions, c.executor_memory) for c in early] == [(1, 4, "6g"), (2, 8, "6g"), (5, 20, "6g")]
     assert {c.executor_memory for c in experiment.choose_configs(executor_memory="2g")} == {"2g"}
     assert EARLY_SETTINGS["spark.sql.shuffle.partitions"] == "10"
+
+
+@pytest.mark.parametrize("split", ["hash", "random"])
+def test_checkpointed_sides_outlast_the_cache_and_the_source(spark, tmp_path, split, monkeypatch):
+    """The source is gone after the load: nothing is read from it again, and the copies go at the end."""
+    import os
+    import shutil
+
+    source = str(tmp_path / "ratings")
+    R.staged(spark, SF_SMALL).write.parquet(source)
+    fit = experiment.recommender.fit
+    seen = {}
+
+    def fit_without_source(train, params):
+        spark.catalog.clearCache()
+        shutil.move(source, str(tmp_path / "gone"))
+        seen["inputs"] = train.inputFiles()
+        return fit(train, params)
+
+    monkeypatch.setattr(experiment.recommender, "fit", fit_without_source)
+    result, _ = experiment.run_experiment(
+        spark, lambda: spark.read.parquet(source), experiment.ExperimentConfig(3, 6), recommender_params(), split, keep="checkpoint"
+    )
+    assert result["num_records"] == 6000 and result["train_records"] + result["test_records"] == 6000
+    assert result["rmse"] is not None and result["partitions"] == 6
+    assert 0 < result["min_partition_records"] <= 1000 <= result["max_partition_records"]
+    assert seen["inputs"] and not any(os.path.exists(f.removeprefix("file://")) for f in seen["inputs"])
+    if split == "hash":
+        assert result["train_records"] == 4841
+
+
+def test_keeping_is_checked_and_equal(spark, loader):
+    with pytest.raises(ValueError, match="keep"):
+        experiment.run_experiment(spark, loader, experiment.ExperimentConfig(1, 2), keep="memory")
+    runs = [experiment.run_experiment(spark, loader, experiment.ExperimentConfig(1, 4), recommender_params(), keep=k)[0] for k in ("cache", "checkpoint")]
+    same = ("num_records", "train_records", "test_records", "unusable_records", "scored_records")
+    assert [runs[0][k] for k in same] == [runs[1][k] for k in same]
+    assert abs(runs[0]["rmse"] - runs[1]["rmse"]) < 1e-6
+
+
+def test_saved_results_are_replaced_by_run_and_configuration(spark, tmp_path):
+    path = str(tmp_path / "results")
+
+    def results(*rows):
+        blank = {f.name: None for f in experiment.RESULT_SCHEMA.fields}
+        return spark.createDataFrame([tuple({**blank, **r}.values()) for r in rows], experiment.RESULT_SCHEMA)
+
+    first = [{"num_nodes": 1, "partitions": 8, "num_records": 5}, {"num_nodes": 2, "partitions": 8, "num_records": 5}, {"num_nodes": 2, "num_records": 6, "error": "e"}]
+    for _ in range(2):
+        experiment.save_results(results(*first), path, "a")
+    assert experiment.read_results(spark, path).count() == 3
+    experiment.save_results(results({"num_nodes": 2, "partitions": 8, "num_records": 9}), path, "a")
+    experiment.save_results(results({"num_nodes": 2, "partitions": 8, "num_records": 7}), path, "b")
+    got = {(r.run, r.num_nodes, r.partitions): r.num_records for r in experiment.read_results(spark, path).collect()}
+    assert got == {("a", 1, 8): 5, ("a", 2, 8): 9, ("a", 2, None): 6, ("b", 2, 8): 7}
+    back = experiment.read_results(spark, path, "b")
+    assert back.columns == ["run", *(f.name for f in experiment.RESULT_SCHEMA.fields)] and back.count() == 1
