@@ -3,11 +3,12 @@
 Words are maximal runs of characters other than ASCII white space; a text of fewer than five
 words has all its words as its one n-gram.  Texts that are equal are one text with a count.
 Each text has ``bands`` hashes of ``rows`` minima, chosen so that a pair at the threshold meets
-in some band with the target recall.  Texts are shuffled on band hashes; every bucket links its members to its
-smallest, not to each other, and the connected texts form candidate groups.
-A group's texts are brought together once, cut into blocks when they are many or long, and every pair
-of a block pair is verified on its full sets of n-grams.  What comes back is a
-link count and a spanning forest, never the pairs.
+in some band with the target recall.  Texts are shuffled on band hashes: a bucket is the texts with one hash of one band.
+Of buckets that hold the same texts (a pair of near copies meets in most bands) the first band's stays.
+A pair is verified on its full sets of n-grams in the first band it shares, so never twice, and texts that share no band are never
+compared, however many others connect them: pages of one template that are not alike
+cost as many verifications as meet by chance.  Buckets with many or long texts are cut into blocks, and a cell is
+one block or two against each other.  What comes back of a cell is a link count and a spanning forest, never the pairs.
 
 Defined cases: null and empty texts have no n-grams and link with nothing, not even each other (a class each);
 equal texts link; classes are named by the smallest doc_id (null only if all are);
@@ -91,23 +92,36 @@ def signatures(texts: DataFrame, bands: int, rows: int) -> DataFrame:
     return texts.mapInArrow(scan, "key binary, bands array<long>")
 
 
-def verify(table: pa.Table, threshold: float) -> pa.Table | None:
-    """All pairs of a block, or between two blocks, that reach the threshold on their full sets."""
-    if table.num_rows < 2:
-        return None
-    ids, copies, own = (table[c].to_numpy() for c in ("id", "n", "own"))
-    across = table["lo"][0].as_py() != table["hi"][0].as_py()
-    sets, sizes = [], []
-    for _, some in pieces(table["text"].combine_chunks()):
-        grams, upto = ngrams(some)
-        sets += [np.unique(grams[a:b]) for a, b in zip(upto[:-1], upto[1:])]
+def first_meetings(earlier: np.ndarray, own: np.ndarray | None) -> np.ndarray:
+    """For texts of one bucket, which pairs share no earlier band (``earlier``: their hashes of those); ``own``: their
+    blocks, where only pairs of two blocks count."""
+    first = ~np.eye(len(earlier), dtype=bool) if own is None else own[:, None] != own[None, :]
+    for band in earlier.T:
+        if len(band) > 64 and not first.any():
+            break
+        first &= band[:, None] != band[None, :]
+    return first
+
+
+def common_counts(sets: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sorted sets, for the pairs asked for (others are 0 or theirs)."""
     sizes = np.array([len(s) for s in sets])
+    wanted = int(pairs.sum()) // 2 * max(1, int(sizes.mean()))
+    if wanted * 30 < len(sets) ** 2 * int(sizes.max()):  # few pairs: by lookup, one text against its partners
+        both = np.zeros(pairs.shape, np.float32)
+        for i in np.flatnonzero(np.triu(pairs).any(1)):
+            with_ = np.flatnonzero(pairs[i, i + 1 :]) + i + 1
+            others = np.concatenate([sets[j] for j in with_])
+            at = np.searchsorted(sets[i], others)
+            hit = sets[i][np.minimum(at, len(sets[i]) - 1)] == others
+            both[i, with_] = both[with_, i] = np.add.reduceat(hit, np.concatenate([[0], np.cumsum(sizes[with_])[:-1]]))
+        return both
     names, of = np.unique(np.concatenate(sets), return_inverse=True)
     text = np.repeat(np.arange(len(sets)), sizes)
     common = np.flatnonzero(np.bincount(of)[of] > 1)  # n-grams of one text meet nothing
     place = np.cumsum(np.bincount(of) > 1) - 1
     of, text = place[of[common]], text[common]
-    both = np.zeros((len(sets), len(sets)), np.float32)
+    both = np.zeros(pairs.shape, np.float32)
     by_name = np.argsort(of, kind="stable")
     of, text = of[by_name], text[by_name]
     width = max(256, (1 << 22) // len(sets))  # columns held at once
@@ -116,11 +130,34 @@ def verify(table: pa.Table, threshold: float) -> pa.Table | None:
         has = np.zeros((len(sets), min(width, int(of[-1]) + 1 - first)), np.float32)
         has[text[a:b], of[a:b] - first] = 1
         both += has @ has.T
+    return both
+
+
+def verify(table: pa.Table, threshold: float) -> pa.Table | None:
+    """The pairs of a cell that meet first in its band, verified on their full sets: per text its links and the
+    smallest text of its part of the cell."""
+    if table.num_rows < 2:
+        return None
+    own = table["own"].to_numpy() if table["lo"][0].as_py() != table["hi"][0].as_py() else None
+    earlier = table["earlier"].combine_chunks()
+    pairs = first_meetings(earlier.flatten().to_numpy().reshape(table.num_rows, -1), own)
+    meets = np.flatnonzero(pairs.any(1))
+    if not len(meets):
+        return None
+    ids, copies = (table[c].to_numpy()[meets] for c in ("id", "n"))
+    pairs = pairs[np.ix_(meets, meets)]
+    sets = []
+    for _, some in pieces(table["text"].combine_chunks().take(pa.array(meets))):
+        grams, upto = ngrams(some)
+        sets += [np.unique(grams[a:b]) for a, b in zip(upto[:-1], upto[1:])]
+    sizes = np.array([len(s) for s in sets])
+    # sets of too different sizes cannot reach the threshold
+    pairs &= np.minimum(sizes[:, None], sizes[None, :]) >= threshold * np.maximum(sizes[:, None], sizes[None, :]) - 1e-9
+    if not pairs.any():
+        return None
+    both = common_counts(sets, pairs)
     union = sizes[:, None] + sizes[None, :] - both
-    ok = both.astype(float) >= threshold * union - 1e-9
-    np.fill_diagonal(ok, False)
-    if across:
-        ok &= own[:, None] != own[None, :]
+    ok = pairs & (both.astype(float) >= threshold * union - 1e-9)
     some = np.flatnonzero(ok.any(1))
     if not len(some):
         return None
@@ -129,6 +166,22 @@ def verify(table: pa.Table, threshold: float) -> pa.Table | None:
     return pa.table({"id": pa.array(ids[some]), "links": pa.array(ok @ copies[some]), "low": pa.array(ids[some][linked(ok)])})
 
 
+def cells(texts: DataFrame, block_texts: int, block_bytes: int) -> tuple[DataFrame, Table]:
+    """id and its cells (bucket, lo, hi, own block, number of earlier bands) for texts (id, bands, bytes)
+    that meet another one, and the table of buckets that this reads."""
+    members = texts.select("id", "bytes", F.posexplode("bands").alias("band", "bucket"))
+    # 128 bits name a bucket's texts; equal buckets of later bands hold no pair that has not met
+    alike = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"x{k}") for k in (0, 1)]
+    blocks = F.greatest(F.ceil(F.count("*") / block_texts), F.ceil(F.sum("bytes") / block_bytes)).cast("int")
+    sized = members.groupBy("band", "bucket").agg(F.count("*").alias("size"), blocks.alias("blocks"), *alike).where("size > 1")
+    kept = Table(sized.groupBy("size", "x0", "x1").agg(F.min(F.struct("band", "bucket", "blocks")).alias("k")).select("k.*"), "buckets")
+    placed = members.select("id", "band", "bucket").join(kept.df, ["band", "bucket"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    each = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    cell = F.struct("bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "band")
+    # at most bands x blocks cells a text
+    return each.groupBy("id").agg(F.collect_list(cell).alias("cells")), kept
+
+
 def text_classes(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999, block_texts: int = 768, block_bytes: int = 4 << 20) -> DataFrame:
     """Per distinct text with n-grams: key, n (its rows), first (smallest doc_id), first_rows (rows
     with that id), links (rows of other texts linked), root (of its class) and class_id."""
@@ -141,24 +194,20 @@ def text_classes(docs: DataFrame, threshold: float = 0.8, recall: float = 0.999,
     # one row of each text; equal texts have equal signatures, so any row's will do
     signed = signatures(keyed.select("key", "text"), bands, rows).groupBy("key").agg(F.any_value("bands").alias("bands"))
     texts = Table(counted.join(signed, "key").withColumn("id", F.monotonically_increasing_id()), "texts")
-    members = texts.df.select("id", F.explode("bands").alias("bucket"))
-    buckets = Table(members.groupBy("bucket").agg(F.min("id").alias("low"), F.count("*").alias("size")).where("size > 1").drop("size"), "buckets")
-    meets = Table(members.join(buckets.df, "bucket").where("low < id").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct(), "meets")
-    groups = components(meets.df)
-    texts_in = Table(groups.join(texts.df.drop("bands"), "id"), "groups")
-    sizes = Table(texts_in.df.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / block_texts), F.ceil(F.sum("bytes") / block_bytes)).cast("int").alias("blocks")), "sizes")
-    placed = (texts_in.df.join(sizes.df, "root").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
+    by_text, buckets = cells(texts.df, block_texts, block_bytes)
+    dealt = Table(by_text.join(texts.df, "id"), "cells")
+    buckets.drop()
     # one row per text, the one with the smallest doc_id, so copies stay behind; equal rows once
-    mine = placed.select(F.col("key").alias("__key"), "id", "n", "root", "blocks", "own", "first")
+    mine = dealt.df.select(F.col("key").alias("__key"), "id", "n", "bands", "cells", "first")
     fetched = (keyed.join(mine, (F.col("key") == F.col("__key")) & F.col("doc_id").eqNullSafe(F.col("first")))
                .dropDuplicates(["id"])
-               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-               .select("id", "n", "own", "root", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "text"))
-    found = Table(each_group(fetched, ["root", "lo", "hi"], lambda t: verify(t, threshold), "id long, links long, low long"), "links")
+               .select("id", "n", "bands", "text", F.explode("cells").alias("c"))
+               .select("id", "n", "c.own", "c.bucket", "c.lo", "c.hi", F.slice("bands", F.lit(1), F.col("c.band")).alias("earlier"), "text"))
+    found = Table(each_group(fetched, ["bucket", "lo", "hi"], lambda t: verify(t, threshold), "id long, links long, low long"), "links")
     roots = components(found.df.select(F.col("id").alias("a"), F.col("low").alias("b")))
     links = found.df.groupBy("id").agg(F.sum("links").alias("links"))
     named = Table(texts.df.drop("bands").join(links, "id", "left").join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "named").df
-    for done in (texts, buckets, meets, texts_in, sizes, found):
+    for done in (texts, dealt, found):
         done.drop()
     classes = named.groupBy("root").agg(F.min("first").alias("class_id"))
     return named.join(classes, "root").select("key", "n", "first", "first_rows", F.coalesce("links", F.lit(0)).alias("links"), "root", "class_id")

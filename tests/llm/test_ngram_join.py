@@ -1,9 +1,11 @@
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from tessera.llm.ngram_join import choose_bands, drop_near_copies, ngram_join
+from tessera.llm.ngram_join import cells, choose_bands, common_counts, drop_near_copies, first_meetings, ngram_join, signatures
 from tests.llm.data import documents, frame, words
 
 
@@ -64,6 +66,63 @@ def test_same_as_brute_force(spark):
         assert Counter(map(tuple, ngram_join(frame(spark, rows), **settings).collect())) == want
 
 
+def template_pages(n, seed=11, of=90, own=60):
+    """Pages that share a template but no content: pairs are far below the threshold."""
+    r = random.Random(seed)
+    template = words(of, 99)
+    return [" ".join(template + [f"p{r.randrange(10**7)}" for _ in range(own)]) for _ in range(n)]
+
+
+def test_templates_do_not_bring_all_pairs_together(spark):
+    """3,000 pages at a Jaccard of about 0.4 to 0.5: most are connected by chance, few pairs are verified, none links."""
+    pages = template_pages(3000, of=130, own=50)
+    a, b = grams(pages[0]), grams(pages[1])
+    assert 0.4 < len(a & b) / len(a | b) < 0.6
+    docs = frame(spark, [(i, t, "en", "s", 0) for i, t in enumerate(pages)])
+    bands, rows = choose_bands(0.8, 0.999)
+    keyed = docs.select(F.col("doc_id").alias("id"), "text", F.octet_length("text").alias("bytes"))
+    signed = signatures(keyed.select(F.col("id").cast("string").cast("binary").alias("key"), "text"), bands, rows)
+    texts = signed.select(F.col("key").cast("string").cast("long").alias("id"), "bands").join(keyed.select("id", "bytes"), "id")
+    held = {r.id: r.bands for r in texts.collect()}
+    buckets, connected = defaultdict(list), {}
+    for i, hashes in held.items():
+        for k, h in enumerate(hashes):
+            buckets[k, h].append(i)
+
+    def root(i):
+        while connected.setdefault(i, i) != i:
+            i = connected[i]
+        return i
+
+    for members in buckets.values():
+        for i in members[1:]:
+            connected[root(i)] = root(members[0])
+    largest = max(Counter(root(i) for i in held).values())
+    assert largest > 1000  # transitive groups would hold a third of all pages or more
+    meet = len({(i, j) for m in buckets.values() for i in m for j in m if i < j})
+    verified = Counter()
+    dealt = defaultdict(list)
+    for r in cells(texts, 768, 4 << 20)[0].collect():
+        for c in r.cells:
+            dealt[c.bucket, c.lo, c.hi].append((r.id, c.own, held[r.id][: c.band]))
+    for (_, lo, hi), members in dealt.items():
+        pairs = first_meetings(np.array([e for _, _, e in members]).reshape(len(members), -1), None if lo == hi else np.array([o for _, o, _ in members]))
+        for i, j in zip(*np.nonzero(np.triu(pairs))):
+            verified[tuple(sorted((members[i][0], members[j][0])))] += 1
+    assert set(verified.values()) == {1} and len(verified) == meet < largest * (largest - 1) / 2 / 3
+    assert ngram_join(docs).where("n_links > 0").count() == 0
+
+
+def test_lookup_and_product_count_alike():
+    r = np.random.default_rng(3)
+    sets = [np.unique(r.integers(0, 60, r.integers(1, 50)).astype(np.uint64)) for _ in range(40)]
+    exact = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    for share in (0.02, 1.0):
+        pairs = np.triu(r.random((40, 40)) < share, 1)
+        pairs |= pairs.T
+        assert (common_counts(sets, pairs)[pairs] == exact[pairs]).all()
+
+
 def test_one_of_each_class_stays(spark):
     rows = table()
     _, classes = brute(rows)
