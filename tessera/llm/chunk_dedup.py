@@ -1,18 +1,19 @@
 """Substring dedup by content-defined chunks (gear rolling hash).
 
-A chunk ends where the gear hash of the last 32 bytes has its low bits clear, at least ``least`` and
+A chunk ends where the gear hash of the last 32 bytes of its text has its low bits clear, at least ``least`` and
 at most ``most`` bytes after the chunk's start and never inside a character.
 Cuts depend on the bytes around them, so after an insertion the following chunks fall into step
 again.  ``least`` is kept near the mean gap between marks: the larger it is, the more a cut depends on where
-the chunk before ended, and the longer two documents take to fall into step in a passage they share.  Each chunk's digest is counted over all documents, its copies except the
-first (smallest doc_id, then place) are removed.
+the chunk before ended, and the longer two documents take to fall into step in a passage they share.  Each chunk's digest is counted over all documents; its places except the
+first (smallest doc_id, then place) are copies.  Copied chunks that follow each other make a run, and runs of
+``run`` bytes or more are removed: a chunk of a few words that two documents happen to share stays, a passage goes.
 
-Identity of a row is its doc_id and a hash of its text: rows that agree in both
-count as one document and get one result each.
+Identity of a row is its doc_id and its text; of rows that agree in both, one counts as the first and all
+others are copies of it.
 
 Defined cases: null texts count as empty, with 0 bytes; null doc_ids come last in order; texts shorter than ``least``
-are one chunk of less than ``least`` bytes and such short ends are never removed
-unless the whole text is a copy; empty tables give no rows.
+are one chunk of less than ``least`` bytes; such short ends are never removed, and a short run only where
+it is the whole text; empty tables give no rows.  A text of any length is one row: a task holds it and some 16 bytes for each of its bytes.
 """
 
 from __future__ import annotations
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,10 +43,22 @@ def gear(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def gear_of_texts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """:func:`gear` of every text apart: nothing of the text before is in a text's first windows."""
+    h = gear(data)
+    now = np.zeros(len(offsets) - 1, np.uint32)
+    for k in range(WINDOW - 1):
+        at = offsets[:-1] + k
+        here = at < offsets[1:]
+        now[here] = (now[here] << np.uint32(1)) + GEAR[data[at[here]]]
+        h[at[here]] = now[here]
+    return h
+
+
 def cuts(data: np.ndarray, offsets: np.ndarray, least: int, most: int, bits: int) -> tuple[list[int], list[int], list[int]]:
     """Row, start and end of the chunks of all texts."""
     # the high bits see all of the window
-    marks = np.flatnonzero((gear(data) >> np.uint32(32 - bits)) == 0) + 1
+    marks = np.flatnonzero((gear_of_texts(data, offsets) >> np.uint32(32 - bits)) == 0) + 1
     follows = (data & 0xC0) == 0x80  # bytes within a character
     marks = marks[marks < len(data)]
     marks = marks[~follows[marks]].tolist()
@@ -107,6 +121,21 @@ def cut_out(texts: pa.Array, spans: pa.Array) -> tuple[list[int], list[int], lis
     return sizes, removed, runs, digests
 
 
+def long_runs(spans: list[dict] | None, run: int, size: int) -> list[dict]:
+    """The spans in runs (each begins where the one before ends) of ``run`` bytes or more, or of the whole text."""
+    out: list[dict] = []
+    held: list[dict] = []
+    for s in [*sorted(spans or (), key=lambda s: s["start"]), None]:
+        if held and (s is None or s["start"] > held[-1]["start"] + held[-1]["length"]):
+            first, end = held[0]["start"], held[-1]["start"] + held[-1]["length"]
+            if end - first >= run or (first == 0 and end == size):
+                out += held
+            held = []
+        if s is not None:
+            held.append(s)
+    return out
+
+
 def repeated_spans(docs: DataFrame, least: int = 24, most: int = 128, bits: int = 4) -> Table:
     """A table of doc_id, text_hash and spans: the chunks of each document that another place before it has."""
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), "text")
@@ -122,18 +151,40 @@ def repeated_spans(docs: DataFrame, least: int = 24, most: int = 128, bits: int
     return spans
 
 
-def chunk_dedup(docs: DataFrame, **settings) -> DataFrame:
+RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:int,length:int>>, kept_sha256 string"
+
+
+def chunk_dedup(docs: DataFrame, run: int = 64, **settings) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), spans (start, length in bytes) and
     kept_sha256 (of the bytes left) per document."""
     spans = repeated_spans(docs, **settings).df.withColumnsRenamed({"doc_id": "__id", "text_hash": "__hash"})
+    span_type = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, removed, runs, digests = cut_out(batch["text"], batch["spans"])
+            sizes = pc.binary_length(batch["text"]).to_pylist()
+            gone = pa.array([long_runs(s, run, n or 0) or None for s, n in zip(batch["spans"].to_pylist(), sizes)], span_type)
+            sizes, removed, runs, digests = cut_out(batch["text"], gone)
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], *(pa.array(c, pa.int64()) for c in (sizes, removed, runs)), batch["spans"], pa.array(digests)],
+                [batch["doc_id"], *(pa.array(c, pa.int64()) for c in (sizes, removed, runs)), gone, pa.array(digests)],
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept_sha256"])
 
+    def cut(rows: DataFrame) -> DataFrame:
+        met = rows.join(spans, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")), "left")
+        return met.select("doc_id", "text", "spans").mapInArrow(scan, RESULT)
+
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
-    cut = named.join(spans, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")), "left").select("doc_id", "text", "spans")
-    return cut.mapInArrow(scan, "doc_id long, n_bytes long, n_removed long, n_spans long, spans array<struct<start:int,length:int>>, kept_sha256 string")
+    again = Table(named.groupBy("doc_id", "text_hash").agg(F.count("*").alias("n")).where("n > 1"), "again").df
+    if again.isEmpty():
+        return cut(named)
+    # equal rows differ in nothing, so one of each stands for the first and the others are made from their count
+    theirs = again.select(F.col("doc_id").alias("__rid"), F.col("text_hash").alias("__rhash"), "n")
+    same = F.col("doc_id").eqNullSafe(F.col("__rid")) & (F.col("text_hash") == F.col("__rhash"))
+    one = named.join(theirs, same).groupBy("doc_id", "text_hash").agg(F.any_value("text").alias("text"), F.max("n").alias("n"))
+    firsts = cut(named.join(theirs, same, "left_anti").unionByName(one.select("doc_id", "text", "text_hash")))
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    copies = one.select("doc_id", size.alias("size"), F.explode(F.sequence(F.lit(2).cast("long"), F.col("n"))))
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.col("size").alias("length")))
+    return firsts.unionByName(copies.select(
+        "doc_id", F.col("size").cast("long").alias("n_bytes"), F.col("size").cast("long").alias("n_removed"),
+        (F.col("size") > 0).cast("long").alias("n_spans"), F.when(F.col("size") > 0, whole).alias("spans"), F.sha2(F.lit(b""), 256).alias("kept_sha256")))

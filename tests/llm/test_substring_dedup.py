@@ -1,11 +1,12 @@
 import hashlib
-from collections import Counter, defaultdict
+import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from tessera.llm.chunk_dedup import GEAR, chunk_dedup, cuts, gear
+from tessera.llm.chunk_dedup import GEAR, chunk_dedup, cuts, gear, long_runs
 from tessera.llm.shared import text_bytes
 from tessera.llm.suffix_dedup import runs, sliding_minimum, suffix_dedup
 from tests.llm.data import documents, frame, words
@@ -94,38 +95,60 @@ def test_chunks_by_hand():
         assert list(zip(starts, ends)) == brute_chunks([(1, text)])[0][3]
 
 
-def test_copies_of_chunks_go(spark):
-    rows = documents()
-    got = chunk_dedup(frame(spark, rows)).collect()
-    assert len(got) == len(rows)
-    by_id = defaultdict(list)
-    raws = defaultdict(list)
-    for r in rows:
-        raws[r[0]].append((r[1] or "").encode())
-    for g in got:
-        by_id[g.doc_id].append(g)
-        fits = []
-        for raw in raws[g.doc_id]:
-            flags = bytearray(len(raw))
-            for s in g.spans or ():
-                flags[s.start : s.start + s.length] = b"\1" * s.length
-            fits.append((len(raw), sum(flags), spans(flags), hashlib.sha256(bytes(b for b, f in zip(raw, flags) if not f)).hexdigest()))
-        assert (g.n_bytes, g.n_removed, g.n_spans, g.kept_sha256) in fits
-    seen = Counter()
-    for g in got:
-        raw = next(r for r in raws[g.doc_id] if len(r) == g.n_bytes)
-        gone = {s.start for s in g.spans or ()}
-        for s in g.spans or ():
-            assert raw[s.start : s.start + s.length] in b"".join(b for o in raws.values() for b in o)
-        seen[g.doc_id] += len(gone)
-    # exact copies: the first keeps all, the later ones nothing
-    copies = [r[0] for r in rows if r[1] == rows[4][1] and r[1]]
-    assert by_id[min(copies)][0].n_removed < by_id[min(copies)][0].n_bytes or len(rows[4][1]) < 48
-    assert all(by_id[i][0].n_removed == by_id[i][0].n_bytes for i in copies if i != min(copies))
-    # the passage that many documents share stays once
-    passage = " ".join(words(90, 7001))
-    holders = [r[0] for r in rows if passage in (r[1] or "")]
-    assert len(holders) > 3 and all(by_id[i][0].n_removed > 0.5 * len(passage) for i in holders[1:])
+def brute_dedup(rows, hashes, least=24, most=128, bits=4, run=64):
+    """The whole result by plain loops: every chunk, its first place, the runs of the others."""
+    firsts, done = {}, {}
+    chunked = {(id_, text): (raw, found) for id_, text, raw, found in brute_chunks(rows, least, most, bits)}
+    for (id_, text), (raw, found) in chunked.items():
+        for a, b in found:
+            if b - a >= least or (a, b) == (0, len(raw)):
+                place = (id_ is None, id_ or 0, hashes[text], a)
+                firsts[raw[a:b]] = min(firsts.get(raw[a:b], place), place)
+    for (id_, text), (raw, found) in chunked.items():
+        copied = [(a, b) for a, b in found if (b - a >= least or (a, b) == (0, len(raw))) and firsts[raw[a:b]] < (id_ is None, id_ or 0, hashes[text], a)]
+        flags = bytearray(len(raw))
+        for a, b in copied:
+            flags[a:b] = b"\1" * (b - a)
+        for m in re.finditer(b"\1+", bytes(flags)):
+            if len(m[0]) < run and len(m[0]) < len(raw):
+                flags[m.start() : m.end()] = bytes(len(m[0]))
+        kept = bytes(x for x, f in zip(raw, flags) if not f)
+        done[id_, text] = (id_, len(raw), sum(flags), spans(flags), hashlib.sha256(kept).hexdigest())
+    out, seen = [], set()
+    for id_, text, *_ in rows:
+        name = id_, text or ""
+        n = done[name][1]
+        out.append((id_, n, n, int(n > 0), hashlib.sha256(b"").hexdigest()) if name in seen else done[name])
+        seen.add(name)
+    return out
+
+
+@pytest.mark.parametrize("settings", [{}, {"least": 48, "most": 160, "bits": 5, "run": 200}, {"run": 1}])
+def test_whole_result_by_plain_loops(spark, settings):
+    rows = [r for r in documents() if len(r[1] or "") < 5000]
+    rows += [(700 + i, " ".join(words(12, 9)) + f" tail {i} " + " ".join(words(20, 50 + i)), "", "", 0) for i in range(6)]  # short shared starts
+    rows += [(800, "copied short", "", "", 0), (801, "copied short", "", "", 0), (801, "copied short", "", "", 0)]
+    texts = sorted({r[1] or "" for r in rows})
+    hashes = {r.t: r.h for r in spark.createDataFrame([(t,) for t in texts], "t string").selectExpr("t", "xxhash64(t) h").collect()}
+    got = chunk_dedup(frame(spark, rows), **settings).collect()
+    assert Counter((g.doc_id, g.n_bytes, g.n_removed, g.n_spans, g.kept_sha256) for g in got) == Counter(brute_dedup(rows, hashes, **settings))
+    # the spans are what was removed
+    assert all(g.n_removed == sum(s.length for s in g.spans or ()) for g in got)
+
+
+def test_chunks_do_not_depend_on_the_text_before():
+    texts = [" ".join(words(40, i)) for i in range(50)]
+    together = list(zip(*cuts(*text_bytes(pa.array(texts)), 24, 128, 4)))
+    data, offsets = text_bytes(pa.array(texts))
+    for i, t in enumerate(texts):
+        alone = list(zip(*cuts(*text_bytes(pa.array([t])), 24, 128, 4)))
+        assert [(a, b) for _, a, b in alone] == [(a - offsets[i], b - offsets[i]) for r, a, b in together if r == i]
+
+
+def test_short_runs_stay():
+    s = lambda *x: [{"start": a, "length": b} for a, b in x]
+    assert long_runs(s((40, 30), (0, 40), (100, 30)), 64, 200) == s((0, 40), (40, 30))
+    assert long_runs(s((0, 30)), 64, 30) == s((0, 30)) and long_runs(s((0, 30)), 64, 31) == [] and long_runs(None, 64, 0) == []
 
 
 def test_insertions_shift_only_their_chunk(spark):
