@@ -172,27 +172,69 @@ def repeated_runs(texts: DataFrame, length: int) -> Table:
     return out
 
 
+def surviving(texts: DataFrame, repeated: DataFrame, length: int) -> DataFrame:
+    """k0, k1, p and the names of the first two quarters of every string whose run was repeated, and of the strings half a length on."""
+    quarter, mask = length // 4, (1 << BITS) - 1
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                raw = np.frombuffer(batch["text"][i].as_py().encode(), np.uint8)
+                items = np.array(batch["items"][i].as_py())
+                flags = np.zeros(len(raw) + 1, np.int32)
+                for shift in (0, length // 2):  # starts, and where their second halves start
+                    np.add.at(flags, (items >> 2 * BITS) - (items & mask) + shift, 1)
+                    np.add.at(flags, (items >> 2 * BITS) - (items >> BITS & mask) + 1 + shift, -1)
+                p = np.flatnonzero(np.cumsum(flags)[: len(raw)] > 0)
+                sums = prefix_hash(raw)
+                names = [span_hash(sums, p + k * quarter, p + (k + 1) * quarter).view(np.int64) for k in (0, 1)]
+                keys = [pa.array(np.full(len(p), batch[k][i].as_py())) for k in ("k0", "k1")]
+                yield pa.RecordBatch.from_arrays([*keys, pa.array(p), *map(pa.array, names)], ["k0", "k1", "p", "r1", "r2"])
+
+    lists = repeated.groupBy("k0", "k1").agg(F.collect_list("run").alias("items"))
+    return texts.select("k0", "k1", "text").join(lists, ["k0", "k1"]).select("k0", "k1", "text", "items").mapInArrow(
+        scan, "k0 long, k1 long, p long, r1 long, r2 long")
+
+
+def rerank(pairs: DataFrame, name: str) -> Table:
+    """k0, k1, p and r: the rank of the sorted pair (r1, r2), and n, how many positions have it.
+
+    Pairs are range-partitioned and sorted; a rank is the place of its first pair in its partition, with the partition."""
+    ordered = pairs.repartitionByRange("r1", "r2").sortWithinPartitions("r1", "r2")
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        base, last, rank = TaskContext.get().partitionId() << 40, None, -1
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            both = np.stack([batch[c].to_numpy() for c in ("r1", "r2")], 1)
+            new = np.ones(len(both), bool)
+            new[1:] = (both[1:] != both[:-1]).any(1)
+            new[0] = last is None or tuple(both[0]) != last
+            ranks = rank + np.cumsum(new)
+            rank, last = int(ranks[-1]), tuple(both[-1])
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in ("k0", "k1", "p")), pa.array(base + ranks)], ["k0", "k1", "p", "r"])
+
+    return Table(ordered.mapInArrow(scan, "k0 long, k1 long, p long, r long"), name)
+
+
 def repeated_strings(texts: DataFrame, length: int, cell: int) -> list[Table]:
-    """Tables of k0, k1, a, b: parts of texts that are covered by repeated strings."""
+    """Tables of k0, k1, a, b: parts of texts that are covered by repeated strings, by prefix doubling
+    (a quarter, half, the whole length) of the positions whose run was repeated."""
     repeated = repeated_runs(texts, length)
-    found = Table(cells(texts, repeated.df, length, cell), "cells")
+    half = rerank(surviving(texts, repeated.df, length), "half")
     repeated.drop()
-    kinds = Table(found.df.groupBy("c0", "c1", "f0", "f1").agg(F.count("*").alias("n"), F.min(F.struct("k0", "k1", "a", "b")).alias("one")), "kinds")
-    twice = Table(kinds.df.where("n > 1").select("c0", "c1", "f0", "f1"), "twice")
-    whole = Table(found.df.join(twice.df, ["c0", "c1", "f0", "f1"]).select("k0", "k1", "a", "b"), "whole")
-    found.drop()
-    twice.drop()
-    mixed = Table(kinds.df.groupBy("c0", "c1").agg(F.count("*").alias("m")).where("m > 1").select("c0", "c1"), "mixed")
-    each = Table(kinds.df.join(mixed.df, ["c0", "c1"]).select("one.*"), "each")
-    kinds.drop()
-    mixed.drop()
-    single = Table(strings(texts, each.df, length), "strings")
-    each.drop()
-    again = Table(single.df.groupBy("w0", "w1").agg(F.count("*").alias("n")).where("n > 1").select("w0", "w1"), "again")
-    parts = Table(single.df.join(again.df, ["w0", "w1"]).select("k0", "k1", F.col("p").alias("a"), (F.col("p") + length).alias("b")), "parts")
-    single.drop()
+    second = half.df.select("k0", "k1", (F.col("p") - length // 2).alias("p"), F.col("r").alias("r2"))
+    pairs = half.df.select("k0", "k1", "p", F.col("r").alias("r1")).join(second, ["k0", "k1", "p"])
+    whole = rerank(pairs, "whole")
+    half.drop()
+    again = Table(whole.df.groupBy("r").agg(F.count("*").alias("n")).where("n > 1").select("r"), "again")
+    parts = Table(whole.df.join(again.df, "r").select("k0", "k1", F.col("p").alias("a"), (F.col("p") + length).alias("b")), "parts")
+    whole.drop()
     again.drop()
-    return [whole, parts]
+    return [parts]
 
 
 def suffix_dedup(docs: DataFrame, length: int = 400, cell: int = 32) -> DataFrame:
@@ -218,7 +260,7 @@ def suffix_dedup(docs: DataFrame, length: int = 400, cell: int = 32) -> DataFram
                 [batch["k0"], batch["k1"], *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3])],
                 ["k0", "k1", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    lists = parts[0].df.unionByName(parts[1].df).groupBy("k0", "k1").agg(F.collect_set(F.struct("a", "b")).alias("items"))
+    lists = parts[0].df.groupBy("k0", "k1").agg(F.collect_set(F.struct("a", "b")).alias("items"))
     done = Table(texts.join(lists, ["k0", "k1"], "left").select("k0", "k1", "text", "copies", "items").mapInArrow(
         cut, "k0 long, k1 long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"), "cut")
     for part in parts:
