@@ -1,12 +1,17 @@
 """Exact top-k by inner product without random access (NRA).
 
-Vectors are dealt into blocks.  In a block every component is a sorted list, read
-from the end that a query's sign prefers, a growing number of places at a time.  What
-has been read bounds each vector's score from below (unread components at the
-list's far end) and above (unread components at the frontier).  A query stops
-as soon as no vector outside a short list can reach its k-th lower bound;
-the exact scores of that list are then resolved.  All queries of a block are
-bounded together by matrix products.
+Vectors are dealt into blocks.  In a block every component is a sorted list, read from the end
+that a query's sign prefers, some more places of every list at a time.  Only places that are read
+change anything: a read component takes its vector's lower bound from the list's far end, and its upper bound
+from the list's frontier, to the component itself; where the frontier moves, the vectors read
+before keep their component and the others fall with it.  A query stops as soon as no vector outside a
+short list can reach its k-th lower bound; the exact scores of that list are then resolved.  The
+queries of a block are read for together, each read place being one row of bounds over all that prefer its end.
+
+Lists that are sorted and read pay where scores hang on few components.  Where many components
+of like size add up (dense random vectors), bounds close late and most of every list is read: see ``read`` of :func:`nra`.
+Blocks with fewer than ``4 k`` vectors, and components whose sums leave the range in which floats are exact, are not
+read by lists: there every vector is resolved.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part;
 only vectors of one length are compared; a row is never its own candidate,
@@ -32,38 +37,56 @@ def whole(embedding: Column) -> Column:
     return F.coalesce(F.forall(embedding, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))), F.lit(False))
 
 
-def nra(queries: np.ndarray, block: np.ndarray, k: int) -> list[np.ndarray]:
-    """Per query the places in ``block`` that may be among its k best (all ties included)."""
+#: Places read of every list when a query may stop, in sixteenths of the list.
+STOPS = (1, 2, 4, 6, 8, 10, 12, 14, 16)
+
+
+def nra(queries: np.ndarray, block: np.ndarray, k: int, read: np.ndarray | None = None) -> list[np.ndarray]:
+    """Per query the places in ``block`` that may be among its k best (all ties included).
+
+    ``read`` (one number per query) takes the list entries read for each; all of them are ``block.size``."""
     n, d = block.shape
-    if n <= 4 * k or not d:
-        return [np.arange(n)] * len(queries)
     largest = float(np.abs(queries).max(initial=0)) * float(np.abs(block).max(initial=0)) * d
-    if largest >= 2.0**53:
+    if n <= 4 * k or not d or largest >= 2.0**51:
+        if read is not None:
+            read[:] = block.size
         return [np.arange(n)] * len(queries)
-    kind = np.float32 if largest < 2**23 else np.float64  # sums are exact in either
-    up, down = np.maximum(queries, 0).astype(kind), np.minimum(queries, 0).astype(kind)
-    x = block.astype(kind)
-    lists = np.sort(x, axis=0)
+    kind = np.float32 if largest < 2**21 else np.float64  # bounds are sums of up to three times that, exact in either
+    order = np.argsort(block, axis=0, kind="stable")
+    lists = np.take_along_axis(block, order, 0).astype(kind)
     found: list[np.ndarray | None] = [None] * len(queries)
-    open_ = np.arange(len(queries))
-    depth = max(1, n // 8)
-    while len(open_):
-        high, low = lists[n - depth], lists[depth - 1]  # the frontiers from either end
-        top = np.concatenate([np.maximum(x, high), np.minimum(x, low)], 1).T
-        floor = np.concatenate([np.where(x >= high, x, lists[0]), np.where(x <= low, x, lists[-1])], 1).T
-        rest = []
-        for at in range(0, len(open_), QUERY_BATCH):
-            some = open_[at : at + QUERY_BATCH]
-            signed = np.concatenate([up[some], down[some]], 1)
-            lower, upper = signed @ floor, signed @ top
-            need = np.partition(lower, n - k, axis=1)[:, n - k]
-            near = upper >= need[:, None]
-            for i, count in zip(range(len(some)), near.sum(1)):
-                if count <= 8 * k or depth == n:
-                    found[some[i]] = np.flatnonzero(near[i])
-                else:
-                    rest.append(some[i])
-        open_, depth = np.array(rest, np.int64), min(n, 2 * depth)
+    for at in range(0, len(queries), QUERY_BATCH):
+        some = np.arange(at, min(at + QUERY_BATCH, len(queries)))
+        signed = np.maximum(queries[some], 0).T.astype(kind), np.minimum(queries[some], 0).T.astype(kind)
+        # bounds of every vector (row) for every query (column) when nothing is read; ``above`` is what it has over the frontiers
+        lower = np.tile(lists[0] @ signed[0] + lists[-1] @ signed[1], (n, 1))
+        above = np.zeros((n, len(some)), kind)
+        before = 0
+        for stop in STOPS:
+            depth = max(before, min(n, -(-n * stop // 16)))
+            for j in range(d):
+                for weight, far, places, values in ((signed[0][j], lists[0, j], order[::-1, j], lists[::-1, j]), (signed[1][j], lists[-1, j], order[:, j], lists[:, j])):
+                    if not weight.any():
+                        continue
+                    new, frontier = places[before:depth], values[depth - 1]
+                    lower[new] += (values[before:depth] - far)[:, None] * weight
+                    above[new] += (values[before:depth] - frontier)[:, None] * weight
+                    if before and values[before - 1] != frontier:
+                        above[places[:before]] += (values[before - 1] - frontier) * weight
+            before = depth
+            upper = lists[n - depth] @ signed[0] + lists[depth - 1] @ signed[1] + above
+            need = np.partition(lower, n - k, axis=0)[n - k]
+            near = upper >= need
+            ends = (near.sum(0) <= 8 * k) | (depth == n)
+            for c in np.flatnonzero(ends):
+                found[some[c]] = np.flatnonzero(near[:, c])
+                if read is not None:
+                    read[some[c]] = depth * d
+            if ends.all():
+                break
+            goes = ~ends
+            some, lower, above = some[goes], np.ascontiguousarray(lower[:, goes]), np.ascontiguousarray(above[:, goes])
+            signed = tuple(np.ascontiguousarray(x[:, goes]) for x in signed)
     return found
 
 

@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm.topk import nra, scores, top_k
@@ -33,11 +34,12 @@ def test_same_as_brute_force(spark):
         assert sorted(map(tuple, got), key=str) == brute(data, 9)
 
 
-def test_bounds_keep_the_best_and_stop_early():
+@pytest.mark.parametrize("d", [1, 3, 24])
+def test_bounds_keep_the_best(d):
     r = np.random.default_rng(4)
-    block = np.floor(64 * r.normal(size=(4000, 24))).astype(np.int64)
+    block = np.floor(64 * r.normal(size=(4000, d))).astype(np.int64)
     block[:40] = block[40:41] // 2  # ties
-    queries = np.concatenate([block[:30] + r.integers(-9, 9, (30, 24)), np.zeros((1, 24), np.int64)])
+    queries = np.concatenate([block[:30] + r.integers(-9, 9, (30, d)), np.zeros((1, d), np.int64), -block[50:200]])
     found = nra(queries, block, 20)
     for q, near in zip(queries, found):
         exact = block @ q
@@ -45,6 +47,26 @@ def test_bounds_keep_the_best_and_stop_early():
     assert np.mean([len(f) for f in found[:30]]) < 400
 
 
+def read_share(block, queries, k=20):
+    read = np.zeros(len(queries))
+    for q, near in zip(queries, nra(queries, block, k, read)):
+        exact = block @ q
+        assert set(np.flatnonzero(exact >= np.sort(exact)[-k])) <= set(near)
+    assert (0 < read).all() and (read <= block.size).all()
+    return read.mean() / block.size
+
+
+def test_entries_read():
+    """Of n x d entries: few where some components decide, most where many of like size add up."""
+    r = np.random.default_rng(9)
+    normal = lambda *size: np.floor(64 * r.normal(size=size))
+    steep, flat = normal(8192, 64) * 0.4 ** np.arange(64), normal(8192, 64) * 0.7 ** np.arange(64)
+    tails = np.floor(64 * r.exponential(size=(8192, 8)) ** 3)
+    steep, flat, tails, dense = (x.astype(np.int64) for x in (np.floor(steep), np.floor(flat), tails, normal(8192, 64)))
+    assert read_share(tails, tails[:40]) < 0.1 and read_share(steep, steep[:40]) < 0.25 and read_share(flat, flat[:40]) < 0.5
+    assert read_share(dense, dense[:40]) > 0.8
+
+
 def test_huge_components():
     q, x = np.array([2**62, 2**62]), np.array([[2**62, 1], [-(2**62), 0], [1, 1]])
     assert scores(q, x).tolist() == [2**63 - 1, -(2**63), 2**63 - 1]
