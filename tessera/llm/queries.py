@@ -63,6 +63,21 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(read(spark, sf_dir, "embeddings"))
 
 
+def perturbed(vectors: DataFrame, offset: int = 10**9) -> DataFrame:
+    """The vectors and a copy of each with ids ``offset`` on and noise that depends on id and place: four of
+    five copies near their vector, the fifth farther away."""
+    size = F.when(F.col("vec_id") % 5 == 0, 45.0).otherwise(150.0)
+    noise = lambda x, i: x.cast("double") + (F.pmod(F.col("vec_id") * 7 + i * 13, F.lit(11)) - 5) / size
+    doubles = vectors.select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("embedding"), "label")
+    copies = vectors.select((F.col("vec_id") + offset).alias("vec_id"), F.transform("embedding", noise).alias("embedding"), "label")
+    return doubles.unionByName(copies)
+
+
+def embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate operator on vectors and perturbed copies of them, so that there are links to find."""
+    return embedding_dedup.near_duplicates(perturbed(read(spark, sf_dir, "embeddings")))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer_path())
 
@@ -79,9 +94,14 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.suffix_dedup(read(spark, sf_dir, "documents"))
 
 
+def url_rules(spark: SparkSession) -> DataFrame:
+    """The rules as literals of the plan: no Python worker reads them."""
+    rule = lambda action, host, path: F.struct(F.lit(action).alias("action"), F.lit(host).alias("host"), F.lit(path).alias("path"))
+    return spark.range(1, numPartitions=1).select(F.inline(F.array(*[rule(*r) for r in URL_RULES])))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(URL_RULES, "action string, host string, path string")
-    return url_filter.judge_urls(read(spark, sf_dir, "pages").select("page_id", "url"), rules).drop("url")
+    return url_filter.judge_urls(read(spark, sf_dir, "pages").select("page_id", "url"), url_rules(spark)).drop("url")
 
 
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -120,7 +140,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: query(f)
     for f in (op1_mixing, op2_embedding_dedup, op3_packing, op4_pii, op5_toxicity, op6_suffix_dedup,
               op7_url_filter, op8_topk, op9_ngram_join, op10_chunk_dedup, op11_warc, op12_fill_middle,
-              op13_conversation_repair, pipeline)
+              op13_conversation_repair, embedding_links, pipeline)
 }
 
 _WORDS = r"len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))"
@@ -206,6 +226,29 @@ WITH RECURSIVE v AS (
   SELECT l.a, reach.v FROM reach JOIN l ON l.b = reach.uid
 ), n AS (SELECT a, count(*) AS n FROM l GROUP BY a), c AS (SELECT uid, min(v) AS c FROM reach GROUP BY uid)
 SELECT vec_id, coalesce(n, 0) AS n_links, c AS component_id, vec_id IS NOT DISTINCT FROM c AS kept
+FROM v JOIN c USING (uid) LEFT JOIN n ON n.a = v.uid""",
+    "embedding_links": r"""
+WITH RECURSIVE given AS (
+  SELECT vec_id, label, embedding::DOUBLE[] AS embedding FROM embeddings
+  UNION ALL
+  SELECT vec_id + 1000000000, label,
+         [x::DOUBLE + ((vec_id * 7 + (i - 1) * 13) % 11 - 5) / CASE WHEN vec_id % 5 = 0 THEN 45.0::DOUBLE ELSE 150.0::DOUBLE END for x, i in embedding]
+  FROM embeddings
+), v AS (
+  SELECT vec_id, row_number() OVER () AS uid, label,
+         CASE WHEN label IS NOT NULL AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
+               AND len([x for x in embedding if x <> 0]) > 0 THEN embedding::DOUBLE[] END AS e
+  FROM given
+), l AS (
+  SELECT a.uid AS a, b.uid AS b
+  FROM v a JOIN v b ON a.label = b.label AND a.uid <> b.uid AND len(a.e) = len(b.e)
+   AND list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.93
+), reach AS (
+  SELECT uid, vec_id AS v FROM v
+  UNION
+  SELECT l.a, reach.v FROM reach JOIN l ON l.b = reach.uid
+), n AS (SELECT a, count(*) AS n FROM l GROUP BY a), c AS (SELECT uid, min(v) AS c FROM reach GROUP BY uid)
+SELECT vec_id, coalesce(n, 0) AS n_links, c AS component_id, vec_id IS NOT DISTINCT FROM c AS kept
 FROM v JOIN c USING (uid) LEFT JOIN n ON n.a = v.uid""",
     "op9_ngram_join": r"""
 WITH RECURSIVE t AS (

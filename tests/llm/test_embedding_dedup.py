@@ -1,12 +1,13 @@
 import math
 import random
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 
-from tessera.llm.embedding_dedup import near_duplicates
+from tessera.llm.embedding_dedup import candidates, cosines_reach, near_duplicates
 from tessera.llm.shared import components
-from tests.conftest import SF_MID
+from tessera.llm.queries import QUERIES
+from tests.conftest import SF_MID, SF_SMALL
 
 SCHEMA = "vec_id long, embedding array<float>, label int, id int, near string"
 
@@ -42,7 +43,7 @@ def brute(data, threshold=0.93):
 def test_recall_and_no_false_link(spark):
     data = rows()
     links = brute(data)
-    for settings in ({}, {"block": 16}):
+    for settings in ({}, {"block": 16}, {"long_list": 8, "block": 16}):
         got = near_duplicates(spark.createDataFrame(data, SCHEMA).repartition(3), **settings).collect()
         assert len(got) == len(data)
         found = sum(g.n_links for g in got)
@@ -65,8 +66,8 @@ def test_large_groups_of_near_copies(spark):
     r = np.random.default_rng(5)
     x = r.normal(size=64) + r.normal(size=(300, 64)) * 0.05
     data = [(i, [float(v) for v in e], 1, 0, "") for i, e in enumerate(x)]
-    for block in (1024, 32):
-        got = near_duplicates(spark.createDataFrame(data, SCHEMA), block=block).collect()
+    for settings in ({}, {"block": 32}, {"block": 32, "long_list": 50}):
+        got = near_duplicates(spark.createDataFrame(data, SCHEMA), **settings).collect()
         assert {(g.n_links, g.component_id) for g in got} == {(299, 0)}
 
 
@@ -86,6 +87,68 @@ def test_recall_on_given_vectors(spark):
     assert np.mean([got[b.vec_id].n_links > 0 for b in base]) > 0.9
 
 
+def orders(x, pivots, order):
+    return np.argsort(-(x @ pivots.T), axis=1, kind="stable")[:, :order].astype(np.int32)
+
+
+def planted(pivots, n, d=64, cos=0.931, seed=3):
+    """Vectors and others right above the threshold, and the orders of both."""
+    r = np.random.default_rng(seed)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    at, x, z = unit(r.normal(size=(pivots, d))), unit(r.normal(size=(n, d))), r.normal(size=(n, d))
+    z = unit(z - (z * x).sum(1, keepdims=True) * x)
+    return orders(x, at, 16), orders(cos * x + math.sqrt(1 - cos * cos) * z, at, 16)
+
+
+def test_recall_and_pruning_with_all_pivots():
+    """4,096 pivots, cosine 0.931: lists and counts keep the pair, also where lists are split; other pairs of a list go."""
+    a, b = planted(4096, 1500)
+    common = lambda x, y, n: np.array([len(set(i[:n]) & set(j[:n])) for i, j in zip(x, y)])
+    found = (common(a, b, 6) >= 1) & (common(a, b, 16) >= 4)
+    assert found.mean() > 0.98
+    assert (found & (common(a, b, 8) >= 2)).mean() > 0.95
+    many = np.concatenate([a, *(planted(4096, 1500, seed=s)[0] for s in range(4, 20))])
+    lists = defaultdict(list)
+    for i, row in enumerate(many[:, :6]):
+        for p in row:
+            lists[p].append(i)
+    met = kept = 0
+    for p, members in list(lists.items())[:300]:
+        pairs = candidates(many[members], None, int(p), -1, 6, 8, 4)
+        kept += pairs.sum()
+        met += len(members) * (len(members) - 1)
+    assert kept < 0.02 * met
+
+
+def test_a_pair_is_verified_in_one_list():
+    """Over all lists, split or not, each pair with enough pivots in common is a candidate once."""
+    near = np.concatenate(planted(64, 60))
+    want = {(i, j) for i in range(len(near)) for j in range(i) if set(near[i][:6]) & set(near[j][:6]) and len(set(near[i]) & set(near[j])) >= 4}
+    for split in (False, True):
+        got = Counter()
+        for p in range(64):
+            members = np.flatnonzero((near[:, :6] == p).any(1))
+            for q in range(64) if split else [-1]:
+                some = members if q < 0 else members[(near[members][:, :8] == q).any(1)]
+                if q == p or len(some) < 2:
+                    continue
+                pairs = candidates(near[some], None, p, q, 6, 8, 4)
+                got.update((some[i], some[j]) for i, j in zip(*np.nonzero(np.tril(pairs))))
+        deep = {(i, j) for i, j in want if len(set(near[i][:8]) & set(near[j][:8])) >= 2}
+        assert set(got.values()) == {1}
+        assert set(got) == (want if not split else {x for x in want if x in got}) and (not split or len(got) >= 0.97 * len(deep))
+
+
+def test_cosines_of_candidates_only():
+    r = np.random.default_rng(1)
+    x = r.normal(size=(200, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for share in (0.01, 0.9):
+        ok = np.triu(r.random((200, 200)) < share, 1)
+        ok |= ok.T
+        assert (cosines_reach(x, ok, 0.4) == (ok & (x @ x.T >= 0.4))).all()
+
+
 def test_empty(spark):
     assert near_duplicates(spark.createDataFrame(rows(), SCHEMA).limit(0)).collect() == []
     assert len(near_duplicates(spark.createDataFrame(rows()[700:707], SCHEMA)).collect()) == 7
@@ -108,3 +171,10 @@ def test_components(spark):
     want = {v: find(v) for e in edges if e[0] != e[1] for v in e}
     assert got == want
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_the_registered_query_has_links(spark):
+    got = QUERIES["embedding_links"](spark, SF_SMALL)
+    linked = got.where("n_links > 0").count()
+    assert 0.5 * got.count() < linked < 0.95 * got.count()  # four of five copies are near
+    assert got.where("not kept").count() > 0

@@ -1,8 +1,10 @@
 import random
 
-from tessera.llm.queries import URL_RULES
+from tessera.llm.queries import QUERIES, URL_RULES, url_rules
 from tessera.llm.url_filter import judge_urls
 
+from tests.conftest import SF_SMALL
+
 RULES = "action string, host string, path string"
 
 
@@ -57,3 +59,11 @@ def test_empty(spark):
 def test_no_python_on_the_main_path(spark):
     plan = judge_urls(rows(spark, URLS), spark.createDataFrame(URL_RULES, RULES))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_no_python_reads_the_rules(spark):
+    assert [tuple(r) for r in url_rules(spark).collect()] == URL_RULES
+    query = QUERIES["op7_url_filter"](spark, SF_SMALL)
+    plan = query._jdf.queryExecution().executedPlan().toString()
+    assert "ExistingRDD" not in plan and "Python" not in plan and "Arrow" not in plan
+    assert "Python" not in query._jdf.queryExecution().toRdd().toDebugString()
