@@ -4,6 +4,12 @@ pseudonyms, sources are mixed to weights, and what is left is packed.
 Each stage is (spark, docs, sf_dir) -> DataFrame; its result is written as
 Parquet in the folder of ``spark.checkpoint.dir`` and read again as the next one's
 documents.  All but the last keep the columns of documents.
+
+Defined cases, in every stage: null texts count as empty (toxicity scores them from the bias,
+they join no group of copies, hold no personal data, weigh 0 and pack as their end id); null
+and repeated doc_ids and repeated rows are rows of their own, except that of equal texts one row
+stays; extra columns pass through whatever their names, until packing gives its own; a text is worked through
+whole, in one task; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -25,9 +31,13 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return ngram_join.drop_near_copies(docs)
 
 
+#: Key of the pseudonyms.  A corpus of real people needs one that is kept secret.
+PSEUDONYM_KEY = "key of the pipeline over synthetic documents"
+
+
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The same documents with pseudonyms for personal data."""
-    return pii.pseudonymize_documents(docs, count=False)
+    return pii.pseudonymize_documents(docs, key=PSEUDONYM_KEY, count=False)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
