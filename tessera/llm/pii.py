@@ -6,9 +6,12 @@ allows, is permuted by a Feistel network over that range, and is written
 back in the same format: a card number stays a valid card number with its
 separators, a date a date.  Equal values of a kind get equal pseudonyms in every document, under one key.
 
-Kinds: card (Luhn), iban (mod 97), ssn, phone (last ten digits), ipv4, date
-(1900 to 2099, ``y-m-d``, ``d/m/y``, ``d.m.y``), email (local part), and
-``name=value`` secrets, whose name may hold more word characters, and access keys (letters and digits within their classes).
+Kinds: card (Luhn), iban (mod 97), ssn, phone (last ten digits; also in international and trunk groups), ipv4, date
+(1900 to 2099, ``y-m-d``, ``d/m/y``, ``d.m.y``, and ``m/d/y`` where it can be no ``d/m/y``), email (local part), and
+``name=value`` secrets with a digit or of 12 characters, whose name may hold more word characters, and access keys (letters and digits within their classes).
+Days to the 12th and later days are permuted apart, so that a date keeps the one reading its format allows.
+
+The key is an argument without a default: who has it can undo the pseudonyms.
 
 Defined cases: null text stays null with counts of 0; empty texts stay
 empty; repeated rows get equal results; other columns pass through, columns
@@ -17,11 +20,12 @@ named like the counts are replaced where counts are asked for.
 
 from __future__ import annotations
 
+import calendar
 import datetime
 import hashlib
 import math
 import re
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -94,7 +98,7 @@ def card(f: Feistel, text: str) -> str | None:
 
 def phone(f: Feistel, text: str) -> str | None:
     digits = _digits(text)
-    if len(digits) < 10 or len(set(digits[-10:])) == 1:
+    if not 10 <= len(digits) <= 15 or len(set(digits[-10:])) == 1:
         return None
     return _fill(text, digits[:-10] + _number(f, digits[-10:], "phone"))
 
@@ -117,24 +121,36 @@ def ipv4(f: Feistel, text: str) -> str | None:
     return ".".join(map(str, value.to_bytes(4, "big")))
 
 
-_FIRST, _LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
+YEARS = range(1900, 2100)
+_MONTHS = [(y, m) for y in YEARS for m in range(1, 13)]
+#: Days after the 12th before each month of ``YEARS``.
+_LATE = [0]
+for _y, _m in _MONTHS:
+    _LATE.append(_LATE[-1] + calendar.monthrange(_y, _m)[1] - 12)
+
+
+def permuted_date(f: Feistel, day: datetime.date) -> datetime.date:
+    month = (day.year - YEARS[0]) * 12 + day.month - 1
+    if day.day <= 12:
+        month, number = divmod(f.permute(month * 12 + day.day - 1, 12 * len(_MONTHS), "date"), 12)
+        return datetime.date(*_MONTHS[month], number + 1)
+    late = f.permute(_LATE[month] + day.day - 13, _LATE[-1], "date late")
+    month = bisect_right(_LATE, late) - 1
+    return datetime.date(*_MONTHS[month], 13 + late - _LATE[month])
 
 
 def date(f: Feistel, text: str) -> str | None:
     mark = re.search("[^0-9]", text)[0]
-    parts = text.split(mark)
-    year, month, day = map(int, parts if mark == "-" else parts[::-1])
-    try:
-        days = datetime.date(year, month, day).toordinal()
-    except ValueError:
-        return None
-    if not _FIRST <= days <= _LAST:
-        return None
-    new = datetime.date.fromordinal(_FIRST + f.permute(days - _FIRST, _LAST - _FIRST + 1, "date"))
-    if mark == "-":
-        return new.isoformat()
-    # a day or month of one figure is written with two
-    return f"{new.day:02d}{mark}{new.month:02d}{mark}{new.year}"
+    first, second, last = map(int, text.split(mark))
+    readings = {"-": [(first, second, last)], "/": [(last, second, first), (last, first, second)], ".": [(last, second, first)]}[mark]
+    for american, (year, month, day) in enumerate(readings):
+        if year in YEARS and 1 <= month <= 12 and 1 <= day <= calendar.monthrange(year, month)[1]:
+            new = permuted_date(f, datetime.date(year, month, day))
+            if mark == "-":
+                return new.isoformat()
+            # a day or month of one figure is written with two
+            return f"{new.month:02d}{mark}{new.day:02d}{mark}{new.year}" if american else f"{new.day:02d}{mark}{new.month:02d}{mark}{new.year}"
+    return None
 
 
 _CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
@@ -178,7 +194,7 @@ def email(f: Feistel, text: str) -> str | None:
 def secret(f: Feistel, text: str) -> str | None:
     named = re.match(r"(?s)(.*?[=:]\s*[\"']?)(.*)", text)
     lead, value = named.groups() if named else (text[:4], text[4:])
-    if not re.search("[0-9]", value):
+    if len(value) < 12 and not re.search("[0-9]", value):
         return None
     hexes = re.fullmatch("[0-9a-f]+", value)
     return lead + by_class(f, value, "secret", ("0123456789", "abcdef") if hexes else _CLASSES)
@@ -192,7 +208,8 @@ PATTERNS: list[tuple[str, str, Callable[[Feistel, str], str | None]]] = [
     ("ssn", r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])", ssn),
     ("date", r"(?<![\w./-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}([./])[0-9]{1,2}\1[0-9]{4})(?![\w/-])", date),
     ("ipv4", r"(?<![\w.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?!\.?\w)", ipv4),
-    ("phone", r"(?<![\w+(])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?!\w)|(?<!\w)\+[0-9]{10,14}(?!\w)", phone),
+    ("phone", r"(?<![\w+(])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?!\w)|(?<!\w)\+[0-9]{10,14}(?!\w)"
+              r"|(?<!\w)\+[1-9][0-9]{0,2}(?:[ .-](?:\(0\)[ .-]?)?[0-9]{1,8}){2,6}(?!\w)|(?<![\w.,+-])0[1-9][0-9]{1,4}[ /-][0-9]{6,8}(?![\w-])", phone),
     # cards in their usual groups come before any other digits that pass the check
     ("card", r"(?<!\w)(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?:\1[0-9]{3})?|[0-9]{4}([ -])[0-9]{6}\2[0-9]{4,5})(?!\w)", card),
     ("card", r"(?<!\w)[0-9](?:[ -]?[0-9]){12,18}(?!\w)", card),
@@ -250,8 +267,12 @@ def pseudonymize(text: str, feistel: Feistel, known: dict[tuple[str, str], str |
 COMPILED = [(name, re.compile(pattern), make) for name, pattern, make in PATTERNS]
 
 
-def pseudonymize_documents(docs: DataFrame, key: str = "tessera", column: str = "text", count: bool = True) -> DataFrame:
-    """``docs`` with ``column`` rewritten and, if ``count``, a count ``n_<kind>`` per kind."""
+def pseudonymize_documents(docs: DataFrame, key: str, column: str = "text", count: bool = True) -> DataFrame:
+    """``docs`` with ``column`` rewritten and, if ``count``, a count ``n_<kind>`` per kind.
+
+    ``key`` decides on the pseudonyms: equal values have equal ones in all corpora of one key."""
+    if not key:
+        raise ValueError("pseudonyms need a key")
     names = [f"n_{k}" for k in KINDS] if count else []
     given = docs.select(*columns(docs, without=tuple(names)))
     rest = given.columns

@@ -82,8 +82,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+#: Key of the query's pseudonyms.  A corpus of real people needs one that is kept secret.
+PSEUDONYM_KEY = "key of the query over synthetic documents"
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymize_documents(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pii.pseudonymize_documents(read(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ of the smallest hash of doc_id; scoring covers all documents.
 
 Defined cases: null and empty texts score from the bias alone; a null doc_id
 counts as the empty text for the remainder and has no label; labels repeated
-for a doc_id count as toxic if any is; documents repeated are scored each; without labelled
+for a doc_id count as toxic if any is; of texts under one doc_id one is learned; documents repeated are scored each; without labelled
 rows every score is 0.5 or less (the bias is 0 and 0.5 is lowered to just below); empty tables give no rows.
 """
 
@@ -96,12 +96,17 @@ def fold(doc_id: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int, label: str = "toxic") -> DataFrame:
-    """text and label of up to ``max_rows`` labelled documents outside the held-out fold."""
+    """doc_id, text and label of up to ``max_rows`` labelled documents outside the held-out fold.
+
+    One text for each id, that of the smallest hash: ids that many rows repeat cost one row a task, and the fit
+    gets at most ``max_rows`` rows whatever the documents."""
     marked = (labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold(F.col("doc_id")) != 0))
               .groupBy("doc_id").agg(F.max(label).cast("int").alias("label")))
     sample = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     # at most max_rows ids of 12 bytes: a proven bound
-    return docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "label")
+    text = F.coalesce("text", F.lit(""))
+    named = docs.select("doc_id", text.alias("text")).join(F.broadcast(sample), "doc_id")
+    return named.groupBy("doc_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("doc_id", "text", "label")
 
 
 def train(docs: DataFrame, labels: DataFrame, params: FtrlParams = FtrlParams()) -> tuple[float, np.ndarray, np.ndarray]:
@@ -117,15 +122,12 @@ def train(docs: DataFrame, labels: DataFrame, params: FtrlParams = FtrlParams())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), lists, batch.column(2).slice(first, len(texts))], ["doc_id", "places", "label"])
 
     def fit(_: tuple, table: pa.Table) -> pa.Table:
-        # a fixed order, so that reruns agree; repeated documents count once
+        # a fixed order, so that reruns agree
         order = np.lexsort((mix64(table["doc_id"].to_numpy().astype(np.uint64)),))
         lists = table["places"].combine_chunks()
         values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
-        ids, labels_ = table["doc_id"].to_numpy()[order], table["label"].to_numpy()[order]
-        _, once = np.unique(ids, return_index=True)
-        once = np.sort(once)
-        rows = [values[ends[i] : ends[i + 1]] for i in order[once]]
-        bias, w = fit_ftrl(rows, labels_[once].astype(float), params)
+        rows = [values[ends[i] : ends[i + 1]] for i in order]
+        bias, w = fit_ftrl(rows, table["label"].to_numpy()[order].astype(float), params)
         at = np.flatnonzero(w)
         return pa.table({"place": pa.array(np.append(at, -1).astype(np.int32)), "weight": pa.array(np.append(w[at], bias))})
 

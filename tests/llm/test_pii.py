@@ -1,8 +1,9 @@
+import random
 import re
 
 import pytest
 
-from tessera.llm.pii import KINDS, Feistel, luhn_digit, pseudonymize, pseudonymize_documents
+from tessera.llm.pii import KINDS, Feistel, luhn_digit, permuted_date, pseudonymize, pseudonymize_documents
 from tests.llm.data import frame
 
 F = Feistel(b"test")
@@ -39,6 +40,109 @@ def test_values_keep_their_format(kind):
         assert pseudonymize(f"x {value} {value}", F, {})[0].count(text[2:-3]) == 2
 
 
+def test_dates_are_permuted_within_their_reading():
+    import calendar
+    import datetime
+
+    start, days = datetime.date(1900, 1, 1), 73049
+    all_ = [start + datetime.timedelta(i) for i in range(0, days, 3)]
+    new = [permuted_date(F, d) for d in all_]
+    assert len(set(new)) == len(all_) and all((a.day <= 12) == (b.day <= 12) for a, b in zip(all_, new))
+    assert min(new) >= start and max(new) <= datetime.date(2099, 12, 31) and sum(a == b for a, b in zip(all_, new)) < 9
+    forms = ["2020-12-25", "25/12/2020", "25.12.2020", "12/25/2020"]
+    out = [pseudonymize(f"on {v}.", F, {}) for v in forms]
+    assert [c for _, c in out] == [{"date": 1}] * 4
+    y, m, d = map(int, out[0][0][3:-1].split("-"))
+    assert [t for t, _ in out] == [f"on {y}-{m:02d}-{d:02d}.", f"on {d:02d}/{m:02d}/{y}.", f"on {d:02d}.{m:02d}.{y}.", f"on {m:02d}/{d:02d}/{y}."]
+    assert calendar.monthrange(y, m)[1] >= d > 12
+    assert pseudonymize("13/13/2020 12.25.2020 2020-25-12", F, {})[1] == {}
+
+
+@pytest.mark.parametrize("value", ["0171 1234567", "+44 20 7946 0958", "+49 170 1234567", "+33 1 23 45 67 89", "0301/1234567"])
+def test_grouped_phones(value):
+    new, counts = pseudonymize(f"call {value} now", F, {})
+    assert counts == {"phone": 1} and value not in new and re.sub("[0-9]", "9", new) == re.sub("[0-9]", "9", f"call {value} now")
+
+
+@pytest.mark.parametrize("text,kept", [("password=correcthorsebattery", False), ("password: hunting", True), ("token=abc1def2", False)])
+def test_secrets_without_digits(text, kept):
+    assert (pseudonymize(text, F, {})[0] == text) == kept
+
+
+def check_luhn(number):
+    """Whether the digits of a number pass, doubled by a table."""
+    digits = [int(c) for c in number if c.isdigit()][::-1]
+    return sum(d if i % 2 == 0 else [0, 2, 4, 6, 8, 1, 3, 5, 7, 9][d] for i, d in enumerate(digits)) % 10 == 0
+
+
+def check_iban(number):
+    number = number.replace(" ", "")
+    rest = 0
+    for c in number[4:] + number[:4]:
+        for digit in str(ord(c) - 55 if c.isalpha() else int(c)):
+            rest = (rest * 10 + int(digit)) % 97
+    return rest == 1
+
+
+def test_running_text_by_a_scanner_of_its_own():
+    """Generated values, valid and spoilt, among words: exactly the valid ones change, each into a valid value of its form."""
+    r = random.Random(12)
+    number = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+
+    def card_():
+        body = r.choice("3456") + number(14)
+        return next(body + c for c in "0123456789" if check_luhn(body + c))
+
+    def iban_():
+        body = "".join(r.choice("0123456789ABCXYZ") for _ in range(18))
+        return next(f"DE{c:02d}{body}" for c in range(2, 99) if check_iban(f"DE{c:02d}{body}"))
+
+    makers = {
+        "card": (card_, check_luhn), "iban": (iban_, check_iban),
+        "ssn": (lambda: f"{r.randrange(1, 666):03d}-{r.randrange(1, 99):02d}-{r.randrange(1, 9999):04d}", lambda v: "000" not in v[:3] and v[:3] != "666"),
+        "ipv4": (lambda: ".".join(str(r.randrange(256)) for _ in range(4)), lambda v: all(int(x) < 256 for x in v.split("."))),
+        "date": (lambda: f"{r.randrange(1900, 2100)}-{r.randrange(1, 13):02d}-{r.randrange(1, 29):02d}", lambda v: "1900" <= v[:4] < "2100" and "01" <= v[5:7] <= "12"),
+        "email": (lambda: f"{''.join(r.choice('abcdef') for _ in range(8))}@mail.example.org", lambda v: v.endswith("@mail.example.org")),
+        "phone": (lambda: f"{r.randrange(200, 999)}-{r.randrange(200, 999)}-{number(4)}", lambda v: len(v) == 12),
+    }
+    spoil = {"card": lambda v: v[:-1] + str((int(v[-1]) + 1) % 10), "iban": lambda v: v[:2] + f"{(int(v[2:4]) + 1) % 97:02d}" + v[4:], "ssn": lambda v: "000" + v[3:],
+             "ipv4": lambda v: "999" + v[v.index("."):], "date": lambda v: v[:5] + "13" + v[7:]}
+    linked = {}
+    for _ in range(300):
+        parts, counts = [], {}
+        for _ in range(r.randrange(1, 9)):
+            kind = r.choice(list(makers))
+            make, valid = makers[kind]
+            value = make()
+            bad = kind in spoil and r.random() < 0.3
+            value = spoil[kind](value) if bad else value
+            parts.append((value, None if bad else kind, valid))
+            if not bad:
+                counts[kind] = counts.get(kind, 0) + 1
+        words_ = [f"{r.choice(['see', 'mail', 'on', 'nr', 'à', 'über'])} " for _ in parts]
+        text = "".join(w + v + r.choice([" and ", ", then ", "; ok "]) for w, (v, *_) in zip(words_, parts))
+        new, found = pseudonymize(text, F, {})
+        assert found == counts
+        at_old = at_new = 0
+        for value, kind, valid in parts:
+            a = text.index(value, at_old)
+            between = text[at_old:a]
+            assert new[at_new : at_new + len(between)] == between
+            at_new += len(between)
+            at_old = a + len(value)
+            end = re.compile(r" and |, then |; ok ").search(new, at_new).start()
+            got = new[at_new:end]
+            at_new = end
+            if kind is None:
+                assert got == value
+            else:
+                assert got != value and valid(got) and linked.setdefault((kind, value), got) == got
+                if kind != "ipv4":
+                    assert len(got) == len(value) and [c for c in got if not c.isalnum()] == [c for c in value if not c.isalnum()]
+        assert new[at_new:] == text[at_old:]
+    assert len(set(linked.values())) == len(linked)  # no two values meet in one
+
+
 def test_equal_values_stay_linked_over_separators():
     a, b = (re.sub("[^0-9]", "", pseudonymize(v, F, {})[0]) for v in VALUES["card"][:2])
     assert a == b != "4" + 14 * "1" + "1" and luhn_digit(a[:-1]) == a[-1]
@@ -81,11 +185,14 @@ def test_values_beside_a_value_of_another_kind():
 def test_documents(spark):
     rows = [(1, "call 743-555-3824 é", "en", "s", 1), (1, "call 743-555-3824 é", "en", "s", 1), (None, None, None, None, None), (3, "", "en", "s", 0), (4, "clean text " * 20000, "en", "s", 0), (5, "ü" * 9 + " 8.8.8.8", "en", "s", 0)]
     docs = frame(spark, rows).withColumnRenamed("h", "n_card")
-    out = pseudonymize_documents(docs)
+    out = pseudonymize_documents(docs, "a key")
     assert out.columns == [c for c in docs.columns if c != "n_card"] + [f"n_{k}" for k in KINDS]
     got = out.collect()
     assert len(got) == 6 and len({g.text for g in got if g.doc_id == 1}) == 1
     by_id = {g.doc_id: g for g in got}
     assert by_id[1].text.startswith("call ") and by_id[1].text != rows[0][1] and by_id[1].n_phone == 1
     assert by_id[None].text is None and by_id[None].n_phone == 0 and by_id[3].text == "" and by_id[4].text == rows[4][1] and by_id[5].n_ipv4 == 1
-    assert pseudonymize_documents(docs.limit(0)).collect() == []
+    assert pseudonymize_documents(docs.limit(0), "a key").collect() == []
+    assert pseudonymize_documents(docs, "other").collect() != got
+    with pytest.raises(ValueError):
+        pseudonymize_documents(docs, "")

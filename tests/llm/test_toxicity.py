@@ -1,11 +1,14 @@
+import math
 import zlib
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
 from tessera.llm.queries import QUERIES
-from tessera.llm.toxicity import FtrlParams, distinct, drop_toxic, features, fit_ftrl, toxicity_scores
+from tessera.llm.shared import BYTE_CODES
+from tessera.llm.toxicity import FtrlParams, distinct, drop_toxic, features, fit_ftrl, toxicity_scores, training_rows
 from tests.conftest import SF_MID
 from tests.llm.data import words
 
@@ -36,6 +39,83 @@ def test_ftrl_by_hand():
     assert got == pytest.approx([weight(i) for i in range(4)]) and bias == pytest.approx(weight(4))
 
 
+def mixed(x):
+    x = (x ^ x >> 32) * 0x9E3779B97F4A7C15 % 2**64
+    x = (x ^ x >> 29) * 0xD6E8FEB86659FD93 % 2**64
+    return x ^ x >> 32
+
+
+def plain_features(text, bits):
+    """Places of a text's words, pairs and skip pairs, by plain loops over bytes."""
+    words_, now = [], []
+    for b in [*text.encode(), 32]:
+        if b < 128 and not chr(b).isalnum():
+            if now:
+                total = sum(int(BYTE_CODES[c]) * pow(0x5851F42D4C957F2D, i, 2**64) for i, c in enumerate(now))
+                words_.append(mixed((total + len(now)) % 2**64))
+            now = []
+        else:
+            now.append(b + 32 if 65 <= b <= 90 else b)
+    out = set(words_)
+    for step in (1, 2):
+        out |= {mixed((a * (2 * step + 1) + mixed(b) + step) % 2**64) for a, b in zip(words_, words_[step:])}
+    return sorted({x >> (64 - bits) for x in out})
+
+
+def plain_scores(docs, labels, p):
+    """The scores of :func:`toxicity_scores` by dictionaries and loops."""
+    toxic = {}
+    for doc_id, label in labels:
+        if doc_id is not None and label is not None and zlib.crc32(str(doc_id).encode()) % 5:
+            toxic[doc_id] = max(label, toxic.get(doc_id, 0))
+    rows = sorted((mixed(i % 2**64), plain_features(t or "", p.bits), toxic[i]) for i, t in docs if i in toxic)
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        l1 = 0.0 if i == "bias" else p.l1
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((p.beta + math.sqrt(n[i])) / p.alpha + p.l2)
+
+    rng = np.random.default_rng(7)
+    for _ in range(p.epochs):
+        order = rng.permutation(len(rows))
+        for first in range(0, len(rows), p.batch):
+            gradient, squares = defaultdict(float), defaultdict(float)
+            for r in order[first : first + p.batch]:
+                _, at, label = rows[r]
+                error = 1 / (1 + math.exp(-sum(weight(i) for i in [*at, "bias"]))) - label
+                for i in [*at, "bias"]:
+                    gradient[i] += error
+                    squares[i] += error * error
+            for i, w in [(i, weight(i)) for i in gradient]:
+                z[i] += gradient[i] - (math.sqrt(n[i] + squares[i]) - math.sqrt(n[i])) / p.alpha * w
+                n[i] += squares[i]
+    return [(i, 1 / (1 + math.exp(-sum(weight(k) for k in [*plain_features(t or "", p.bits), "bias"])))) for i, t in docs]
+
+
+def test_scores_by_plain_loops(spark):
+    p = FtrlParams(bits=14, l1=0.05, epochs=3, batch=4)
+    docs = [(i, " ".join(words(25, i, 60)) + (" Vile, NASTY!" if i % 3 == 0 else " kind.")) for i in range(60)] + [(60, None), (61, "é ü—x"), (62, "")]
+    labels = [(i, int(i % 3 == 0)) for i in range(62)] + [(4, 1), (None, 1), (7, None)]
+    got = toxicity_scores(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(labels, "doc_id long, toxic int"), p)
+    want = dict(plain_scores(docs, labels, p))
+    scores = {g.doc_id: g.score for g in got.collect()}
+    assert scores.keys() == want.keys() and all(abs(scores[i] - want[i]) < 1e-9 for i in want)
+    assert max(scores.values()) > 0.6 and min(scores.values()) < 0.4
+
+
+def test_one_text_of_a_repeated_id_is_learned(spark):
+    """A labelled id in a third of all rows gives the fit one row, the same in every order."""
+    docs = [(i, " ".join(words(20, i, 50))) for i in range(40)] + [(1, f"text {k} of one id vile") for k in range(30)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(40)], "doc_id long, toxic int")
+    frame = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    rows = training_rows(frame(docs), labels, 100).collect()
+    assert len(rows) == len({r.doc_id for r in rows}) == sum(zlib.crc32(str(i).encode()) % 5 > 0 for i in range(40))
+    assert len(training_rows(frame(docs), labels, 7).collect()) == 7
+    p = FtrlParams(bits=12, epochs=2)
+    a, b = (sorted(toxicity_scores(frame(d).repartition(n), labels, p).collect()) for d, n in ((docs, 1), (docs[::-1], 5)))
+    assert a == b
+
+
 def table(spark, n=600):
     rows, labels = [], []
     for i in range(n):
