@@ -68,7 +68,10 @@ def text_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pieces(array: pa.Array, size: int = PIECE_BYTES) -> Iterator[tuple[int, pa.Array]]:
-    """Slices of whole texts of about ``size`` bytes: (first row, texts)."""
+    """Slices of whole texts of about ``size`` bytes: (first row, texts).
+
+    A longer text is a slice of its own.  What works on a slice holds some arrays of eight bytes a byte, so a
+    text of 100 MB takes its task a few GB; executors that meet such texts need that memory."""
     _, offsets = text_bytes(array)
     first = 0
     while first < len(array):

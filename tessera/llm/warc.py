@@ -6,7 +6,7 @@ Writing:
    without payloads.  Of payloads that occur more than once and have ``least`` bytes, the page with the largest
    id is the response; the others become revisits.
 2. Range sort: the order of keys is cut into shards of about equal bytes.  The cuts come from the keys of smallest
-   hash (``KEYS_A_SHARD`` per shard, two numbers each), so they depend on the pages alone, not on how
+   hash (up to ``KEYS_A_SHARD`` per shard, three numbers each), so they depend on the pages alone, not on how
    these are partitioned, and pages without an id or with one id are cut apart by the hash.  Pages move to
    their shard once and are sorted there; a copy's role stands just before its page.
 3. A task writes its shard as a run of gzip members, one per record, with headers and digests made anew, and starts
@@ -37,6 +37,7 @@ import zlib
 from collections.abc import Iterator
 from urllib.parse import quote
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -53,6 +54,7 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 DATE = "2000-01-01T00:00:00Z"
 #: Keys of the sample that shards are cut by, per shard.
 KEYS_A_SHARD = 64
+MOST_KEYS = 1 << 18
 LEAST_SHARDS = 24
 _PRINTABLE = "".join(map(chr, range(33, 127)))
 MANIFEST = ("file string, shard int, part int, start long, length long, records long, sha256 string")
@@ -161,17 +163,24 @@ def key(page_id: Column, h: Column) -> Column:
     return F.struct(page_id.isNull().alias("none"), F.coalesce(page_id, F.lit(0)).alias("page_id"), h.alias("h"))
 
 
+def sample_keys(shards: int) -> int:
+    """Keys that shards are cut by: ``KEYS_A_SHARD`` for each while these are ``MOST_KEYS`` at most, 8 at least."""
+    return shards * max(8, min(KEYS_A_SHARD, MOST_KEYS // shards))
+
+
 def shard_bounds(keys: DataFrame, shards: int) -> list[tuple[bool, int, int]]:
     """The first keys of all shards but the first: quantiles by bytes of the keys of smallest hash."""
     sample = (keys.select(key(F.col("page_id"), F.col("h")).alias("k"), ((F.col("bytes") + 500) * F.col("n")).alias("w"))
-              .orderBy(F.xxhash64("k.none", "k.page_id", "k.h"), "k").limit(KEYS_A_SHARD * shards).collect())
-    rows = sorted((r.k.none, r.k.page_id, r.k.h, r.w) for r in sample)
-    total, upto, bounds = sum(r[3] for r in rows), 0, []
-    for *k, w in rows:
+              .orderBy(F.xxhash64("k.none", "k.page_id", "k.h"), "k").limit(sample_keys(shards)).select("k.*", "w").toArrow())
+    none, ids, hashes, weights = (sample[c].to_numpy() for c in ("none", "page_id", "h", "w"))
+    order = np.lexsort((hashes, ids, none))
+    upto, total, bounds = 0, int(weights.sum()), []
+    for i in order.tolist():
+        k = bool(none[i]), int(ids[i]), int(hashes[i])
         # a key that begins beyond the next multiple of a shard's share begins a shard
-        if upto * shards >= total * (len(bounds) + 1) and (not bounds or tuple(k) > bounds[-1]):
-            bounds.append(tuple(k))
-        upto += w
+        if upto * shards >= total * (len(bounds) + 1) and (not bounds or k > bounds[-1]):
+            bounds.append(k)
+        upto += int(weights[i])
     return bounds
 
 

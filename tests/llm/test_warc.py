@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm.warc import MANIFEST, manifest, parse, read_warc, resolve, shard_bounds, shard_of, key, write_warc
+from tessera.llm.warc import MANIFEST, manifest, parse, read_warc, resolve, sample_keys, shard_bounds, shard_of, key, write_warc
 
 SCHEMA = "page_id long, url string, html string, digest string, h int, payload string"
 
@@ -139,3 +139,19 @@ def test_shards_by_binary_search(spark):
         sizes[x.s] += x.bytes
     assert max(sizes) < 1.6 * sum(sizes) / 13  # a third without an id is cut apart too
     assert keys.select(shard_of([], key(F.col("page_id"), F.col("h"))).alias("s")).distinct().collect()[0].s == 0
+
+
+def test_the_sample_is_bounded():
+    assert [sample_keys(n) for n in (1, 24, 4096)] == [64, 24 * 64, 4096 * 64]
+    assert sample_keys(10_000) == 10_000 * 26 and sample_keys(100_000) == 800_000
+
+
+def test_a_payload_that_most_pages_share(spark, folder):
+    """Two thirds of all pages are copies: one response, the rest refer to it, over all shards."""
+    data = [(i, f"http://x/{i}", "hot " * 400 if i % 3 else f"own {i} " * 200, "d", 1, "p") for i in range(900)]
+    write_warc(spark.createDataFrame(data, SCHEMA).repartition(5), folder)
+    got = resolve(read_warc(spark, folder)).collect()
+    assert sorted(map(tuple, (r[:] for r in got)), key=repr) == expected(data)
+    assert sum(r.record_type == "revisit" for r in got) == 599
+    stored = sum(len(r.payload) for r in read_warc(spark, folder).where("payload is not null").select("payload").collect())
+    assert stored == 1600 + sum(len(x[2]) for x in data if x[0] % 3 == 0)
