@@ -6,7 +6,8 @@ from the running sums, and only that bucket is split by the next bits, until
 one hash value is left.  The mix is then a filter: whole epochs plus the documents whose hash
 is below the source's threshold.  Thresholds are nested: a larger budget keeps
 all that a smaller one takes.  No document is sorted and none is collected; the
-driver holds one row per source.
+driver holds one row per source, so sources are meant to be named ones: up to some hundred
+thousand.  Where a source is every host of a crawl, group hosts first.
 
 Defined cases: null text has size 0; a null source is a source of its own,
 last in order; rows of one doc_id share a hash and so a decision (null ids: rows of one text); a

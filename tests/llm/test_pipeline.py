@@ -48,7 +48,7 @@ def test_each_stage_on_what_the_one_before_kept(spark):
     _, classes = brute(data)
     assert sorted(r[0] for r in rows(after)) == sorted(set(classes.values()))
     before, after = kept["pii"]
-    feistel = pii.Feistel(b"tessera")
+    feistel = pii.Feistel(corpus_pipeline.PSEUDONYM_KEY.encode())
     assert rows(after) == sorted((r[0], pii.pseudonymize(r[1], feistel, {})[0], *r[2:]) for r in rows(before))
     before, after = kept["mixing"]
     want = {g.doc_id: g.taken // g.size for g in mixing.mix_counts(before).collect() if g.size}
@@ -72,3 +72,38 @@ def test_stages_keep_columns_of_any_name(spark, tmp_path):
         assert after.count() and {tuple(r)[5:] for r in after.collect()} <= given, name
         now = corpus_pipeline.Table(after, "test").df
     assert corpus_pipeline.STAGES[-1][1](spark, now, SF_SMALL).count()
+
+
+def folder(spark, tmp_path, docs):
+    """A folder of tables with these documents and the given labels."""
+    at = str(tmp_path / "tables")
+    docs.write.parquet(f"{at}/documents.parquet")
+    spark.read.parquet(f"{SF_SMALL}/labels.parquet").write.parquet(f"{at}/labels.parquet")
+    return at
+
+
+def test_an_empty_table(spark, tmp_path):
+    at = folder(spark, tmp_path, spark.createDataFrame([], DOCS))
+    out = corpus_pipeline.run(spark, at)
+    assert out.collect() == [] and {"doc_id", "piece", "sequence_id", "offset"} <= set(out.columns)
+
+
+def test_odd_rows(spark, tmp_path):
+    """Null and empty texts, null and repeated ids, repeated rows: each stage's rule holds, nothing fails."""
+    rows = documents(seed=6, n=25)
+    at = folder(spark, tmp_path, spark.createDataFrame(rows, DOCS))
+    out = corpus_pipeline.run(spark, at).collect()
+    blank = [r for r in rows if not (r[1] or "").split()]
+    ids = {r[0] for r in blank} - {r[0] for r in rows if r not in blank}
+    assert {r.length for r in out if r.doc_id in ids} <= {1}  # their end id
+    whole = {(r[1] or "") for r in rows}
+    assert 0 < len({r.doc_id for r in out}) <= len(whole)
+    by_sequence = {}
+    for r in out:
+        by_sequence.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in by_sequence.values():
+        ends = [0]
+        for offset, length in sorted(parts):
+            assert offset == ends[-1]
+            ends.append(offset + length)
+        assert ends[-1] <= 4096
