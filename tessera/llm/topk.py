@@ -1,12 +1,11 @@
 """Exact top-k by inner product without random access (NRA).
 
 Vectors are dealt into blocks.  In a block every component is a sorted list, read from the end
-that a query's sign prefers, some more places of every list at a time.  Only places that are read
-change anything: a read component takes its vector's lower bound from the list's far end, and its upper bound
-from the list's frontier, to the component itself; where the frontier moves, the vectors read
-before keep their component and the others fall with it.  A query stops as soon as no vector outside a
-short list can reach its k-th lower bound; the exact scores of that list are then resolved.  The
-queries of a block are read for together, each read place being one row of bounds over all that prefer its end.
+that a query's sign prefers, some more places of every list at a time.  A place that is read takes its vector's
+lower bound from the list's far end to the component itself, and marks the component as seen; nothing that is not read
+changes a lower bound.  The upper bound puts every component that is not seen at its list's frontier.  A query
+stops as soon as no vector outside a short list can reach its k-th lower bound; the exact scores of that list are then
+resolved.  The queries of a block are read for together, each read place being one row of bounds over all that prefer its end.
 
 Lists that are sorted and read pay where scores hang on few components.  Where many components
 of like size add up (dense random vectors), bounds close late and most of every list is read: see ``read`` of :func:`nra`.
@@ -38,7 +37,7 @@ def whole(embedding: Column) -> Column:
 
 
 #: Places read of every list when a query may stop, in sixteenths of the list.
-STOPS = (1, 2, 4, 6, 8, 10, 12, 14, 16)
+STOPS = (1, 2, 4, 8, 12, 16)
 
 
 def nra(queries: np.ndarray, block: np.ndarray, k: int, read: np.ndarray | None = None) -> list[np.ndarray]:
@@ -47,46 +46,43 @@ def nra(queries: np.ndarray, block: np.ndarray, k: int, read: np.ndarray | None
     ``read`` (one number per query) takes the list entries read for each; all of them are ``block.size``."""
     n, d = block.shape
     largest = float(np.abs(queries).max(initial=0)) * float(np.abs(block).max(initial=0)) * d
-    if n <= 4 * k or not d or largest >= 2.0**51:
+    if n <= 4 * k or not d or largest >= 2.0**50:
         if read is not None:
             read[:] = block.size
         return [np.arange(n)] * len(queries)
-    kind = np.float32 if largest < 2**21 else np.float64  # bounds are sums of up to three times that, exact in either
+    kind = np.float32 if largest < 2**20 else np.float64  # bounds are sums of a few times that, exact in either
     order = np.argsort(block, axis=0, kind="stable")
     lists = np.take_along_axis(block, order, 0).astype(kind)
     found: list[np.ndarray | None] = [None] * len(queries)
     for at in range(0, len(queries), QUERY_BATCH):
         some = np.arange(at, min(at + QUERY_BATCH, len(queries)))
-        signed = np.maximum(queries[some], 0).T.astype(kind), np.minimum(queries[some], 0).T.astype(kind)
-        # bounds of every vector (row) for every query (column) when nothing is read; ``above`` is what it has over the frontiers
-        lower = np.tile(lists[0] @ signed[0] + lists[-1] @ signed[1], (n, 1))
-        above = np.zeros((n, len(some)), kind)
+        ends = [np.maximum(queries[some], 0).T.astype(kind), np.minimum(queries[some], 0).T.astype(kind)]  # read from the top, from the bottom
+        # lower bounds of every vector (row) for every query (column) when nothing is read
+        lower = np.tile(lists[0] @ ends[0] + lists[-1] @ ends[1], (n, 1))
+        seen = np.zeros((n, 2 * d), kind)  # by end and list
         before = 0
         for stop in STOPS:
             depth = max(before, min(n, -(-n * stop // 16)))
             for j in range(d):
-                for weight, far, places, values in ((signed[0][j], lists[0, j], order[::-1, j], lists[::-1, j]), (signed[1][j], lists[-1, j], order[:, j], lists[:, j])):
-                    if not weight.any():
-                        continue
-                    new, frontier = places[before:depth], values[depth - 1]
-                    lower[new] += (values[before:depth] - far)[:, None] * weight
-                    above[new] += (values[before:depth] - frontier)[:, None] * weight
-                    if before and values[before - 1] != frontier:
-                        above[places[:before]] += (values[before - 1] - frontier) * weight
+                for end, far, places, values in ((0, lists[0, j], order[::-1, j], lists[::-1, j]), (1, lists[-1, j], order[:, j], lists[:, j])):
+                    new = places[before:depth]
+                    lower[new] += (values[before:depth] - far)[:, None] * ends[end][j]
+                    seen[new, end * d + j] = 1
             before = depth
-            upper = lists[n - depth] @ signed[0] + lists[depth - 1] @ signed[1] + above
+            # what a component that is not seen may have over its list's far end
+            over = np.concatenate([(lists[n - depth] - lists[0])[:, None] * ends[0], (lists[depth - 1] - lists[-1])[:, None] * ends[1]])
+            upper = lower + (over.sum(0) - seen @ over)
             need = np.partition(lower, n - k, axis=0)[n - k]
             near = upper >= need
-            ends = (near.sum(0) <= 8 * k) | (depth == n)
-            for c in np.flatnonzero(ends):
+            done = (near.sum(0) <= 8 * k) | (depth == n)
+            for c in np.flatnonzero(done):
                 found[some[c]] = np.flatnonzero(near[:, c])
                 if read is not None:
                     read[some[c]] = depth * d
-            if ends.all():
+            if done.all():
                 break
-            goes = ~ends
-            some, lower, above = some[goes], np.ascontiguousarray(lower[:, goes]), np.ascontiguousarray(above[:, goes])
-            signed = tuple(np.ascontiguousarray(x[:, goes]) for x in signed)
+            some, lower = some[~done], np.ascontiguousarray(lower[:, ~done])
+            ends = [np.ascontiguousarray(x[:, ~done]) for x in ends]
     return found
 
 
