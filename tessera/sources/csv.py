@@ -66,6 +66,7 @@ def sampled_types(spark: SparkSession, path: str, lines: int = SAMPLE_LINES) ->
     head = [r.value for r in spark.read.text(path).limit(lines + 1).collect()]
     if not head:
         raise ValueError(f"{path} holds no text")
+    head = head[:1] + [line for line in head[1:] if line != head[0]]  # each file begins with the header
     return spark.read.option("header", True).option("inferSchema", True).csv(spark.sparkContext.parallelize(head, 1)).schema
 
 

@@ -104,6 +104,8 @@ def test_the_text_is_read_again_only_if_a_field_breaks_its_type(spark, csv):
 def test_the_sample_is_bounded(spark, csv):
     path = csv(["1,2,3,4"] * 20 + ["a,b,c,d"] * 5)
     assert [f.dataType.simpleString() for f in sampled_types(spark, path, 10)] == ["int"] * 4
+    # headers of further files in the sample are no fields
+    assert [f.dataType.simpleString() for f in sampled_types(spark, csv(["1,2,3,4"], ["5,6,7,8"]), 10)] == ["int"] * 4
     with pytest.raises(ValueError):
         read_sampled(spark, path, on_break="ignore")
 
