@@ -19,8 +19,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from tessera.llm.shared import Table, apart, columns
+from tessera.llm.shared import Table, apart, columns, local_rows
 
 WORD = r"[^\x20\x09-\x0D]+"
 HASH_BITS, LEVEL_BITS = 60, 12
@@ -55,17 +56,17 @@ def shares(sizes: list[tuple[str | None, int]], weights: tuple, budget: float, m
     return {s: target.get(s, left / open_weight * weight[s] if open_weight else 0.0) for s, _ in sizes}
 
 
-def thresholds(narrow: DataFrame, budgets: dict[str | None, float], schema: str) -> dict[str | None, int]:
+def thresholds(narrow: DataFrame, budgets: dict[str | None, float]) -> dict[str | None, int]:
     """Per source the hash below which documents are taken, so that their sizes
     come as near to the source's budget as whole documents allow (a tie: fewer)."""
-    spark = narrow.sparkSession
+    spark, kind = narrow.sparkSession, narrow.schema["source"].dataType
     state = {s: (0, b) for s, b in budgets.items() if b > 0}
     cut = {s: 0 for s in budgets}
     shift = HASH_BITS
     while shift and state:
         shift -= LEVEL_BITS
-        open_ = spark.createDataFrame([(s, p, float(b)) for s, (p, b) in state.items()], f"src {schema}, prefix long, budget double")
-        open_ = small(open_, len(state))
+        schema = StructType([StructField("src", kind), StructField("prefix", LongType()), StructField("budget", DoubleType())])
+        open_ = small(local_rows(spark, [(s, p, float(b)) for s, (p, b) in state.items()], schema), len(state))
         hist = (narrow.join(open_, F.col("source").eqNullSafe(F.col("src")) & (F.shiftright("h", shift + LEVEL_BITS) == F.col("prefix")))
                 .groupBy("source", "budget", F.shiftright("h", shift).alias("bucket"))
                 .agg(F.sum("size").alias("words"), F.min("h").alias("low"), F.max("h").alias("high")))
@@ -95,13 +96,13 @@ def mix(docs: DataFrame, weights: tuple = (5, 2, 1), budget: float = 1.5, most:
     ``epochs`` and ``cut``; ``table`` has doc_id, source, size and hash ``h`` per document."""
     spark = docs.sparkSession
     narrow = Table(docs.select("doc_id", "source", words(F.col("text")).alias("size"), mix_hash(seed).alias("h")), "mix")
-    schema = narrow.df.schema["source"].dataType.simpleString()
     sizes = [(r.source, r.n) for r in narrow.df.groupBy("source").agg(F.sum("size").alias("n")).collect()]
     target = shares(sizes, weights, budget, most)
     epochs = {s: int(target[s] // n) if n else 0 for s, n in sizes}
-    cut = thresholds(narrow.df, {s: target[s] - epochs[s] * n for s, n in sizes}, schema)
-    plan = spark.createDataFrame([(s, n, target[s], epochs[s], cut[s]) for s, n in sizes],
-                                 f"source {schema}, source_size long, target double, epochs long, cut long")
+    cut = thresholds(narrow.df, {s: target[s] - epochs[s] * n for s, n in sizes})
+    schema = StructType([StructField("source", narrow.df.schema["source"].dataType), StructField("source_size", LongType()),
+                         StructField("target", DoubleType()), StructField("epochs", LongType()), StructField("cut", LongType())])
+    plan = local_rows(spark, [(s, n, target[s], epochs[s], cut[s]) for s, n in sizes], schema)
     return small(plan, len(sizes)), narrow
 
 

@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tessera.session import shared_path
 
@@ -34,6 +36,13 @@ class Table:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def local_rows(spark: SparkSession, rows: list[tuple], schema: StructType) -> DataFrame:
+    """A few rows of the driver as a table that goes to the JVM as Arrow, so that no Python worker reads it."""
+    kinds = to_arrow_schema(schema)
+    columns = zip(*rows) if rows else [()] * len(kinds)
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(c, k.type) for c, k in zip(columns, kinds)], schema=kinds), schema)
+
+
 def text_key(text: Column) -> Column:
     """16 bytes that name a text (null counts as empty)."""
     return F.unhex(F.substring(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256), 1, 32))

@@ -67,3 +67,10 @@ def test_documents_are_copied(spark):
 def test_empty(spark):
     docs = frame(spark, documents()).limit(0)
     assert mix_counts(docs).collect() == [] and mix_documents(docs).collect() == []
+
+
+def test_no_python_worker_reads_the_plan(spark):
+    plan, narrow = mix(frame(spark, documents()))
+    lineage = plan._jdf.queryExecution().toRdd().toDebugString()
+    assert "Python" not in lineage and plan.count() > 1
+    narrow.drop()
