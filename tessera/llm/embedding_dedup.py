@@ -12,8 +12,10 @@ back link counts and a spanning forest, never their pairs.
 
 Pivots are up to ``4 * sqrt(points)`` (within 64 and ``max_pivots``), taken by hash from a sample of four
 times as many, none close to another; that bounds what is broadcast.  With more points than these pivots tell apart,
-lists grow: one of more than ``long_list`` vectors is read by a second level, as a list for each other pivot
-among the first ``deep`` of a vector, so that a pair meets where it shares two pivots.  Recall is measured in the tests.
+lists grow: one of more than ``long_list`` vectors is read by a second level, as lists for its vectors' other pivots.
+A candidate shares ``shared - 1`` of those, so it meets in a list of the lowest numbers of each vector (all but
+``shared - 2``): the second level has the candidates of the list, and results do not depend on
+which lists are long.  Recall is measured in the tests.
 
 Defined cases: null, empty or zero vectors, null or non-finite components and null
 labels link with nothing; only vectors of one length are compared;
@@ -126,7 +128,7 @@ def cosines_reach(x: np.ndarray, ok: np.ndarray, threshold: float) -> np.ndarray
 
 
 def link_points(points: DataFrame, threshold: float, order: int = 16, prefix: int = 6, shared: int = 4,
-                max_pivots: int = 4096, block: int = 1024, long_list: int = 1 << 15, deep: int = 8) -> DataFrame:
+                max_pivots: int = 4096, block: int = 1024, long_list: int = 1 << 15) -> DataFrame:
     """id, links (copies of other points linked) and low (smallest linked id of a group)."""
     count = points.count()
     described = Table(index(points, count, order, max_pivots), "orders").df
@@ -135,8 +137,11 @@ def link_points(points: DataFrame, threshold: float, order: int = 16, prefix: in
     key = ["label", "dim", "list"]
     sizes = Table(lists.groupBy(*key).agg(F.count("*").alias("size")), "lists").df
     met = lists.join(sizes, key)
-    split = (F.col("size") > long_list) & (F.col("list") >= 0)
-    others = F.filter(F.slice("near", 1, deep), lambda p: (p >= 0) & (p != F.col("list")))
+    split = (F.col("size") > long_list) & (F.col("list") >= 0) & F.lit(shared > 1)  # else one pivot in common is enough
+    others = F.array_sort(F.filter("near", lambda p: (p >= 0) & (p != F.col("list"))))
+    # where k pivots describe the vectors, a candidate shares min(k, shared) - 1 of k - 1 others: the first that
+    # it shares, by number, has so many less one of them behind it in both
+    others = F.slice(others, 1, F.size(others) + 2 - F.least(F.size(others) + 1, F.lit(shared)))
     whole_lists = met.where(~split).withColumn("second", F.lit(-1))
     # a vector that one pivot describes has no second one
     long_lists = met.where(split).withColumn("second", F.explode(F.when(F.size(others) > 0, others).otherwise(F.array(F.lit(-1))))).drop("size")
@@ -154,7 +159,7 @@ def link_points(points: DataFrame, threshold: float, order: int = 16, prefix: in
         dim, pivot, second, lo, hi = (table[c][0].as_py() for c in ("dim", "list", "second", "lo", "hi"))
         own, ids, copies = (table[c].to_numpy() for c in ("own", "id", "n"))
         near = table["near"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
-        ok = candidates(near, None if lo == hi else own, pivot, second, prefix, deep, shared)
+        ok = candidates(near, None if lo == hi else own, pivot, second, prefix, order, shared)
         some = np.flatnonzero(ok.any(1))
         if not len(some):
             return None

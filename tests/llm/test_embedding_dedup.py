@@ -139,6 +139,21 @@ def test_a_pair_is_verified_in_one_list():
         assert set(got) == (want if not split else {x for x in want if x in got}) and (not split or len(got) >= 0.97 * len(deep))
 
 
+def test_long_lists_have_the_candidates_of_whole_ones(spark):
+    """Which lists the second level reads must not show in the result, also with fewer pivots than an order holds."""
+    r = np.random.default_rng(11)
+    x, z = r.normal(size=(800, 64)), r.normal(size=(800, 64))
+    z -= (z * x).sum(1, keepdims=True) / (x * x).sum(1, keepdims=True) * x
+    z *= np.linalg.norm(x, axis=1, keepdims=True) / np.linalg.norm(z, axis=1, keepdims=True)
+    few = r.normal(size=(60, 3))  # few directions, so few pivots
+    data = [(i, [float(v) for v in e], 1, 0, "") for i, e in enumerate([*x, *(0.8 * x + 0.6 * z), *few])]
+    table = spark.createDataFrame(data, SCHEMA)
+    for shared in (4, 1):
+        want, got = (sorted(map(tuple, near_duplicates(table, 0.79, shared=shared, **s).collect())) for s in ({}, {"long_list": 4, "block": 64}))
+        assert got == want
+        assert sum(row[1] for row in want) > 1000
+
+
 def test_cosines_of_candidates_only():
     r = np.random.default_rng(1)
     x = r.normal(size=(200, 8))
