@@ -4,9 +4,17 @@ import pytest
 from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
+from tessera.operators import recommender
 from tessera.plans import ratings as R
 from tessera.session import sql_settings
 
+PLAIN = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+
+
+def dealt(df) -> int:
+    """Exchanges by a key."""
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
 
 @pytest.fixture(scope="module")
 def tables(spark, tmp_path_factory):
@@ -43,3 +51,21 @@ def test_settings_come_back_after_an_error(spark):
         assert [spark.conf.get(n) for n in names] == ["3", "3"]
         1 / 0
     assert [spark.conf.get(n, None) for n in names] == before
+
+
+def test_residuals_are_summed_where_ratings_met_their_users(spark, tables):
+    train, _ = R.split(spark, tables)
+    model = R.fitted_model(spark, tables)
+    with sql_settings(spark, PLAIN):
+        residual = recommender.user_residual(model, train)
+        assert dealt(residual) == 4  # both sides of two joins
+        got = {r["id"]: r["residual"] for r in residual.collect()}
+    users, items = ({r["id"]: r["features"] for r in f.collect()} for f in (model.userFactors, model.itemFactors))
+    rows = {}
+    for r in train.collect():
+        rows.setdefault(r["userId"], []).append((items[r["movieId"]], r["rating"]))
+    for u, seen in rows.items():
+        errors = [(sum(a * b for a, b in zip(users[u], v)) - rating, v) for v, rating in seen]
+        want = max(abs(sum(e * v[k] for e, v in errors) + 0.1 * len(seen) * users[u][k]) for k in range(10))
+        assert got.pop(u) == pytest.approx(want, abs=1e-6)
+    assert not got
