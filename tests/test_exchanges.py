@@ -5,6 +5,7 @@ from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from tessera.operators import recommender
+from tessera.plans import catalog
 from tessera.plans import ratings as R
 from tessera.session import sql_settings
 
@@ -69,3 +70,12 @@ def test_residuals_are_summed_where_ratings_met_their_users(spark, tables):
         want = max(abs(sum(e * v[k] for e, v in errors) + 0.1 * len(seen) * users[u][k]) for k in range(10))
         assert got.pop(u) == pytest.approx(want, abs=1e-6)
     assert not got
+
+
+def test_scores_are_compared_in_one_shuffle(spark, tables):
+    _, test = R.split(spark, tables)
+    R.fitted_model(spark, tables)
+    with sql_settings(spark, PLAIN):
+        compared = catalog.q_als_predict_matches(spark, tables)
+        assert dealt(compared) == 9  # two joins for each kind of score, then one by key
+        assert [tuple(r) for r in compared.collect()] == [(test.count(), True)]
