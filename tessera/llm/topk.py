@@ -5,7 +5,8 @@ that a query's sign prefers, some more places of every list at a time.  A place
 lower bound from the list's far end to the component itself, and marks the component as seen; nothing that is not read
 changes a lower bound.  The upper bound puts every component that is not seen at its list's frontier.  A query
 stops as soon as no vector outside a short list can reach its k-th lower bound; the exact scores of that list are then
-resolved.  The queries of a block are read for together, each read place being one row of bounds over all that prefer its end.
+resolved.  The queries of a block are read for together: what a place adds over its list's far end is marked once, and at
+each stop one product with the queries gives the bounds of all.
 
 Lists that are sorted and read pay where scores hang on few components.  Where many components
 of like size add up (dense random vectors), bounds close late and most of every list is read: see ``read`` of :func:`nra`.
@@ -56,33 +57,34 @@ def nra(queries: np.ndarray, block: np.ndarray, k: int, read: np.ndarray | None
     found: list[np.ndarray | None] = [None] * len(queries)
     for at in range(0, len(queries), QUERY_BATCH):
         some = np.arange(at, min(at + QUERY_BATCH, len(queries)))
-        ends = [np.maximum(queries[some], 0).T.astype(kind), np.minimum(queries[some], 0).T.astype(kind)]  # read from the top, from the bottom
-        # lower bounds of every vector (row) for every query (column) when nothing is read
-        lower = np.tile(lists[0] @ ends[0] + lists[-1] @ ends[1], (n, 1))
-        seen = np.zeros((n, 2 * d), kind)  # by end and list
+        ends = np.concatenate([np.maximum(queries[some], 0), np.minimum(queries[some], 0)], axis=1).astype(kind)  # read from the top, from the bottom
+        seen, gained = np.zeros((2, 2 * d, n), kind)  # by end and list: what is read, and how far above the list's far end
+        far = np.concatenate([lists[0], lists[-1]])
         before = 0
         for stop in STOPS:
             depth = max(before, min(n, -(-n * stop // 16)))
             for j in range(d):
-                for end, far, places, values in ((0, lists[0, j], order[::-1, j], lists[::-1, j]), (1, lists[-1, j], order[:, j], lists[:, j])):
+                for e, places, values in ((j, order[::-1, j], lists[::-1, j]), (d + j, order[:, j], lists[:, j])):
                     new = places[before:depth]
-                    lower[new] += (values[before:depth] - far)[:, None] * ends[end][j]
-                    seen[new, end * d + j] = 1
+                    gained[e, new] = values[before:depth] - far[e]
+                    seen[e, new] = 1
             before = depth
+            # bounds of every vector (column) for every query (row)
+            lower = ends @ gained
+            lower += (ends @ far)[:, None]
             # what a component that is not seen may have over its list's far end
-            over = np.concatenate([(lists[n - depth] - lists[0])[:, None] * ends[0], (lists[depth - 1] - lists[-1])[:, None] * ends[1]])
-            upper = lower + (over.sum(0) - seen @ over)
-            need = np.partition(lower, n - k, axis=0)[n - k]
-            near = upper >= need
-            done = (near.sum(0) <= 8 * k) | (depth == n)
+            over = ends * (np.concatenate([lists[n - depth], lists[depth - 1]]) - far)
+            upper = lower + (over.sum(1)[:, None] - over @ seen)
+            need = np.partition(lower, n - k, axis=1)[:, n - k]
+            near = upper >= need[:, None]
+            done = (near.sum(1) <= 8 * k) | (depth == n)
             for c in np.flatnonzero(done):
-                found[some[c]] = np.flatnonzero(near[:, c])
+                found[some[c]] = np.flatnonzero(near[c])
                 if read is not None:
                     read[some[c]] = depth * d
             if done.all():
                 break
-            some, lower = some[~done], np.ascontiguousarray(lower[:, ~done])
-            ends = [np.ascontiguousarray(x[:, ~done]) for x in ends]
+            some, ends = some[~done], ends[~done]
     return found
 
 
