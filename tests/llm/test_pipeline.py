@@ -2,6 +2,7 @@ import re
 from collections import Counter
 
 import duckdb
+import pyarrow as pa
 import pytest
 
 import corpus_pipeline
@@ -107,3 +108,24 @@ def test_odd_rows(spark, tmp_path):
             assert offset == ends[-1]
             ends.append(offset + length)
         assert ends[-1] <= 4096
+
+
+def test_batches_are_bounded(spark):
+    """No stage works on Arrow batches of more than 1,000 rows, whatever the session had; smaller ones stay."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    rows = [(i, f"text {i} of a@b{i}.org", "en", "s", 0) for i in range(3000)]
+    docs = spark.createDataFrame(rows, DOCS).coalesce(1)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    before = spark.conf.get(setting)
+    try:
+        for given, most in (("10000", 1000), ("0", 1000), ("70", 70)):
+            spark.conf.set(setting, given)
+            now = corpus_pipeline.personal_data(spark, docs, SF_SMALL)
+            found = [r.n for r in now.mapInArrow(sizes, "n long").collect()]
+            assert sum(found) == 3000 and max(found) == most
+    finally:
+        spark.conf.set(setting, before)
