@@ -165,3 +165,48 @@ def test_saved_results_are_replaced_by_run_and_configuration(spark, tmp_path):
     assert got == {("a", 1, 8): 5, ("a", 2, 8): 9, ("a", 2, None): 6, ("b", 2, 8): 7}
     back = experiment.read_results(spark, path, "b")
     assert back.columns == ["run", *(f.name for f in experiment.RESULT_SCHEMA.fields)] and back.count() == 1
+
+
+def test_cached_sides_leave_memory_to_the_fit(spark, loader, monkeypatch):
+    fit = experiment.recommender.fit
+    seen = []
+
+    def fit_seen(train, params):
+        blocks = [(i.memSize(), i.diskSize()) for i in spark.sparkContext._jsc.sc().getRDDStorageInfo() if i.storageLevel().useDisk()]
+        seen.append((train.storageLevel, blocks))
+        return fit(train, params)
+
+    before = sum(i.memSize() for i in spark.sparkContext._jsc.sc().getRDDStorageInfo())
+    monkeypatch.setattr(experiment.recommender, "fit", fit_seen)
+    result, _ = experiment.run_experiment(spark, loader, experiment.ExperimentConfig(1, 4), recommender_params())
+    (level, blocks), = seen
+    assert result["train_records"] == 4841 and level.useDisk and not level.useMemory
+    assert sum(m for m, _ in blocks) <= before and sum(d for _, d in blocks) > 0
+
+
+def test_sweep_lets_go_of_each_fit(spark, loader, monkeypatch):
+    """When a configuration fits, the factors of the ones before are out of the executors."""
+    import time
+
+    run, fit, left = experiment.run_experiment, experiment.recommender.fit, []
+
+    def factors():
+        return sum(r.name() in ("userFactors", "itemFactors") for r in spark.sparkContext._jsc.getPersistentRDDs().values())
+
+    def run_later(*args):
+        time.sleep(2)  # dropped handles reach the driver within a second
+        return run(*args)
+
+    def fit_seen(train, params):
+        until = time.time() + 20
+        while factors() > kept and time.time() < until:
+            time.sleep(0.2)  # the cleaner works beside the session
+        left.append(factors())
+        return fit(train, params)
+
+    kept = factors()  # models that the session still knows, or more
+    monkeypatch.setattr(experiment, "run_experiment", run_later)
+    monkeypatch.setattr(experiment.recommender, "fit", fit_seen)
+    results, _ = experiment.sweep(spark, loader, [experiment.ExperimentConfig(n, 4) for n in (1, 2, 3)], recommender_params())
+    assert results.where("error IS NULL").count() == 3
+    assert len(left) == 3 and max(left) <= kept
