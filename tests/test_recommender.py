@@ -176,3 +176,29 @@ def test_dense_index_of_texts_and_of_nothing(spark):
 def test_heaviest_share(spark):
     rows = spark.createDataFrame([(0, i, 1.0) for i in range(6)] + [(1, 0, 1.0)], "userId int, movieId int, rating float")
     assert tuple(recommender.heaviest_share(rows).first()) == (7, 6, 2)
+
+
+def test_numbered_rows_meet_their_numbers_once(spark, monkeypatch):
+    """MLlib reads its input more than once: it gets written rows, not the joins that number them."""
+    import os
+
+    got = {}
+
+    class Solver:
+        def fit(self, dense):
+            got["rows"] = sorted(tuple(r) for r in dense.collect())
+            got["types"] = dense.dtypes
+            got["files"] = dense.inputFiles()
+            got["plan"] = dense._jdf.queryExecution().optimizedPlan().toString()
+            return "model"
+
+    monkeypatch.setattr(recommender, "build_als", lambda spark, params: Solver())
+    wide = 2**40
+    rows = [(wide + 10 * u, -wide + 7 * m, float(1 + (u + m) % 5)) for u in range(6) for m in range(4)] * 2
+    data = spark.createDataFrame(rows, "userId long, movieId long, rating float")
+    model, _ = recommender.fit(data, recommender.AlsParams())
+    assert model.model == "model"
+    assert got["rows"] == sorted((u, m, float(1 + (u + m) % 5)) for u in range(6) for m in range(4) for _ in range(2))
+    assert got["types"] == [("userId", "int"), ("movieId", "int"), ("rating", "float")]
+    assert "Join" not in got["plan"] and "Exchange" not in got["plan"]
+    assert got["files"] and all(os.path.exists(f.removeprefix("file://")) for f in got["files"])
