@@ -49,6 +49,11 @@ def test_runs_hold_every_string_once():
     assert got == Counter((t, p) for t, n in enumerate(sizes.tolist()) for p in range(n - 99))
 
 
+def test_texts_long_enough_only_together_have_no_runs():
+    data, offsets = text_bytes(pa.array(["ab" * 30, "cd" * 40]))
+    assert len(data) > 100 and [len(x) for x in runs(data, offsets, 100)] == [0] * 5
+
+
 def test_sliding_minimum():
     x = np.random.default_rng(1).integers(0, 99, 57).astype(np.uint64)
     for w in (1, 5, 57):
